@@ -123,3 +123,16 @@ def test_sketch_loses_no_repeat(spark):
         own = sketch.repeated(rows, hashes, 40_000, most).value
         may = own.may_repeat(windows.mixed(np.arange(1, 30_001, dtype=np.uint64)))
         assert may[:10_000].all() and may[10_000:].mean() < (0.5 if most == 16 else 0.05)
+
+
+def test_anchors_count_every_repeat():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        bounds = np.cumsum([0, *rng.integers(0, 40, 5)])
+        words = windows.mixed(rng.integers(0, rng.integers(1, 4), bounds[-1]).astype(np.uint64))
+        n = int(rng.integers(2, 9))
+        counted, least = substrings.anchors(words, bounds, n)
+        first = windows.run_starts(bounds, n)
+        assert len(least) == len(first)
+        times, seen = Counter(counted.tolist()), Counter(tuple(words[i : i + n].tolist()) for i in first)
+        assert all(times[a] >= seen[tuple(words[i : i + n].tolist())] for a, i in zip(least.tolist(), first, strict=True))

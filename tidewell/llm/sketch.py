@@ -16,10 +16,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sketch; bits of a row's width at least and at most (2**29 bits: 64 MB a row); bits of a block.
-DEPTH, MIN_BITS, MAX_BITS, BLOCK_BITS = 2, 16, 29, 18
+#: Rows of the sketch; bits of a row's width at least and at most (2**28 bits: 32 MB a row); bits of a block.
+DEPTH, MIN_BITS, MAX_BITS, BLOCK_BITS = 2, 16, 28, 18
 #: Hashes that a task holds before it reports.
-HELD = 8_000_000
+HELD = 4_000_000
 
 
 def width_bits(expected: int, most: int = MAX_BITS) -> int:

@@ -1,8 +1,9 @@
 """Substring dedup on windows of words: count-min prefilter, then exact grouping of what may repeat.
 
-1. Every partition sketches its window hashes; the merged sketch overestimates each window's count.
-2. Windows that the sketch calls unique are unique. The others are grouped exactly by Spark on a 128-bit
-   hash. Before the shuffle each task keeps only its own first of equal windows: a later one of the same
+1. Every partition sketches its windows by their anchors (see `anchors`); the merged sketch overestimates each
+   window's count.
+2. Windows that the sketch calls unique are unique. The others are grouped exactly on a 96-bit hash, in
+   buckets that Spark shuffles, packed. Before the shuffle each task keeps only its own first of equal windows: a later one of the same
    task is removed whatever the others hold, so a hot passage sends one row a task.
 3. Removed windows come back to their texts by a join, and covered words are cut.
 """
@@ -13,94 +14,224 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, sketch, windows
 
 WINDOW = 20
-SLICE_BYTES = 4 << 20
-#: Windows that a task holds before it sends.
-HELD = 3_000_000
+SLICE_BYTES = 2 << 20
+#: Windows that a task holds before it sends, and windows of the input for each bucket of hashes.
+HELD, BUCKET = 700_000, 400_000
 LEAST = np.iinfo(np.int64).min
-CANDIDATE_SQL = "h1 long, h2 long, doc_id long, place long, own binary"
 
 
-def window_hashes(part: pa.RecordBatch, n: int, multipliers=windows.MULTIPLIERS[:1]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of all windows, the text of each, and its first word within the text."""
+def hashed(part: pa.RecordBatch, n: int, whole: bool = False) -> tuple[np.ndarray, ...]:
+    """Hashes to count and each window's anchor; if whole, also its first word, two hashes, its text and the place there."""
     data, offsets = common.text_bytes(part.column("text"))
     starts, ends, bounds = windows.spans(data, offsets, windows.NOT_BLANK)
+    words = windows.word_hashes(data, starts, ends)
+    counted, least = anchors(words, bounds, n)
+    if not whole:
+        return counted, least
     first = windows.run_starts(bounds, n)
-    hashes = [windows.run_hashes(windows.word_hashes(data, starts, ends, m), n, m)[first] for m in multipliers]
+    h1 = windows.run_hashes(words, n, windows.MULTIPLIERS[0])[first]
+    h2 = windows.run_hashes(windows.word_hashes(data, starts, ends, windows.MULTIPLIERS[1]), n, windows.MULTIPLIERS[1])[first]
     doc = np.repeat(np.arange(len(bounds) - 1), np.maximum(np.diff(bounds) - n + 1, 0))
-    return hashes, doc, first - bounds[doc]
+    return counted, least, first, h1, h2, doc, first - bounds[doc]
 
 
-def packed(places: np.ndarray) -> bytes:
-    return places.astype("<u4").tobytes()
+def sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
+    """pick (minimum or maximum) of each n consecutive values, by doubling."""
+    reach = 1
+    while 2 * reach <= n:
+        x, reach = pick(x[:-reach], x[reach:]), 2 * reach
+    return pick(x[: len(x) - (n - reach)], x[n - reach :]) if n > reach else x
+
+
+def anchors(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes to count, anchor of each window): a window's anchor is the least hash of its runs of about half its words.
+
+    Equal windows have equal anchors, and every place that gives some window its anchor is counted, so a window occurs
+    at most as often as its anchor is counted; there are several times fewer anchors than windows.
+    """
+    k = n // 2 + 1
+    first = windows.run_starts(bounds, n)
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    runs = windows.run_hashes(words, k, windows.MULTIPLIERS[0])
+    least = sliding(runs, n - k + 1, np.minimum)
+    of_valid = np.zeros(len(runs) + n - k, np.uint64)  # 0 where no window of one text begins, shifted so that a place looks back
+    of_valid[first + n - k] = least[first]
+    return runs[sliding(of_valid, n - k + 1, np.maximum) == runs], least[first]
+
+
+#: What travels for a bucket of hashes: texts (id, tag, number of windows), then per window its first word and hash; no hash: already known as removed.
+PACKED = ("ids", "tags", "counts", "places", "h1", "h2")
+PACKED_SQL = "bucket int, " + ", ".join(f"{c} binary" for c in PACKED)
+
+
+def pack(bucket: np.ndarray, doc: np.ndarray, place: np.ndarray, h1: np.ndarray | None, h2: np.ndarray | None, ids: np.ndarray, tags: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket; within it by text and place."""
+    order = np.lexsort((place, doc, bucket))
+    bucket, doc, place = bucket[order], doc[order], place[order]
+    squeeze = zstandard.ZstdCompressor(level=1)
+    planes = lambda x: squeeze.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+    out: list[tuple] = []
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)], strict=True):
+        first = a + np.flatnonzero(np.diff(doc[a:b], prepend=-1))
+        own = doc[first]
+        some = order[a:b]
+        out.append((int(bucket[a]), ids[own].tobytes(), tags[own].astype("<i4").tobytes(), planes(np.diff(np.append(first, b))), planes(place[a:b]), b"" if h1 is None else h1[some].tobytes(), b"" if h2 is None else h2[some].tobytes()))
+    for at in range(0, len(out), 4000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 4000], strict=True), [pa.int32(), *[pa.binary()] * 6], strict=True)], names=["bucket", *PACKED])
+
+
+def unpack(ids: bytes, tags: bytes, counts: bytes, places: bytes, h1: bytes, h2: bytes) -> tuple[np.ndarray, ...]:
+    """doc_id, tag, place and hashes of every window of a row."""
+    planes = lambda x: np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    n = planes(counts)
+    return np.repeat(np.frombuffer(ids, "<i8"), n), np.repeat(np.frombuffer(tags, "<i4"), n), planes(places), np.frombuffer(h1, "<u8"), np.frombuffer(h2, "<u4")
+
+
+def by_text(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """doc_id, tag and place of removed windows in order, and where each text begins."""
+    doc_id, tag, place = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    order = np.lexsort((place, tag, doc_id))
+    doc_id, tag, place = doc_id[order], tag[order], place[order]
+    new = np.ones(len(doc_id), bool)
+    new[1:] = (doc_id[1:] != doc_id[:-1]) | (tag[1:] != tag[:-1])
+    return doc_id, tag, place, new
+
+
+def runs_of(held: list, n: int) -> Iterator[pa.RecordBatch]:
+    """A row for each text: packed [first, end) of its runs of covered words."""
+    doc_id, tag, place, new = by_text(held)
+    if not len(place):
+        return
+    end = place + n
+    opens = new.copy()
+    opens[1:] |= place[1:] > end[:-1]
+    a = np.flatnonzero(opens)
+    b = np.append(a[1:], len(place)) - 1
+    pairs = np.stack([place[a], end[b]], 1).astype("<u4")
+    heads = np.flatnonzero(new)
+    own = [x.tobytes() for x in np.split(pairs, np.searchsorted(a, heads[1:]))] if len(heads) else []
+    for at in range(0, len(heads), 20_000):
+        on = heads[at : at + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id[on]), pa.array(tag[on].astype(np.int32)), pa.array(own[at : at + 20_000], pa.binary())], names=["doc_id", "tag", "own"])
 
 
 def removed_windows(rows: DataFrame, n: int, max_bits: int = sketch.MAX_BITS) -> DataFrame:
-    """doc_id, tag (31 bits of the text's hash) and `own`: packed first words of windows that start earlier elsewhere."""
+    """doc_id (null: the least), tag (31 bits of the text's hash) and packed runs of words in windows that start earlier elsewhere."""
     cut = lambda batches: common.slices(batches, limit=SLICE_BYTES)
-    seen = sketch.repeated(rows.select("text"), lambda part: window_hashes(part, n)[0][0], sketch.text_bytes(rows) // 6, max_bits, cut=cut)
+    expected = sketch.text_bytes(rows) // 6
+    buckets = max(64, expected // BUCKET)
+    seen = sketch.repeated(rows.select("text"), lambda part: hashed(part, n)[0], expected // max(1, n // 4), max_bits, cut=cut)
 
-    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h1, h2, doc_id, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((place, doc_id, h2, h1))
-        h1, h2, doc_id, place = h1[order], h2[order], doc_id[order], place[order]
+    def send(held: list[tuple], ids: np.ndarray, tags: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h1, h2, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        by_id = np.lexsort((tags, ids))
+        rank = np.empty(len(ids), np.int64)
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[by_id][1:] != ids[by_id][:-1]) | (tags[by_id][1:] != tags[by_id][:-1])
+        rank[by_id] = np.cumsum(new) - 1  # repeats of a row share a rank
+        at = (rank[doc] << 32) | place
+        order = np.lexsort((at, h1))
+        h1, h2, doc, place, at = h1[order], h2[order], doc[order], place[order], at[order]
         later = np.zeros(len(h1), bool)
         later[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        # Equal (doc_id, place): a repeat of the row itself, not another start.
         begins = np.flatnonzero(~later)
         head = np.repeat(begins, np.diff(np.append(begins, len(h1))))
-        removed = later & ((doc_id != doc_id[head]) | (place != place[head]))
-        first = ~later
-        names = ["h1", "h2", "doc_id", "place", "own"]
-        for at in range(0, int(first.sum()), 200_000):
-            some = np.flatnonzero(first)[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(h1[some].view(np.int64)), pa.array(h2[some].view(np.int64)), pa.array(doc_id[some]), pa.array(place[some]), pa.nulls(len(some), pa.binary())], names=names)
-        doc_id, place = doc_id[removed], place[removed]
-        order = np.lexsort((place, doc_id))
-        doc_id, place = doc_id[order], place[order]
-        new = np.ones(len(doc_id), bool)
-        new[1:] = (doc_id[1:] != doc_id[:-1]) | ((place[1:] >> 32) != (place[:-1] >> 32))
-        heads = np.flatnonzero(new)
-        if len(heads):
-            own = [packed(x & 0xFFFFFFFF) for x in np.split(place, heads[1:])]
-            salt = windows.mixed(doc_id[heads].view(np.uint64) ^ windows.mixed(place[heads].view(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(salt), pa.array(np.zeros(len(heads), np.int64)), pa.array(doc_id[heads]), pa.array(place[heads]), pa.array(own, pa.binary())], names=names)
+        first = np.flatnonzero(~later)
+        yield from pack((h1[first] % np.uint64(buckets)).astype(np.int64), doc[first], place[first], h1[first], h2[first], ids, tags)
+        gone = np.flatnonzero(later & (at != at[head]))
+        if len(gone):
+            run = doc[gone] >> 8  # 256 texts travel together
+            yield from pack((windows.mixed(run.astype(np.uint64) + np.uint64(abs(int(ids[0])))) % np.uint64(buckets)).astype(np.int64), doc[gone], place[gone], None, None, ids, tags)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, texts, ids, tags = [], 0, 0, [], []
         for part in cut(batches):
-            (h1, h2), doc, at = window_hashes(part, n, windows.MULTIPLIERS)
-            on = np.flatnonzero(seen.value.may_repeat(h1))
-            ids = np.asarray(part.column("doc_id").fill_null(LEAST))
-            tags = np.asarray(part.column("key")) & 0x7FFFFFFF
-            held.append((h1[on], h2[on], ids[doc[on]], (tags[doc[on]] << 32) | at[on]))
-            size += len(on)
+            _, least, first, h1, h2, doc, at = hashed(part, n, True)
+            on = np.flatnonzero(seen.value.may_repeat(least))
+            ids.append(np.asarray(part.column("doc_id").fill_null(LEAST)))
+            tags.append(np.asarray(part.column("key")) & 0x7FFFFFFF)
+            held.append((h1[on], (h2[on] >> np.uint64(32)).astype("<u4"), doc[on] + texts, at[on]))
+            texts, size = texts + part.num_rows, size + len(on)
             if size >= HELD:
-                yield from send(held)
-                held, size = [], 0
+                yield from send(held, np.concatenate(ids), np.concatenate(tags))
+                held, size, texts, ids, tags = [], 0, 0, [], []
         if size:
-            yield from send(held)
+            yield from send(held, np.concatenate(ids), np.concatenate(tags))
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a partition come bucket by bucket; of equal windows of a bucket all but the earliest are removed."""
+        now, own, removed, size = None, [], [], 0
+
+        def later():
+            if not own:
+                return
+            doc_id, tag, place, h1, h2 = (np.concatenate(x) for x in zip(*own, strict=True))
+            order = np.lexsort((place, tag, doc_id, h2, h1))
+            doc_id, tag, place, h1, h2 = doc_id[order], tag[order], place[order], h1[order], h2[order]
+            same = np.zeros(len(h1), bool)
+            same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+            begins = np.flatnonzero(~same)
+            head = np.repeat(begins, np.diff(np.append(begins, len(h1))))
+            # Equal id, tag and place: a repeat of the row itself, not another start.
+            on = same & ((doc_id != doc_id[head]) | (tag != tag[head]) | (place != place[head]))
+            removed.append((doc_id[on], tag[on], place[on]))
+
+        for part in batches:
+            for bucket, *data in zip(*(part.column(c).to_pylist() for c in ("bucket", *PACKED)), strict=True):
+                if bucket != now:
+                    later()
+                    now, own = bucket, []
+                got = unpack(*data)
+                if len(got[3]):
+                    own.append(got)
+                else:
+                    removed.append(got[:3])
+                size += len(got[0])
+            if size > 2 * HELD:
+                yield from back(removed)
+                removed.clear()
+                size = 0
+        later()
+        yield from back(removed)
+
+    def back(removed: list) -> Iterator[pa.RecordBatch]:
+        """Removed windows in buckets of texts."""
+        doc_id, tag, place, new = by_text(removed)
+        if not len(place):
+            return
+        doc = np.cumsum(new) - 1
+        ids, tags = doc_id[new], tag[new]
+        yield from pack((windows.mixed(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[doc], doc, place, None, None, ids, tags)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
+        for part in batches:
+            for bucket, *data in zip(*(part.column(c).to_pylist() for c in ("bucket", *PACKED)), strict=True):
+                if bucket != now:
+                    yield from runs_of(own, n)
+                    now, own = bucket, []
+                own.append(unpack(*data)[:3])
+        yield from runs_of(own, n)
 
-    same = Window.partitionBy("h1", "h2")
-    found = rows.mapInArrow(candidates, CANDIDATE_SQL)
-    found = found.withColumn("first", F.min(F.struct("doc_id", "place")).over(same)).filter(F.col("own").isNotNull() | (F.col("first") != F.struct("doc_id", "place")))
-    tag = F.shiftright("place", 32).cast("int")
-    gathered = found.select("doc_id", tag.alias("tag"), F.when(F.col("own").isNull(), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("place"), "own")
-    return gathered.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"), F.collect_list("own").alias("own"))
+    found = rows.mapInArrow(candidates, PACKED_SQL).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(group, PACKED_SQL)
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, tag int, own binary")
 
 
-def covered(places: list[int], own: list[bytes], n_words: int, n: int) -> np.ndarray:
-    """Which words lie in a removed window."""
+def covered(own: bytes, n_words: int) -> np.ndarray:
+    """Which words lie in the packed runs."""
     step = np.zeros(n_words + 1, np.int32)
-    at = np.concatenate([np.asarray(places, np.int64), *(np.frombuffer(x, "<u4").astype(np.int64) for x in own)])
-    at = np.unique(at)
-    step[at] += 1
-    np.subtract.at(step, np.minimum(at + n, n_words), 1)
+    pairs = np.frombuffer(own, "<u4").reshape(-1, 2).astype(np.int64)
+    step[pairs[:, 0]] += 1
+    step[pairs[:, 1]] -= 1
     return np.cumsum(step[:-1]) > 0
 
 
@@ -120,11 +251,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
             starts, ends, bounds = windows.spans(data, offsets, windows.NOT_BLANK)
             counts, out = np.zeros(part.num_rows, np.int64), []
             raw = data.tobytes()
-            for d, (places, own) in enumerate(zip(part.column("places").to_pylist(), part.column("own").to_pylist(), strict=True)):
+            for d, own in enumerate(part.column("own").to_pylist()):
                 a, b = bounds[d], bounds[d + 1]
                 keep = np.ones(b - a, bool)
-                if places or own:
-                    keep = ~covered(places or [], own or [], int(b - a), window)
+                if own:
+                    keep = ~covered(own, int(b - a))
                     counts[d] = int(b - a - keep.sum())
                 on = np.flatnonzero(keep) + a
                 out.append(b" ".join([raw[s:e] for s, e in zip(starts[on].tolist(), ends[on].tolist(), strict=True)]))
@@ -132,7 +263,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
 
     own_id, tag = F.coalesce("doc_id", F.lit(LEAST)), F.col("key").bitwiseAND(0x7FFFFFFF).cast("int")
     texts = rows.withColumns({"own_id": own_id, "own_tag": tag})
-    both = texts.join(removed, (F.col("own_id") == F.col("rid")) & (F.col("own_tag") == F.col("tag")), "left").select("doc_id", "text", "places", "own")
+    both = texts.join(removed, (F.col("own_id") == F.col("rid")) & (F.col("own_tag") == F.col("tag")), "left").select("doc_id", "text", "own")
     return both.mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
 
 

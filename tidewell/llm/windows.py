@@ -6,8 +6,6 @@ taken from running sums, then mixed. Two multipliers give two independent hashes
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -21,21 +19,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-@functools.lru_cache(8)
-def powers(n: int, multiplier: int) -> tuple[np.ndarray, np.ndarray]:
-    """multiplier**i and its inverse, for i below n."""
-    out = []
-    for m in (multiplier, pow(multiplier, -1, 1 << 64)):
-        x = np.full(n, m, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
+_KEPT: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int, multiplier: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(10, (n - 1).bit_length() if n else 0)
-    a, b = powers(size, multiplier)
-    return a[:n], b[:n]
+    """multiplier**i and its inverse modulo 2**64, for i below n; a process keeps the longest it has needed, up to 4 million."""
+    got = _KEPT.get(multiplier)
+    if got is None or len(got[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        out = []
+        for m in (multiplier, pow(multiplier, -1, 1 << 64)):
+            x = np.full(size if size <= 1 << 22 else n, m, np.uint64)
+            x[0] = 1
+            out.append(np.multiply.accumulate(x))
+        got = out[0], out[1]
+        if size <= 1 << 22:
+            _KEPT[multiplier] = got
+    return got[0][:n], got[1][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,7 +65,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, multipli
         return np.zeros(0, np.uint64)
     up, down = _powers(len(data), multiplier)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    np.add(data, np.uint64(1), out=sums[1:], casting="unsafe")
+    sums[1:] *= up
+    np.cumsum(sums[1:], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
