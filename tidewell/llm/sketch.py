@@ -128,6 +128,37 @@ class Sketch:
         return out
 
 
+def powers(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int = 22):
+    """A broadcast table of 2**bits cells: the power of two of how many hashes fell in each (an estimate from above)."""
+    block_bits = min(BLOCK_BITS, bits)
+    blocks = 1 << (bits - block_bits)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
+        for part in batches:
+            counts += np.bincount(cells(hashes(part), 0, bits), minlength=1 << bits).astype(np.uint32)
+        for k in range(blocks):
+            some = counts[k << block_bits : (k + 1) << block_bits]
+            if some.any():
+                planes = np.ascontiguousarray(some.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(planes.tobytes())], pa.binary())], names=["block", "data"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for part in batches:
+            for block, data in zip(part.column("block").to_pylist(), part.column("data").to_pylist(), strict=True):
+                planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+                sums[block] = sums.get(block, 0) + np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+        for block, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.ceil(np.log2(own + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["block", "powers"])
+
+    found = rows.mapInArrow(partial, "block int, data binary").repartition("block").mapInArrow(merge, "block int, powers binary")
+    table = np.zeros(1 << bits, np.uint8)
+    for block, data in found.collect():
+        table[block << block_bits : (block + 1) << block_bits] = np.frombuffer(data, np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(table)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """All bytes of text, by which a sketch's width is chosen."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
