@@ -1,6 +1,227 @@
-"""All registered queries but those of the training-data subpackage."""
+"""All registered queries but those of the training-data subpackage, each with the SQL that checks it."""
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..functions import text as T
+from ..functions.filters import Filter
+from ..operators import requests, retrieval
+from ..sources.tables import catalogue, table
+from ..streaming.counts import tumbling
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+NODES = [hashlib.sha256(f'{{"ip":"10.0.0.{i}","port":{8000 + i}}}'.encode()).hexdigest() for i in range(1, 6)]
+STOP = ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "with", "as", "was", "by", "are", "this", "de", "la", "le", "der", "die", "und"]
+ALIASES = [("CSCI", "computer science"), ("MATH", "mathematics"), ("ECON", "economics"), ("THE", "the"), ("DER", "der"), ("QUE", "que")]
+DOT = "round(list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), 6)"
+CODE = "o_orderpriority || ' ' || CAST(o_orderkey AS VARCHAR)"
+TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda t: t <> '')"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
+
+
+@query(f"SELECT e.vec_id, e.label, {DOT} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 20")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact inner-product top 20 for the vector of record 0."""
+    return retrieval.top_k(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 20)
+
+
+@query(f"SELECT e.vec_id, e.label, {DOT} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label IN (1, 3, 5) ORDER BY score DESC, vec_id LIMIT 40")
+def vector_top_k_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2, F2, K6: filtered before scoring."""
+    return retrieval.top_k(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 40, F.col("label").isin(1, 3, 5))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A17, H11."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm, 6).alias("norm"))
+
+
+@query(f"SELECT o_orderkey, {CODE} AS code, count(l_orderkey) AS n_sections, round(coalesce(sum(l_extendedprice), 0), 2) AS price, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS flags FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def collapsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order and its lines as one nested record."""
+    price = F.aggregate("sections", F.lit(0.0), lambda s, x: s + x["l_extendedprice"])
+    flags = F.array_join(F.array_sort(F.array_distinct(F.transform("sections", lambda s: s["l_returnflag"]))), ",")
+    return catalogue(spark, sf_dir).select("o_orderkey", "code", F.size("sections").cast("long").alias("n_sections"), F.round(price, 2).alias("price"), flags.alias("flags"))
+
+
+@query(f"SELECT o_orderkey, {CODE} AS code, count(*) AS kept, max(l_quantity) AS most FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 30 AND l_discount < 0.04 AND l_returnflag <> 'N' GROUP BY ALL")
+def nested_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All filters hold for one section; other sections are pruned."""
+    filters = [Filter("l_quantity", "gt", 30.0), Filter("l_discount", "lt", 0.04), Filter("l_returnflag", "ne", "N")]
+    rows = retrieval.pruned(catalogue(spark, sf_dir), filters)
+    return rows.select("o_orderkey", "code", F.size("sections").cast("long").alias("kept"), F.array_max(F.transform("sections", lambda s: s["l_quantity"])).alias("most"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 200000 THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS stage, o_totalprice FROM orders WHERE upper(split_part({CODE}, ' ', 1)) IN ('1-URGENT', '2-HIGH') ORDER BY stage, o_totalprice DESC, o_orderkey LIMIT 40")
+def staged_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priority stages after a prefix filter."""
+    code = F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string"))
+    rows = table(spark, sf_dir, "orders").filter(T.code_prefix(code).isin("1-URGENT", "2-HIGH"))
+    status = F.col("o_orderstatus") == "O"
+    return retrieval.staged(rows, [status & (F.col("o_totalprice") > 200000), status, F.lit(True)], [F.desc("o_totalprice")], "o_orderkey", 40).select("o_orderkey", "stage", "o_totalprice")
+
+
+@query("SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY o_custkey")
+def latest_non_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per field the latest value that isn't null."""
+    return retrieval.latest(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderstatus", "o_totalprice"])
+
+
+_STOPPED = f"list_filter({TOKENS}, lambda t: t NOT IN ({', '.join(repr(s) for s in STOP)}))"
+_GRAMS = f"""w AS (SELECT doc_id, {_STOPPED} AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda p: w[p] || ' ' || w[p + 1]), list_transform(range(1, greatest(len(w) - 1, 1)), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]))) AS term FROM w),
+i AS (SELECT term, doc_id, count(*) AS freq FROM g GROUP BY ALL)"""
+
+
+@query(f"WITH {_GRAMS}, r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY freq DESC, doc_id) AS r FROM i) SELECT term, count(*) AS df, CAST(sum(freq) AS BIGINT) AS freq, string_agg(doc_id || ':' || freq, ' ' ORDER BY r) FILTER (WHERE r <= 5) AS postings FROM r GROUP BY term")
+def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-gram postings of all texts."""
+    return retrieval.merged(retrieval.postings(table(spark, sf_dir, "documents"), STOP))
+
+
+@query(f"WITH {_GRAMS} SELECT term, doc_id, freq FROM i WHERE contains(' ' || term || ' ', ' loser ') OR contains(' ' || term || ' ', ' license ')")
+def phrase_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """postings of n-grams that hold a phrase at word boundaries."""
+    padded = F.concat(F.lit(" "), "term", F.lit(" "))
+    return retrieval.postings(table(spark, sf_dir, "documents"), STOP).filter(padded.contains(" loser ") | padded.contains(" license "))
+
+
+@query("SELECT page_id, url, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS n_links, coalesce(list_extract(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1), '') AS first_link, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM pages")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and text of pages."""
+    found = T.links(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.size(found).cast("long").alias("n_links"), F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")).alias("first_link"), T.plain(F.col("html")).alias("body"))
+
+
+_KID = "sha256('\"' || CAST(o_orderkey AS VARCHAR) || '\"')"
+_MOD = "list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(range(0, 8), lambda i: CAST(CAST('0x' || substr(kid, CAST(i * 8 + 1 AS BIGINT), 8) AS UBIGINT) AS HUGEINT))), lambda a, x: (a * 4294967296 + x) % 5)"
+_LIST = "[" + ", ".join(f"'{n}'" for n in sorted(NODES)) + "]"
+
+
+@query(f"WITH k AS (SELECT o_orderkey, {_KID} AS kid FROM orders) SELECT o_orderkey, substr(kid, 1, 5) AS sid, CAST({_MOD} AS BIGINT) AS by_modulo, coalesce(list_min(list_filter({_LIST}, lambda n: n > kid)), list_min({_LIST})) AS by_ring, list_extract(list_sort(list_transform({_LIST}, lambda n: sha256('\"' || kid || n || '\"') || n), 'DESC'), 1)[65:] AS by_rendezvous FROM k")
+def key_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners of keys among five nodes."""
+    kid = F.col("kid")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", ids.key_id(F.col("o_orderkey")).alias("kid"))
+    return rows.select("o_orderkey", F.substring(kid, 1, 5).alias("sid"), ids.modulo(kid, 5).alias("by_modulo"), ids.ring(kid, NODES).alias("by_ring"), ids.rendezvous(kid, NODES).alias("by_rendezvous"))
+
+
+@query("SELECT c_custkey, c_name, coalesce(max(o_orderstatus), '') AS status, count(o_orderkey) AS matched FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'P' GROUP BY ALL")
+def enriched_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left join to a side aggregated first."""
+    side = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").groupBy("o_custkey").agg(F.max("o_orderstatus").alias("status"), F.count("*").alias("matched"))
+    return table(spark, sf_dir, "customer").join(side, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", F.coalesce("status", F.lit("")).alias("status"), F.coalesce("matched", F.lit(0)).alias("matched"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+def still_to_do(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose key isn't done."""
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+
+
+@query("WITH n AS (SELECT s_suppkey AS key, s_name AS name, s_acctbal AS value FROM supplier) SELECT c_custkey AS key, c_name AS name, c_acctbal AS value FROM customer ANTI JOIN n ON key = c_custkey UNION ALL SELECT * FROM n")
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replace rows of equal key, append the others."""
+    new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("value"))
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("value"))
+    return old.join(new, "key", "left_anti").unionByName(new)
+
+
+@query("SELECT p_brand, p_type, count(*) AS n, round(avg(p_retailprice), 2) AS price, CAST(min(p_size) AS INTEGER) AS least FROM part GROUP BY ALL")
+def map_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values by key, combined before the shuffle."""
+    return table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 2).alias("price"), F.min("p_size").alias("least"))
+
+
+@query("SELECT DISTINCT n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def distinct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct codes, hydrated."""
+    keys = table(spark, sf_dir, "customer").select("c_nationkey").distinct()
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return keys.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+
+
+_ALIASES = "(VALUES " + ", ".join(f"('{c}', '{a}')" for c, a in ALIASES) + ") a(code, alias)"
+
+
+@query(f"SELECT conv_id, turn, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM conversations, {_ALIASES} WHERE contains(' ' || trim(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || alias || ' ') GROUP BY conv_id, turn")
+def alias_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed list of aliases found as whole words."""
+    padded = F.concat(F.lit(" "), T.normalised(F.col("text")), F.lit(" "))
+    found = F.array_compact(F.array(*(F.when(padded.contains(f" {a} "), F.lit(c)) for c, a in ALIASES)))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(found).alias("code")).groupBy("conv_id", "turn")
+    return rows.agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+
+
+@query("SELECT o_orderkey, CASE month(o_orderdate) // 4 WHEN 0 THEN 'Spring' WHEN 1 THEN 'Summer' WHEN 2 THEN 'Fall' ELSE 'Winter' END || ' ' || year(o_orderdate) AS term, CASE o_orderkey % 4 WHEN 0 THEN 'M,W,F' WHEN 1 THEN 'Tu,Th' WHEN 2 THEN '' ELSE 'Th,T' END AS days FROM orders")
+def term_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1, H2, H3: names of terms and days of meeting patterns."""
+    part = F.floor(F.month("o_orderdate") / 4)
+    code = F.concat(F.year("o_orderdate").cast("string"), F.when(part == 0, "20").when(part == 1, "00").when(part == 2, "10").otherwise("15"))
+    meets = F.element_at(F.array(*map(F.lit, ("MWF 9", "TuTh 1:00", "TBA", "TTh 2"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.term_name(code).alias("term"), F.array_join(T.week_days(meets), ",").alias("days"))
+
+
+@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS greatest, max(value) FILTER (r = floor((n - 1) * 0.5) + 1) AS p50, max(value) FILTER (r = floor((n - 1) * 0.95) + 1) AS p95, max(value) FILTER (r = floor((n - 1) * 0.99) + 1) AS p99 FROM r GROUP BY event_type")
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12, A13, A14."""
+    return requests.latency(table(spark, sf_dir, "events"))
+
+
+@query()
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequential state per user."""
+    return requests.rate_limited(table(spark, sf_dir, "events"), 3, 24)
+
+
+@query("WITH g AS (SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) AS gap_us FROM events) SELECT event_id, gap_us, coalesce(gap_us <= 1800000000, false) AS hit FROM g")
+def cache_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W6, T5."""
+    return requests.recency(table(spark, sf_dir, "events"))
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7 and event-time windows; the same plan runs on a stream."""
+    return tumbling(table(spark, sf_dir, "events"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS said FROM events WHERE length(event_type) BETWEEN 1 AND 500")
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON fields and ISO times of log records."""
+    return table(spark, sf_dir, "events").filter(F.length("event_type").between(1, 500)).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("said"))
+
+
+@query("SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn, role) AS roles, max(length(text)) AS longest FROM conversations GROUP BY conv_id")
+def context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordered context per conversation."""
+    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), roles.alias("roles"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query("SELECT c_custkey, c_mktsegment, c_acctbal, r FROM (SELECT c_custkey, c_mktsegment, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 10")
+def best_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best ten of each group; Spark keeps ten a partition before the shuffle."""
+    r = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", r.cast("long").alias("r")).filter("r <= 10")
