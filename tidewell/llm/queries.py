@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, media, secrets, sharding, substrings, tokens, toxicity
+from . import bpe, bytededup, decontam, jaccard, media, secrets, sharding, substrings, tokens, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytededup.digest(bytededup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
@@ -51,7 +55,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_chunked_media, op3_benchmark_index, op4_token_counts, op5_secret_scan, op7_toxic_spans, op8_bpe_roundtrip, op9_substring_dedup, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_chunked_media, op3_benchmark_index, op4_token_counts, op5_secret_scan, op6_suffix_dedup, op7_toxic_spans, op8_bpe_roundtrip, op9_substring_dedup, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
 
 #: A to Z lower-cased, then words; windows of up to ten words joined by blanks (no word holds one).
