@@ -26,8 +26,8 @@ from . import common, sketch, windows
 from .components import components
 
 WORDS, PERCENT = 5, 75
-#: Classes of a tile about; bits of a signature; bytes of text that a kernel call takes.
-TILE, SIGNATURE_BITS, SLICE_BYTES = 256, 1024, 2 << 20
+#: Classes of a tile and bytes of their sets, about; bits of a signature; bytes of text that a kernel call takes.
+TILE, TILE_BYTES, SIGNATURE_BITS, SLICE_BYTES = 1024, 16 << 20, 1024, 2 << 20
 
 
 def shingle_sets(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,10 +134,10 @@ def document_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     return rows.mapInArrow(work, "doc_id long, n_shingles long, s1 long, s2 long, shared binary")
 
 
-def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
+def candidate_clusters(rows: DataFrame, percent: int) -> DataFrame:
     """class and cluster of all classes that share a prefix shingle with another, directly or over others."""
     all_of = lambda part: np.concatenate([np.frombuffer(x, "<u8") for x in part.column("shared").to_pylist()] or [np.zeros(0, np.uint64)])
-    powers = sketch.powers(classes.select("shared"), all_of)
+    powers = sketch.powers(rows.select("shared"), all_of)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -153,19 +153,22 @@ def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(own).astype(np.int64))], names=["shingle", "class"])
 
-    rows = classes.select("class", "n_shingles", "shared").mapInArrow(prefixes, "shingle long, class long")
-    stars = rows.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a != z").select("shingle", "a")
-    return components(rows.join(stars, "shingle").filter("class != a").select("a", F.col("class").alias("b"))).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    own = rows.select("class", "n_shingles", "shared").mapInArrow(prefixes, "shingle long, class long")
+    stars = own.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a != z").select("shingle", "a")
+    return components(own.join(stars, "shingle").filter("class != a").select("a", F.col("class").alias("b"))).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
 
 
-def links(classes: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """a, b: links between classes (class, n_shingles, shared) that connect all that are linked, over others or directly."""
-    clusters = common.written(candidate_clusters(classes, percent))
+def links(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """a, b: links between classes that connect all that are linked, over others or directly; rows (class, n_shingles, shared) may repeat a class.
+
+    The sets themselves move twice: once to bring a class's copies together, where the plan of its units meets it, and once to the units.
+    """
+    clusters = common.written(candidate_clusters(rows, percent))
     width = math.log(100 / percent)
-    banded = classes.join(clusters, "class").withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / width + 1e-9).cast("int"))
-    sizes = clusters.join(classes.select("class", "n_shingles"), "class").withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / width + 1e-9).cast("int"))
-    bands = sizes.groupBy("cluster", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"), F.count("*").alias("n"))
-    whole = bands.groupBy("cluster").agg(F.sum("n").alias("n"))
+    small = rows.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first(F.octet_length("shared")).alias("bytes"))
+    sizes = clusters.join(small, "class").withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / width + 1e-9).cast("int"))
+    bands = sizes.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("bytes") / TILE_BYTES)).cast("int").alias("tiles"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    whole = bands.groupBy("cluster").agg(((F.sum("n") <= tile) & (F.sum("bytes") <= TILE_BYTES)).alias("small"))
     near = bands.select("cluster", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("other"), "tiles")
     near = near.groupBy("cluster", "band").agg(*(F.max(F.when(F.col("other") == F.col("band") + d, F.col("tiles"))).alias(c) for c, d in (("below", -1), ("own", 0), ("above", 1))))
     plan = near.filter("own is not null").join(whole, "cluster")
@@ -178,8 +181,10 @@ def links(classes: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     up = F.transform(to(F.col("above")), lambda o: unit(me[0], me[1], me[0] + 1, o, F.lit(0)))
     down = F.transform(to(F.col("below")), lambda o: unit(me[0] - 1, o, me[0], me[1], F.lit(1)))
     one = F.array(unit(none, none, none, none, F.lit(2)))
-    dealt = banded.join(plan, ["cluster", "band"]).withColumn("salt", salt)
-    dealt = dealt.withColumn("unit", F.explode(F.when(F.col("n") <= tile, one).otherwise(F.concat(same, up, down)))).select("cluster", "unit.*", "class", "n_shingles", "shared")
+    units = sizes.join(plan, ["cluster", "band"]).withColumn("salt", salt)
+    units = units.withColumn("unit", F.explode(F.when(F.col("small"), one).otherwise(F.concat(same, up, down)))).select("class", "cluster", "unit.*")
+    sets = rows.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("shared").alias("shared"))
+    dealt = sets.join(units, "class").select("cluster", "b", "s", "b2", "s2", "left", "class", "n_shingles", "shared")
     keys = ("cluster", "b", "s", "b2", "s2")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,13 +217,10 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_
     stay and share their component. A null id counts only where its component has no other; then component_id is null.
     """
     sets = common.written(document_sets(docs, n, percent, id_col, text_col, max_bits))
-    may = sets.filter(F.col("shared").isNotNull())
-    # s1 names a class; s2 must agree, which makes 128 bits.
-    classes = may.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("shared").alias("shared"))
-    classes = common.written(classes.select(F.xxhash64("s1", "s2").alias("class"), "s1", "s2", "least", "n_shingles", "shared"))
-    roots = components(links(classes, percent, tile))
-    named = classes.select("class", "s1", "s2", "least").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+    may = sets.filter(F.col("shared").isNotNull()).withColumn("class", F.xxhash64("s1", "s2"))
+    roots = components(links(may.select("class", "n_shingles", "shared"), percent, tile))
+    named = may.groupBy("class").agg(F.min("doc_id").alias("least")).join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     groups = named.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = named.join(groups, "root").select("s1", "s2", "component")
-    grouped = may.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    of_class = named.join(groups, "root").select("class", "component")
+    grouped = may.select("doc_id", "n_shingles", "class").join(of_class, "class").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return grouped.unionByName(sets.filter(F.col("shared").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
