@@ -97,7 +97,9 @@ def token_labels(words: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np
 def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Field:
     """Weights of the chain by gradient ascent on the segments' likelihood, then the calibration; prior: P(toxic) of labelled documents."""
     toxic = toxic.astype(np.float64)
-    words, _, _, bounds = words_of(pa.array(texts, pa.string()))
+    parts = [words_of(pa.array(texts[k : k + 100], pa.string())) for k in range(0, len(texts), 100)]  # the hashes take many bytes a character
+    words = np.concatenate([x[0] for x in parts] or [np.zeros(0, np.int64)])
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[3]) for x in parts] or [np.zeros(0, np.int64)]))]).astype(np.int64)
     labels = token_labels(words, bounds, toxic)
     starts = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]).astype(np.int64) if len(words) else np.zeros(0, np.int64)
     stops = np.minimum(starts + SEGMENT, bounds[np.searchsorted(bounds, starts, "right")]) if len(words) else starts
