@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call handles at most (a longer text is handled alone).
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+#: Rows of a batch between Spark and Python at most.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text alone; a null text becomes empty. Other columns, whatever their names, are not read."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of text can be long: at most BATCH_ROWS of them cross to Python at once, unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives memory that a worker no longer uses back: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in runs of about `limit` bytes of text: small batches are put together, large ones cut."""
     held: list[pa.RecordBatch] = []
@@ -43,6 +63,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
                 held, size = [], 0
     if held:
         yield joined(held)
+        held = []
+    release()
 
 
 def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ from .fmindex import Index
 
 WINDOW = 10
 #: Phrases in a block, bytes of text of a shard, and words of a part of a longer text.
-BLOCK, SHARD_BYTES, LONG_WORDS = 100_000, 4 << 20, 500_000
+BLOCK, SHARD_BYTES, LONG_WORDS = 100_000, 2 << 20, 500_000
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 HIT_SQL = "array<struct<first:int,last:int>>"
 FOUND_SQL = f"doc_id long, text string, n_words long, hits {HIT_SQL}, items array<string>"
@@ -178,6 +178,7 @@ def remove_benchmark(docs: DataFrame, bench: DataFrame, window: int = WINDOW) ->
 
     The index sees each text once; a row's other columns go through as they are.
     """
+    common.small_batches(docs.sparkSession)
     fields, names = docs.schema, docs.columns
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     rest = F.struct(*(F.col(f"`{c}`") for c in names))

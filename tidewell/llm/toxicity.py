@@ -26,7 +26,7 @@ SAMPLE, SAMPLE_CHARS = 2500, 50_000
 WORD_BITS, SEGMENT, SEGMENTS, ROUNDS = 18, 32, 12_000, 60
 #: A word is toxic in a toxic document from this ratio of document frequencies and so many documents on.
 RATIO, LEAST_DOCS = 20.0, 5
-THRESHOLD, SLICE_BYTES = 0.7, 4 << 20
+THRESHOLD, SLICE_BYTES = 0.7, 2 << 20
 
 
 @dataclass
@@ -235,6 +235,7 @@ def scored(texts: pa.Array, field: Field) -> tuple[np.ndarray, list[list[dict]]]
 
 def drop_toxic(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, all columns, whose score is below the threshold."""
+    common.small_batches(docs.sparkSession)
     own = docs.sparkSession.sparkContext.broadcast(field)
     at = docs.columns.index("text")
 
