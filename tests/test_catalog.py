@@ -6,10 +6,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions import filters
+from tidewell.functions import answers, filters, html, stem
 from tidewell.functions import text as T
 from tidewell.jobs import catalog
-from tidewell.operators import requests, retrieval
+from tidewell.operators import crawl, requests, retrieval
+from tidewell.sources import tsv
+from tidewell.streaming import index
 from tidewell.streaming.counts import tumbling
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -67,3 +69,73 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 20 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stems():
+    # Examples of the paper.
+    pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit radically radic vietnamization vietnam triplicate triplic hopefulness hope goodness good revival reviv adoption adopt effective effect probate probat rate rate cease ceas controll control roll roll is is generalizations gener oscillators oscil"
+    words = pairs.split()
+    assert [stem.stem(w) for w in words[::2]] == words[1::2]
+
+
+def test_stemmed_terms_keep_all_words(spark, sf):
+    rows = catalog.stemmed_terms(spark, sf).collect()
+    words = [w for r in spark.read.parquet(f"{sf}/documents.parquet").select(T.without(T.tokens(F.coalesce("text", F.lit(""))), catalog.STOP).alias("w")).collect() for w in r.w]
+    of = {w: stem.stem(w) for w in set(words)}
+    terms, freq = Counter(of.values()), Counter(of[w] for w in words)
+    assert {r.stem: (r.terms, r.freq) for r in rows} == {s: (terms[s], freq[s]) for s in terms}
+
+
+def test_reach(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "b"), ("x", "y"), ("c", None), (None, "z")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("a",), (None,)], "node string")
+    assert Counter(map(tuple, crawl.reached(edges, seeds).collect())) == Counter([("a", 0), ("b", 1), ("c", 2)])
+    assert crawl.reached(edges, seeds.limit(0)).count() == 0
+
+
+def test_answers(spark):
+    rows = [('x\nCITED: ["A 1", "B 2"]',), ("**ECON 1234: a** **ECON 1234 b** **MATH 0100A: c** CITED: [oops]",), ("none",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(answers.cited(F.col("t")).alias("c"), answers.cleaned(F.col("t")).alias("x"), answers.sanitised(F.concat(F.lit("q cited : [1] "), "t")).alias("s")).collect()
+    assert [r.c for r in got] == [["A 1", "B 2"], ["ECON 1234", "MATH 0100A"], [], None]
+    assert [r.x for r in got][:3] == ["x", "**ECON 1234: a** **ECON 1234 b** **MATH 0100A: c**", "none"] and got[2].s == "q  none"
+
+
+def test_html(spark):
+    urls = [("http://h/a/b?x=1", "c"), ("http://h", "c"), ("http://h/a/", "/c"), ("http://h/a#u", "#v"), ("http://h/a", "https://o/p")]
+    got = spark.createDataFrame(urls, "u string, h string").select(html.resolved(F.col("u"), F.col("h"))).collect()
+    assert [r[0] for r in got] == ["http://h/a/c", "http://h/c", "http://h/c", "http://h/a#v", "https://o/p"]
+    row = spark.range(1).select(html.shortened(F.lit("<p><a href=x>long text</a>"), 15).alias("a"), html.shortened(F.lit("<p>ab<a hr"), 8).alias("b"), html.shortened(F.lit("ab"), 2).alias("c"), html.without_links(F.lit("<a x>t</a><abbr>")).alias("d")).first()
+    assert tuple(row) == ("<p><a href=x>lo</a>...", "<p>ab...", "ab", "t<abbr>")
+
+
+def test_tsv(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\tb\u2028c"), (2, None), (3, 'say "x"')], "k int, v string")
+    tsv.write(rows, ["v", "k"], str(tmp_path / "out"))
+    back = spark.read.option("sep", "\t").option("header", True).option("escape", '"').csv(str(tmp_path / "out"))
+    assert back.columns == ["v", "k"] and Counter(map(tuple, back.collect())) == Counter([("a\tbc", "1"), ("Unknown", "2"), ('say "x"', "3")])
+
+
+def test_streamed_index(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs.repartition(3).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        index.maintain(stream, catalog.STOP, str(tmp_path / "index"), str(tmp_path / "cp")).awaitTermination(120)
+    assert Counter(index.current(spark, str(tmp_path / "index")).collect()) == Counter(retrieval.postings(docs, catalog.STOP).collect())
+
+
+def test_filter_rules():
+    one = filters.Filter
+    own = [one("programs", "includes_any", ["math", "Nope", "MATH"]), one("days", "eq", "M")]
+    assert filters.by_code(own, {"MATH"}) == [one("code_prefix", "includes_any", ["MATH"]), own[1]] and filters.by_code(own, {"X"}) == own
+    assert filters.with_named(own, ["ECON"])[-1] == one("code_prefix", "includes_any", ["ECON"]) and filters.with_named(own, []) == own
+    assert filters.described(own[0]) == "programs includes_any math, Nope, MATH" and filters.fetch_size(40, own) == 200 and filters.first(own, "x") is None
+    assert filters.with_named([one("code_prefix", "eq", "A")], ["B"]) == [one("code_prefix", "eq", "A")]
+
+
+def test_latency_with_odd_values(spark):
+    inf = float("inf")
+    values = [("a", 1.0), ("a", 1.0), ("a", 5.0), ("b", inf), ("b", -inf), ("b", 2.0), ("c", float("nan")), ("c", 0.0), (None, 3.0), ("d", None)]
+    rows = spark.createDataFrame(values, "event_type string, value double")
+    got = {r.event_type: (r.n, r.p50) for r in requests.latency(rows).collect()}
+    assert got == {"a": (3, 1.0), "b": (3, 2.0), "c": (2, 0.0), None: (1, 3.0)}

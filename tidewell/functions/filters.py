@@ -39,3 +39,31 @@ def predicate(f: Filter) -> Callable[[Column], Column]:
 
 def all_of(filters: list[Filter]) -> Callable[[Column], Column]:
     return lambda element: reduce(lambda a, b: a & b, (predicate(f)(element) for f in filters), F.lit(True))
+
+
+def first(filters: list[Filter], field: str) -> Filter | None:
+    return next((f for f in filters if f.field == field), None)
+
+
+def described(f: Filter) -> str:
+    return f"{f.field} {f.op} {', '.join(map(str, f.value)) if isinstance(f.value, list) else f.value}"
+
+
+def by_code(filters: list[Filter], known: set[str], field: str = "programs", target: str = "code_prefix") -> list[Filter]:
+    """A filter on programs that names known codes becomes one on the code's prefix, without the unknown names; else it stays."""
+    out = []
+    for f in filters:
+        names = f.value if isinstance(f.value, list) else [f.value]
+        codes = list(dict.fromkeys(str(v).upper() for v in names if str(v).upper() in known)) if f.field == field else []
+        out.append(Filter(target, "includes_any", codes) if codes else f)
+    return out
+
+
+def with_named(filters: list[Filter], named: list[str], target: str = "code_prefix") -> list[Filter]:
+    """With a prefix filter for the codes a query names, unless there is one."""
+    return filters if first(filters, target) or not named else [*filters, Filter(target, "includes_any", named)]
+
+
+def fetch_size(k: int, filters: list[Filter]) -> int:
+    """Records to fetch for k after later filtering: three times, and once more for each filter."""
+    return k * (3 + len(filters))

@@ -7,10 +7,11 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids
+from ..functions import answers, html, ids, stem
 from ..functions import text as T
 from ..functions.filters import Filter
-from ..operators import requests, retrieval
+from ..operators import crawl, requests, retrieval
+from ..sources import tsv
 from ..sources.tables import catalogue, table
 from ..streaming.counts import tumbling
 
@@ -225,3 +226,92 @@ def best_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best ten of each group; Spark keeps ten a partition before the shuffle."""
     r = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", r.cast("long").alias("r")).filter("r <= 10")
+
+
+@query()
+def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts by stem; words are counted first, so each distinct word is stemmed once."""
+    words = T.without(T.tokens(F.coalesce("text", F.lit(""))), STOP)
+    terms = table(spark, sf_dir, "documents").select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+    return stem.stemmed(terms).groupBy("stem").agg(F.count("*").alias("terms"), F.sum("freq").alias("freq"), F.min("term").alias("first_term"))
+
+
+_PARTS = "SELECT regexp_extract(url, '^https?://[^/]+(/[^/?#]+)', 1) AS part, url, html FROM pages"
+
+
+@query(f"WITH RECURSIVE p AS ({_PARTS}), e AS (SELECT url AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM p UNION SELECT part, url FROM p WHERE part <> ''), r(node) AS (SELECT url FROM pages WHERE page_id = 0 UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r")
+def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What links lead to from page 0: a page leads to its links, a link to the pages below its path."""
+    pages = table(spark, sf_dir, "pages")
+    part = F.regexp_extract("url", "^https?://[^/]+(/[^/?#]+)", 1)
+    links = pages.select(F.col("url").alias("src"), F.explode(T.links(F.col("html"))).alias("dst"))
+    below = pages.select(part.alias("src"), F.col("url").alias("dst")).filter("src <> ''")
+    return crawl.reached(links.unionByName(below), pages.filter("page_id = 0").select(F.col("url").alias("node"))).select("node")
+
+
+_PLAIN = lambda x: f"trim(regexp_replace(regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_CUT = "regexp_replace(substr(html, 1, 400), '</?\\w[^>]*\\z', '')"
+
+
+@query(f"""WITH f AS (SELECT *, {_PLAIN("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title, {_CUT} AS cut, list_extract(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS link FROM pages)
+SELECT page_id, replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS title, {_PLAIN("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")} AS heading,
+array_to_string(string_split({_PLAIN("regexp_extract(html, '(?is)<div class=.ad.>(.*?)</div>', 1)")}, ' ')[1:2], ' ') AS ad,
+CASE WHEN length(html) <= 400 THEN html ELSE cut || CASE WHEN len(regexp_extract_all(cut, '(?i)<a[\\s>]')) > len(regexp_extract_all(cut, '(?i)</a>')) THEN '</a>' ELSE '' END || '...' END AS teaser,
+CASE WHEN link LIKE '/%' THEN regexp_extract(url, '^https?://[^/]+') || link ELSE link END AS first_link, length(regexp_replace(html, '(?i)</?a(\\s[^>]*)?>', '', 'g')) AS n_unlinked FROM f""")
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields, a teaser and a resolved link of each page."""
+    h, link = F.col("html"), F.try_element_at(T.links(F.col("html")), F.lit(1))
+    ad = html.first_words(html.element(h, "div", "ad"), 2)
+    rows = table(spark, sf_dir, "pages")
+    return rows.select("page_id", html.escaped(html.element(h, "title")).alias("title"), html.element(h, "h1").alias("heading"), ad.alias("ad"), html.shortened(h, 400).alias("teaser"), html.resolved(F.col("url"), link).alias("first_link"), F.length(html.without_links(h)).cast("long").alias("n_unlinked"))
+
+
+_ROLE = "upper(substr(role, 1, 4)) || ' ' || lpad(CAST(conv_id % 10000 AS VARCHAR), 4, '0')"
+
+
+@query(f"SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND turn % 3 <> 0 THEN {_ROLE} || ',X 1' ELSE {_ROLE} END AS codes, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY ALL")
+def cited_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of answers made of the turns: a list behind the marker, a broken list every third turn, else bold codes."""
+    code = F.concat_ws(" ", F.upper(F.substring("role", 1, 4)), F.lpad((F.col("conv_id") % 10000).cast("string"), 4, "0"))
+    listed = F.concat(F.lit('\nCITED: ["'), code, F.when(F.col("turn") % 3 != 0, F.lit('", "X 1"]')).otherwise(F.lit('", ]')))
+    answer = F.concat("text", F.lit(" **"), code, F.lit(": title**"), F.when(F.col("role") == "assistant", listed).otherwise(F.lit("")))
+    rows = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", "role", F.array_join(answers.cited(answer), ",").alias("codes"))
+    return rows.groupBy("conv_id", "turn", "role", "codes").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, coalesce(lang, 'Unknown') AS lang, coalesce(CAST(quality AS VARCHAR), 'Unknown') AS quality, coalesce(replace(replace(text, chr(8232), ''), chr(8233), ''), 'Unknown') AS text FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def tsv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as the tab-separated sink writes them."""
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return tsv.fields(joined, ["doc_id", "lang", "quality", "text"])
+
+
+_UNIGRAMS = f"u AS (SELECT doc_id, unnest({_STOPPED}) AS term FROM documents), i AS (SELECT term, doc_id, count(*) AS freq FROM u GROUP BY ALL)"
+
+
+@query(f"WITH {_UNIGRAMS} SELECT term, CAST(floor(doc_id / 1000) AS BIGINT) AS block, term || ' | ' || string_agg(doc_id || ' ' || freq, ' ' ORDER BY freq DESC, doc_id) AS line FROM i GROUP BY term, floor(doc_id / 1000)")
+def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S14 (writing), A7: postings as lines of text, a line for each thousand ids."""
+    return retrieval.printed(retrieval.postings(table(spark, sf_dir, "documents"), STOP, 1))
+
+
+@query(f"WITH {_UNIGRAMS} SELECT term, doc_id, freq FROM i")
+def index_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S13, S14 (reading): postings read back from their lines."""
+    return retrieval.parsed(index_lines(spark, sf_dir))
+
+
+@query(f"WITH a AS (SELECT doc_id, text FROM documents UNION ALL SELECT conv_id, text FROM conversations), u AS (SELECT doc_id, unnest({_STOPPED}) AS term FROM a) SELECT term, doc_id, count(*) AS freq FROM u GROUP BY ALL")
+def merged_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two indexes as one; frequencies of equal (term, id) add up."""
+    talks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
+    return retrieval.folded(*(retrieval.postings(d, STOP, 1) for d in (table(spark, sf_dir, "documents"), talks)))
+
+
+@query("SELECT year(o_orderdate) AS y, seasons.s AS season, count(*) FILTER (CASE month(o_orderdate) // 4 WHEN 0 THEN '20' WHEN 1 THEN '00' WHEN 2 THEN '10' ELSE '15' END = seasons.s) AS n FROM orders, (VALUES ('00'), ('10'), ('15'), ('20')) seasons(s) GROUP BY ALL")
+def term_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every year with every term code (two short lists), and how many orders each has."""
+    part = F.floor(F.month("o_orderdate") / 4)
+    counts = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y"), F.when(part == 0, "20").when(part == 1, "00").when(part == 2, "10").otherwise("15").alias("season")).agg(F.count("*").alias("n"))
+    grid = counts.select("y").distinct().select("y", F.explode(F.array(*map(F.lit, ("00", "10", "15", "20")))).alias("season"))
+    return grid.join(counts, ["y", "season"], "left").select("y", "season", F.coalesce("n", F.lit(0)).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,18 +36,42 @@ def staged(records: DataFrame, stages: list[Column], order: list[Column], key: s
     return records.withColumn("stage", stage).filter("stage is not null").orderBy("stage", *order, key).limit(k)
 
 
-def postings(docs: DataFrame, stop: list[str]) -> DataFrame:
-    """term, doc_id, freq of all 1-, 2- and 3-grams of the texts' words."""
+def postings(docs: DataFrame, stop: list[str], most: int = 3) -> DataFrame:
+    """term, doc_id, freq of all n-grams of the texts' words, n up to `most`."""
     words = T.without(T.tokens(F.coalesce("text", F.lit(""))), stop)
-    grams = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.concat("w", T.ngrams(F.col("w"), 2), T.ngrams(F.col("w"), 3))).alias("term"))
-    return grams.groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
+    grams = F.concat("w", *(T.ngrams(F.col("w"), n) for n in range(2, most + 1)))
+    return docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(grams).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
+
+
+def folded(*indexes: DataFrame) -> DataFrame:
+    """Several indexes as one: frequencies of the same term and document add up."""
+    return reduce(DataFrame.unionByName, indexes).groupBy("term", "doc_id").agg(F.sum("freq").alias("freq"))
 
 
 def merged(index: DataFrame, most: int = 5) -> DataFrame:
-    """Per term: documents, occurrences and its first postings (most frequent first, then by id); a rank per posting, no unbounded lists."""
-    ranked = index.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("freq"), "doc_id")))
-    first = F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.struct("r", F.concat_ws(":", "doc_id", "freq").alias("p")))))
-    return ranked.groupBy("term").agg(F.count("*").alias("df"), F.sum("freq").alias("freq"), F.array_join(F.transform(first, lambda x: x["p"]), " ").alias("postings"))
+    """Per term: documents, occurrences and its first postings (most frequent first, then by id).
+
+    Counts are combined before their shuffle, and of a term's postings each task passes on its first `most` only, so a
+    term of all documents weighs no more than others.
+    """
+    counts = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("freq").alias("freq"))
+    ranked = index.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("freq"), "doc_id"))).filter(F.col("r") <= most)
+    first = F.array_sort(F.collect_list(F.struct("r", F.concat_ws(":", "doc_id", "freq").alias("p"))))
+    return counts.join(ranked.groupBy("term").agg(F.array_join(F.transform(first, lambda x: x["p"]), " ").alias("postings")), "term")
+
+
+def printed(index: DataFrame, block: int = 1000) -> DataFrame:
+    """Lines `term | id freq id freq ...`, most frequent first; a line holds the postings of `block` consecutive ids, so none grows with the corpus."""
+    own = F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("f"), "doc_id")))
+    line = F.concat(F.col("term"), F.lit(" | "), F.array_join(F.transform(own, lambda x: F.concat_ws(" ", x["doc_id"], -x["f"])), " "))
+    return index.groupBy("term", F.floor(F.col("doc_id") / block).alias("block")).agg(line.alias("line"))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """term, doc_id, freq of printed lines."""
+    pairs = F.regexp_extract_all(F.regexp_extract("line", r" \| (.*)$", 1), F.lit(r"(-?\d+ \d+)"), 1)
+    rows = lines.select(F.regexp_extract("line", r"^(.*?) \| ", 1).alias("term"), F.explode(pairs).alias("p")).withColumn("p", F.split("p", " "))
+    return rows.select("term", F.col("p")[0].cast("long").alias("doc_id"), F.col("p")[1].cast("long").alias("freq"))
 
 
 def latest(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
