@@ -312,6 +312,6 @@ def merged_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def term_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every year with every term code (two short lists), and how many orders each has."""
     part = F.floor(F.month("o_orderdate") / 4)
-    counts = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y"), F.when(part == 0, "20").when(part == 1, "00").when(part == 2, "10").otherwise("15").alias("season")).agg(F.count("*").alias("n"))
+    counts = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("long").alias("y"), F.when(part == 0, "20").when(part == 1, "00").when(part == 2, "10").otherwise("15").alias("season")).agg(F.count("*").alias("n"))
     grid = counts.select("y").distinct().select("y", F.explode(F.array(*map(F.lit, ("00", "10", "15", "20")))).alias("season"))
     return grid.join(counts, ["y", "season"], "left").select("y", "season", F.coalesce("n", F.lit(0)).alias("n"))
