@@ -102,7 +102,7 @@ def is_signed_token(run: str) -> bool:
         raw = decoded(part)
         try:
             found.append(json.loads(raw) if raw is not None else None)
-        except ValueError:
+        except (ValueError, RecursionError):  # not JSON, or nested too deeply to be a token's
             return False
     return all(isinstance(x, dict) for x in found) and isinstance(found[0].get("alg"), str)
 
