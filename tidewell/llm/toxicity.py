@@ -26,6 +26,8 @@ SAMPLE, SAMPLE_CHARS = 2500, 50_000
 WORD_BITS, SEGMENT, SEGMENTS, ROUNDS = 18, 32, 12_000, 60
 #: A word is toxic in a toxic document from this ratio of document frequencies and so many documents on.
 RATIO, LEAST_DOCS = 20.0, 5
+#: Texts of the sample that are hashed, counted or tagged at once.
+PART = 100
 THRESHOLD, SLICE_BYTES = 0.7, 2 << 20
 
 
@@ -83,27 +85,44 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return (windows.word_hashes(data, starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int64), starts, ends, bounds
 
 
+def sample_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Table places of the words of all texts, and the bounds of each text's words; a few texts at a time, as hashing takes many bytes a character."""
+    words, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for k in range(0, len(texts), PART):
+        own, _, _, bounds = words_of(pa.array(texts[k : k + PART], pa.string()))
+        words.append(own.astype(np.int32))
+        counts.append(np.diff(bounds))
+    return np.concatenate(words), np.cumsum(np.concatenate(counts))
+
+
+def in_parts(words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Texts, words and bounds (from 0) of a few texts at a time."""
+    for k in range(0, len(bounds) - 1, PART):
+        part = bounds[k : k + PART + 1]
+        yield slice(k, k + len(part) - 1), slice(int(part[0]), int(part[-1])), part - part[0]
+
+
 def token_labels(words: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Labels of the words, from how much more often they occur in toxic documents."""
-    doc = np.repeat(np.arange(len(toxic)), np.diff(bounds))
-    pairs = np.unique(doc * (1 << WORD_BITS) + words)
-    has = np.bincount(pairs & ((1 << WORD_BITS) - 1), weights=toxic[pairs >> WORD_BITS], minlength=1 << WORD_BITS)
-    all_ = np.bincount(pairs & ((1 << WORD_BITS) - 1), minlength=1 << WORD_BITS)
+    has, all_ = np.zeros(1 << WORD_BITS), np.zeros(1 << WORD_BITS)
+    for texts, own, part in in_parts(words, bounds):
+        pairs = np.unique(np.repeat(np.arange(len(part) - 1), np.diff(part)) * (1 << WORD_BITS) + words[own])
+        cell, label = pairs & ((1 << WORD_BITS) - 1), toxic[texts][pairs >> WORD_BITS]
+        has += np.bincount(cell, weights=label, minlength=1 << WORD_BITS)
+        all_ += np.bincount(cell, minlength=1 << WORD_BITS)
     ratio = ((has + 0.5) / (toxic.sum() + 1)) / ((all_ - has + 0.5) / ((1 - toxic).sum() + 1))
     telling = (ratio >= RATIO) & (has >= LEAST_DOCS)
-    return (telling[words] & (toxic[doc] > 0)).astype(np.int64)
+    return (telling[words] & np.repeat(toxic > 0, np.diff(bounds))).astype(np.int8)
 
 
 def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Field:
     """Weights of the chain by gradient ascent on the segments' likelihood, then the calibration; prior: P(toxic) of labelled documents."""
     toxic = toxic.astype(np.float64)
-    parts = [words_of(pa.array(texts[k : k + 100], pa.string())) for k in range(0, len(texts), 100)]  # the hashes take many bytes a character
-    words = np.concatenate([x[0] for x in parts] or [np.zeros(0, np.int64)])
-    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[3]) for x in parts] or [np.zeros(0, np.int64)]))]).astype(np.int64)
+    words, bounds = sample_words(texts)
     labels = token_labels(words, bounds, toxic)
     starts = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]).astype(np.int64) if len(words) else np.zeros(0, np.int64)
     stops = np.minimum(starts + SEGMENT, bounds[np.searchsorted(bounds, starts, "right")]) if len(words) else starts
-    told = np.concatenate([[0], np.cumsum(labels)])
+    told = np.concatenate([[0], np.cumsum(labels, dtype=np.int64)])
     rich = told[stops] - told[starts] > 0
     order = np.lexsort((windows.mixed(starts.astype(np.uint64)), ~rich))[:SEGMENTS]  # all with toxic words first, then others by hash
     starts, stops = starts[order], stops[order]
@@ -132,7 +151,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Field:
     emission = np.full(1 << WORD_BITS, -6.0)  # words that the sample lacks are clean
     emission[table] = np.clip(w, -12, 12)
     field = Field(emission, transition, np.zeros(3))
-    s = summaries(field.marginals(emission[words], bounds), bounds)
+    s = np.concatenate([np.zeros((0, 3)), *(summaries(field.marginals(emission[words[own]], part), part) for _, own, part in in_parts(words, bounds))])
     share = toxic.mean() if len(toxic) else 0.5
     weight = np.where(toxic > 0, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
     field.calibration = logistic(s, toxic, weight)
@@ -190,7 +209,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int
     pick = lambda label: known.filter(F.col("toxic") == label).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = F.broadcast(pick(1).unionByName(pick(0)))  # 2 * sample ids at most
     rows = common.id_text(docs).filter(F.length("text") <= chars).join(picked, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).orderBy("doc_id").collect()
-    return fit([r.text for r in rows], np.array([r.toxic for r in rows], np.float64), prior)
+    texts, toxic = [r.text for r in rows], np.array([r.toxic for r in rows], np.float64)
+    del rows
+    return fit(texts, toxic, prior)
 
 
 def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
