@@ -10,7 +10,7 @@ from tidewell.functions import answers, filters, html, stem
 from tidewell.functions import text as T
 from tidewell.jobs import catalog
 from tidewell.operators import crawl, requests, retrieval
-from tidewell.sources import tsv
+from tidewell.sources import nested, remote, tsv
 from tidewell.streaming import index
 from tidewell.streaming.counts import tumbling
 
@@ -139,3 +139,33 @@ def test_latency_with_odd_values(spark):
     rows = spark.createDataFrame(values, "event_type string, value double")
     got = {r.event_type: (r.n, r.p50) for r in requests.latency(rows).collect()}
     assert got == {"a": (3, 1.0), "b": (3, 2.0), "c": (2, 0.0), None: (1, 3.0)}
+
+
+def test_filters_on_persons_and_terms():
+    own = [filters.Filter("instr", "includes_any", ["A", "B"]), filters.Filter("x", "eq", 1), filters.Filter("instr", "eq", None)]
+    assert filters.without(own, "instr") == ([own[1]], ["A", "B"]) and filters.without([], "instr") == ([], [])
+    assert filters.in_term([own[1]], "Fall", 2026) == [own[1], filters.Filter("season", "eq", "Fall"), filters.Filter("year", "eq", 2026)]
+
+
+def test_nested_json(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"srcdb": "1",\n "results": [{"crn": "a", "srcdb": ""}, {"crn": "b", "srcdb": "9"}]},\n {"srcdb": "2"}, {"srcdb": "3", "results": []}]')
+    rows = nested.scan(spark, str(tmp_path / "a.json"), "srcdb string, results array<struct<crn:string,srcdb:string>>")
+    assert sorted(map(tuple, rows.select("crn", "srcdb").collect())) == [("a", "1"), ("b", "9")]
+
+
+def test_fetch_tries_failures_again(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def fetch(k):
+        import pathlib
+
+        mark = pathlib.Path(folder) / k
+        if k == "bad" or not mark.exists():
+            mark.touch()
+            raise ValueError(f"no {k}")
+        return k.upper()
+
+    keys = spark.createDataFrame([("a",), ("bad",), (None,)], "k string")
+    got = Counter(map(tuple, remote.fetched(keys, "k", fetch).collect()))
+    assert got == Counter([("a", "A", None), ("bad", None, "no bad"), (None, None, "no key")])
+    assert remote.fetched(keys.limit(0), "k", fetch).count() == 0

@@ -67,3 +67,14 @@ def with_named(filters: list[Filter], named: list[str], target: str = "code_pref
 def fetch_size(k: int, filters: list[Filter]) -> int:
     """Records to fetch for k after later filtering: three times, and once more for each filter."""
     return k * (3 + len(filters))
+
+
+def without(filters: list[Filter], field: str) -> tuple[list[Filter], list[str]]:
+    """The filters on other fields, and the values of those left out, to be said in the query's text instead."""
+    values = [v for f in filters if f.field == field for v in (f.value if isinstance(f.value, list) else [f.value])]
+    return [f for f in filters if f.field != field], [str(v) for v in values if v is not None]
+
+
+def in_term(filters: list[Filter], season: str, year: int) -> list[Filter]:
+    """With the season and year that a user asks for."""
+    return [*filters, Filter("season", "eq", season), Filter("year", "eq", year)]

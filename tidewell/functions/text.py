@@ -32,6 +32,19 @@ def spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def cache_key(text: Column) -> Column:
+    """Texts that differ in case and white space only have the same."""
+    return F.lower(spaces(text))
+
+
+def covered(original: Column, reworded: Column, tokens: Column) -> Column:
+    """The reworded text behind those of the tokens that it lacks as whole words; the original text if that is empty."""
+    padded = F.concat(F.lit(" "), cache_key(reworded), F.lit(" "))
+    missing = F.filter(tokens, lambda t: ~padded.contains(F.concat(F.lit(" "), F.lower(t), F.lit(" "))))
+    said = spaces(F.concat_ws(" ", F.array_join(missing, " "), reworded))
+    return F.when(said == "", spaces(original)).otherwise(said)
+
+
 def week_days(meets: Column) -> Column:
     """Days in a meeting pattern; TBA and null have none."""
     rules = (("M", "M"), ("Tu", "Tu"), ("W", "W"), ("Th", "Th"), ("T(?!h|u)", "T"), ("F", "F"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, html, ids, stem
 from ..functions import text as T
-from ..functions.filters import Filter
+from ..functions.filters import Filter, in_term, without
 from ..operators import crawl, requests, retrieval
 from ..sources import tsv
 from ..sources.tables import catalogue, table
@@ -315,3 +315,41 @@ def term_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("long").alias("y"), F.when(part == 0, "20").when(part == 1, "00").when(part == 2, "10").otherwise("15").alias("season")).agg(F.count("*").alias("n"))
     grid = counts.select("y").distinct().select("y", F.explode(F.array(*map(F.lit, ("00", "10", "15", "20")))).alias("season"))
     return grid.join(counts, ["y", "season"], "left").select("y", "season", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT event_id, key, CAST(json_extract(props, '$.' || key) AS BIGINT) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
+def unpivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object's fields as rows of key and value."""
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")))
+
+
+_SPACED = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH r AS (SELECT *, {_SPACED("CASE WHEN turn % 3 = 0 THEN '' ELSE substr(text, 1, 60) END")} AS reworded, CASE WHEN turn % 2 = 0 THEN CAST([] AS VARCHAR[]) ELSE [role, 'the'] END AS tokens FROM conversations WHERE text IS NOT NULL),
+s AS (SELECT *, {_SPACED("array_to_string(list_filter(tokens, lambda t: NOT contains(' ' || lower(reworded) || ' ', ' ' || t || ' ')), ' ') || ' ' || reworded")} AS said FROM r)
+SELECT conv_id, turn, role, CASE WHEN said = '' THEN {_SPACED("text")} ELSE said END AS said, lower({_SPACED("text")}) AS cache_key FROM s""")
+def covered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7, H8: turns reworded as their first 60 characters (every third as nothing), with words that must not get lost."""
+    reworded = F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(F.substring("text", 1, 60))
+    kept = F.when(F.col("turn") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("role"), F.lit("the")))
+    rows = table(spark, sf_dir, "conversations").filter("text is not null")
+    return rows.select("conv_id", "turn", "role", T.covered(F.col("text"), reworded, kept).alias("said"), T.cache_key(F.col("text")).alias("cache_key"))
+
+
+@query("SELECT o_orderkey, count(*) AS kept FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 20 AND month(l_shipdate) // 4 = 2 AND year(l_shipdate) = 1996 GROUP BY o_orderkey")
+def sections_of_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a parser asks for, without its filter on a person, and with a user's term."""
+    asked, _ = without([Filter("l_quantity", "gt", 20.0), Filter("instr", "eq", "Smith")], "instr")
+    part = lambda s: F.floor(F.month(s["l_shipdate"]) / 4)
+    season = lambda s: F.when(part(s) == 0, "Spring").when(part(s) == 1, "Summer").when(part(s) == 2, "Fall").otherwise("Winter")
+    terms = F.transform("sections", lambda s: s.withField("season", season(s)).withField("year", F.year(s["l_shipdate"])))
+    rows = retrieval.pruned(catalogue(spark, sf_dir).withColumn("sections", terms), in_term(asked, "Fall", 1996))
+    return rows.select("o_orderkey", F.size("sections").cast("long").alias("kept"))
+
+
+@query("SELECT o_orderkey || ':' || o_custkey AS key, trim(coalesce(o_orderstatus, '') || '. ' || coalesce(o_orderpriority, '')) AS text FROM orders WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL")
+def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composite key and the text of each record that has both parts of its key."""
+    text = F.concat(F.coalesce("o_orderstatus", F.lit("")), F.lit(". "), F.coalesce("o_orderpriority", F.lit("")))
+    return table(spark, sf_dir, "orders").dropna(subset=["o_orderkey", "o_custkey"]).select(F.concat_ws(":", "o_orderkey", "o_custkey").alias("key"), F.trim(text).alias("text"))
