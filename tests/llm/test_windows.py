@@ -90,6 +90,22 @@ def test_removal(spark, edge, edge_rows):
     assert {r.key for r in got} == {"clash"} and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
 
 
+def test_removal_when_a_long_text_follows_a_small_remainder(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 64)
+    monkeypatch.setattr(decontam, "BLOCK", 1)  # a pass for each item
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        rows = [(k, ("long words " * 20 if k in (3, 9) else "") + f"a{k} one two three b") for k in range(12)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        items = spark.createDataFrame([(1, "one two"), (2, "three")], "item_id long, text string")
+        got = decontam.remove_benchmark(docs, items).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert Counter(map(tuple, got)) == Counter((k, t.replace("one two three", "")) for k, t in rows)
+
+
 def deduped(rows, n=20):
     """Rows by (doc_id, text); equal rows are one document."""
     docs = sorted(set(rows), key=lambda r: (-1 if r[0] is None else r[0]))

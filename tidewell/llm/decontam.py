@@ -129,6 +129,7 @@ def find_benchmark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_c
 
 
 def _pass(one, window: int):
+    """One block's hits added to rows of FOUND_SQL; further columns go through."""
     hit = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +153,8 @@ def _pass(one, window: int):
             for d in runs:
                 hits[d] = [{"first": a, "last": b} for a, b in merged(runs[d] + [(h["first"], h["last"]) for h in hits[d]])]
                 names[d] = sorted(items[d].union(names[d]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(n_words), pa.array(hits, pa.list_(hit)), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "hits", "items"])
+            rest = [c for c in part.schema.names if c not in ("doc_id", "text", "n_words", "hits", "items")]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(n_words), pa.array(hits, pa.list_(hit)), pa.array(names, pa.list_(pa.string())), *map(part.column, rest)], names=["doc_id", "text", "n_words", "hits", "items", *rest])
 
     return work
 
@@ -203,14 +205,7 @@ def find_benchmark_with(docs: DataFrame, rest, bench: DataFrame, window: int) ->
     """As find_benchmark for one block after the other, with each row's own columns in `row`."""
     spark = docs.sparkSession
     kind = docs.select(rest.alias("row")).schema["row"].dataType.simpleString()
-    found = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.expr(f"cast(array() as {HIT_SQL})").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(0).cast("long").alias("doc_id"), rest.alias("row"))
+    found = docs.select(F.lit(0).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {HIT_SQL})").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), rest.alias("row"))
     for b in blocks(bench, "item_id", "text", window, BLOCK):
-        step = _pass(spark.sparkContext.broadcast(b), window)
-
-        def work(batches, step=step):
-            for part in common.slices(batches, limit=SHARD_BYTES):
-                for out in step(iter([part])):
-                    yield pa.RecordBatch.from_arrays([out.column("text"), out.column("hits"), out.column("items"), out.column("doc_id"), part.column("row")], names=["text", "hits", "items", "doc_id", "row"])
-
-        found = found.mapInArrow(work, f"text string, hits {HIT_SQL}, items array<string>, doc_id long, row {kind}")
+        found = found.mapInArrow(_pass(spark.sparkContext.broadcast(b), window), f"{FOUND_SQL}, row {kind}")
     return found
