@@ -19,12 +19,18 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least id stays, once; a null id stays only if its group has no other."""
-    found = jaccard.near_duplicates(docs)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
+    """Of each group of near duplicates the document of least id stays, once; a null id stays only if its group has no other.
+
+    A document is its id and its text: rows of one id with unlike texts are apart. Texts without words are in no group; of
+    their rows only repeats of one id go.
+    """
+    gone = jaccard.repeats(docs).select(F.col("doc_id").alias("gone"), F.col("key").alias("gone_key"))
     own, key = docs.columns, "__text"
-    kept = docs.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    return kept.withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).select(*own)
+    same = F.col("doc_id").eqNullSafe(F.col("gone")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("gone_key"))
+    kept = docs.join(gone, same, "left_anti")
+    apart = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike("[^ \\t-\\r]")
+    once = kept.filter(~apart).withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).select(*own)
+    return once.unionByName(docs.filter(apart))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,6 +98,19 @@ def test_op10(spark, sf, edge, edge_rows, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_near_duplicate_rows_go_by_id_and_text(spark):
+    rng = random.Random(9)
+    clean = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(9)]
+    near = lambda k: clean[k] + " more words"
+    kept = [(1, clean[0]), (2, clean[1]), (2, clean[2]), (None, clean[3]), (None, clean[4]), (4, clean[5]), (5, clean[6]), (None, None), (None, None), (None, ""), (None, " \t"), (6, None), (6, ""), (7, clean[7]), (8, clean[8])]
+    gone = [(2, near(0)), (None, clean[0]), (None, near(3)), (4, near(5)), (4, clean[5]), (5, clean[6]), (6, ""), (9, clean[8]), (None, clean[8])]
+    rows = [(i, t, k) for k, (i, t) in enumerate(kept + gone)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3), None).collect()
+    either = {k: min(clean[k], near(k), key=lambda t: key[t]) for key in [{r.text: r.k for r in spark.createDataFrame([(t,) for j in (3, 5) for t in (clean[j], near(j))], "text string").selectExpr("text", "xxhash64(text) k").collect()}] for k in (3, 5)}
+    want = Counter((i, either[3] if t == clean[3] else either[5] if t == clean[5] else t) for i, t in kept)
+    assert Counter((r.doc_id, r.text) for r in got) == want
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(5, 5), (1, 2), (1, 2)]

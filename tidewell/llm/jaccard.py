@@ -111,9 +111,10 @@ def unit_links(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, perc
     return out
 
 
-def document_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, max_bits: int) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (128 bits that stand for the set) and, for documents that may have a partner, `shared`: the hashes that may occur elsewhere."""
+def document_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, max_bits: int, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, s1 and s2 (128 bits that stand for the set) and, for documents that may have a partner, `shared`: the hashes that may occur elsewhere. keyed: and `key`, the hash of the text."""
     rows = common.id_text(docs, id_col, text_col)
+    rows, more = (rows.withColumn("key", common.text_key()), ["key"]) if keyed else (rows, [])
     cut = lambda batches: common.slices(batches, limit=SLICE_BYTES)
     seen = sketch.repeated(rows.select("text"), lambda part: shingle_sets(part, n)[0], sketch.text_bytes(rows) // 6, max_bits, 1, cut)
 
@@ -129,9 +130,9 @@ def document_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
                 x = np.concatenate([[np.uint64(0)], np.cumsum(windows.mixed(h * np.uint64(m)))])
                 sums.append(windows.mixed(x[bounds[1:]] - x[bounds[:-1]] + size.astype(np.uint64)).view(np.int64))
             shared = [h[a:b][may[a:b]].tobytes() if k else None for a, b, k in zip(bounds[:-1].tolist(), bounds[1:].tolist(), keep.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), *map(pa.array, sums), pa.array(shared, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "shared"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), *map(pa.array, sums), pa.array(shared, pa.binary()), *map(part.column, more)], names=["doc_id", "n_shingles", "s1", "s2", "shared", *more])
 
-    return rows.mapInArrow(work, "doc_id long, n_shingles long, s1 long, s2 long, shared binary")
+    return rows.mapInArrow(work, "doc_id long, n_shingles long, s1 long, s2 long, shared binary" + ", key long" * keyed)
 
 
 def candidate_clusters(rows: DataFrame, percent: int) -> DataFrame:
@@ -224,3 +225,17 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_
     of_class = named.join(groups, "root").select("class", "component")
     grouped = may.select("doc_id", "n_shingles", "class").join(of_class, "class").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return grouped.unionByName(sets.filter(F.col("shared").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def repeats(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, max_bits: int = sketch.MAX_BITS, tile: int = TILE) -> DataFrame:
+    """doc_id and key (the hash of the text, a null one as empty) of the documents that aren't the first of their component: least id, null last, then least key.
+
+    A document is a pair of id and text, so rows of one id with unlike texts are judged each by its own text. Links are those of near_duplicates.
+    """
+    sets = common.written(document_sets(docs, n, percent, "doc_id", "text", max_bits, keyed=True))
+    may = sets.filter(F.col("shared").isNotNull()).withColumn("class", F.xxhash64("s1", "s2"))
+    roots = components(links(may.select("class", "n_shingles", "shared"), percent, tile))
+    own = may.select("class", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key").alias("document"))
+    named = own.groupBy("class").agg(F.min("document").alias("least")).join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+    of_class = named.join(named.groupBy("root").agg(F.min("least").alias("first")), "root").select("class", "first")
+    return own.join(of_class, "class").filter("document != first").select("document.doc_id", "document.key").distinct()
