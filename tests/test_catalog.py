@@ -50,6 +50,20 @@ def test_stream_counts_as_the_batch_does(spark, sf, tmp_path):
     assert Counter(spark.table("counts").collect()) == Counter(tumbling(events).collect())
 
 
+def test_neighbours_of_all_queries_in_blocks(spark):
+    vectors = [(k, [float(k % 7), float(k % 3 - 1)], k % 2) for k in range(90)] + [(90, None, 1), (None, [9.0, 9.0], 0)]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(5)
+    asked = [v for v in vectors if v[0] is not None and v[0] % 9 == 0 and v[1]]
+    want = Counter()
+    for i, q, _ in asked:
+        scored = [(-sum(a * b for a, b in zip(v, q, strict=True)), n is not None, n or 0, n, label) for n, v, label in vectors if v and label == 0]
+        want.update((i, n, label, -s) for s, _, _, n, label in sorted(scored, key=lambda x: x[:3])[:4])
+    for block in (3, 5, 1024):
+        got = retrieval.neighbours(rows, rows.filter("vec_id % 9 = 0"), 4, F.col("label") == 0, block)
+        assert Counter(map(tuple, got.collect())) == want and len({i for i, *_ in want}) == len(asked) == 10
+    assert retrieval.neighbours(rows, rows.limit(0), 4).count() == 0
+
+
 def test_filters(spark):
     rows = spark.createDataFrame([(1, [(3.0, ["a", "b"]), (None, None)]), (2, [])], "id int, sections array<struct<x:double,tags:array<string>>>")
     kept = lambda *f: [(r.id, len(r.sections)) for r in retrieval.pruned(rows, list(f)).collect()]

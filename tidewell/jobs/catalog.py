@@ -51,6 +51,25 @@ def vector_top_k_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 40, F.col("label").isin(1, 3, 5))
 
 
+def _neighbours_sql(k: int, where: str = "true") -> str:
+    ranked = f"SELECT q.vec_id AS query_id, e.vec_id, e.label, {DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {where}"
+    return f"SELECT query_id, vec_id, label, score FROM ({ranked}) WHERE r <= {k}"
+
+
+@query(_neighbours_sql(20))
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, J8, H10, K8 for every record whose id is divisible by 20, not for record 0 alone as `flagship`."""
+    rows = table(spark, sf_dir, "embeddings")
+    return retrieval.neighbours(rows, rows.filter("vec_id % 20 = 0"), 20)
+
+
+@query(_neighbours_sql(40, "e.label IN (1, 3, 5)"))
+def vector_neighbours_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2, F2, K6 for every record whose id is divisible by 20, not for record 0 alone as `vector_top_k_filtered`."""
+    rows = table(spark, sf_dir, "embeddings")
+    return retrieval.neighbours(rows, rows.filter("vec_id % 20 = 0"), 40, F.col("label").isin(1, 3, 5))
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A17, H11."""

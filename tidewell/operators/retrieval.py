@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.filters import Filter, all_of
+from ..sources.tables import cut
+
+#: Query vectors of one pass, and rows that they are multiplied with at once.
+QUERIES, ROWS = 1024, 1000
 
 
 def inner_product(vector: Column, query: list[float]) -> Column:
@@ -23,6 +30,65 @@ def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None =
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, block: int = QUERIES) -> DataFrame:
+    """query_id, vec_id, label, score: the k best rows for every query row, as top_k has them. Rows without a vector, on either side, have no score.
+
+    Queries come from Spark a block at a time; each block is one pass over the rows and is written before the next, so
+    driver and executors hold one block. Each task keeps k rows a query, and a grouped top k merges them.
+    """
+    rows = (vectors if where is None else vectors.filter(where)).select("vec_id", "label", "embedding").filter("embedding is not null")
+    context, out, own = vectors.sparkSession.sparkContext, [], []
+
+    def done() -> None:
+        one = context.broadcast(([i for i, _ in own], np.array([v for _, v in own], np.float64)))
+        out.append(cut(_best(rows, one, k)))
+        one.destroy()
+        own.clear()
+
+    for row in queries.filter("embedding is not null").select("vec_id", "embedding").toLocalIterator():
+        own.append((row[0], np.array(row[1], np.float32)))
+        if len(own) == block:
+            done()
+    if own or not out:
+        done()
+    return reduce(DataFrame.unionByName, out)
+
+
+def _best(rows: DataFrame, one, k: int) -> DataFrame:
+    types = dict(rows.dtypes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = one.value
+        n = len(ids)
+        floor = np.full(n, -np.inf)  # the score of each query's k-th row so far
+        q, score, kept = np.zeros(0, np.int64), np.zeros(0), None
+        for batch in batches if n else ():
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                flat = np.asarray(part.column("embedding").flatten()).astype(np.float64)
+                scores = np.round(flat.reshape(part.num_rows, -1) @ matrix.T, 6)
+                row, asked = np.nonzero(scores >= floor)
+                if not len(row):
+                    continue
+                found = pa.Table.from_batches([part.select(["vec_id", "label"])]).take(pa.array(row))
+                kept = found if kept is None else pa.concat_tables([kept, found])
+                q, score = np.concatenate([q, asked]), np.concatenate([score, scores[row, asked]])
+                # Null ids come first, as Spark sorts them.
+                order = np.lexsort((np.asarray(kept["vec_id"].fill_null(0)), np.asarray(kept["vec_id"].is_valid()), -score, q))
+                q, score = q[order], score[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                best = place < k
+                kept, q, score, last = kept.take(pa.array(order[best])), q[best], score[best], (place == k - 1)[best]
+                floor[q[last]] = score[last]
+        if kept is not None:
+            for part in kept.append_column("q", pa.array(q)).append_column("query_id", pa.array([ids[x] for x in q], pa.int64())).append_column("score", pa.array(score)).combine_chunks().to_batches(max_chunksize=10_000):
+                yield part.select(["q", "query_id", "vec_id", "label", "score"])
+
+    found = rows.mapInArrow(work, f"q long, query_id long, vec_id {types['vec_id']}, label {types['label']}, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "vec_id", "label", "score")
+
+
 def pruned(records: DataFrame, filters: list[Filter]) -> DataFrame:
     """Records with only the sections that satisfy all filters at once; records left without go. No filters: unchanged."""
     if not filters:
