@@ -217,7 +217,7 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH g AS (SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) AS gap_us FROM events) SELECT event_id, gap_us, coalesce(gap_us <= 1800000000, false) AS hit FROM g")
 def cache_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5's expiry counted from the put, and its capacity, are not kept here."""
+    """W6."""
     return requests.recency(table(spark, sf_dir, "events"))
 
 
