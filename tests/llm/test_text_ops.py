@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, media, queries, secrets, sharding, tokens
 
@@ -47,12 +48,32 @@ def test_op1(spark, sf, edge, none):
     assert sharding.shard(none, 8).count() == 0
 
 
-def test_shard_files(spark, sf, tmp_path):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    placed = sharding.shard(docs, 4)
-    sharding.write_shards(placed, docs, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
-    assert sum(r.rows for r in sharding.manifest(placed, docs).collect()) == docs.count()
+def test_shard_files_keep_all_rows_and_prune(spark, edge, none, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert sharding.write_shards(docs, str(tmp_path / "out"), 8, 25) == "shard"
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(back.select(docs.columns).collect()) == Counter(docs.collect())
+    columns = ("source", "lang", "doc_id", "n_chars")
+    files = sharding.manifest(spark, str(tmp_path / "out"), columns).collect()
+    assert sum(f.rows for f in files) == 1000 and len(files) >= 40
+    docs.repartition(40).write.parquet(str(tmp_path / "dealt"))
+    dealt = sharding.manifest(spark, str(tmp_path / "dealt"), columns, "source").groupBy("file").agg(*(getattr(F, n)(f"{n}_{c}").alias(f"{n}_{c}") for c in columns for n in ("min", "max"))).collect()
+
+    def read(files, **asked):
+        """The share of files that a reader can't rule out by their extremes."""
+        return sum(all(f[f"min_{c}"] <= high and f[f"max_{c}"] >= low for c, (low, high) in asked.items()) for f in files) / len(files)
+
+    # A quarter of the ids, one language, short texts: each prunes, and together more.
+    for asked in ({"doc_id": (0, 249)}, {"lang": ("fr", "fr")}, {"doc_id": (0, 249), "lang": ("fr", "fr")}, {"doc_id": (500, 624), "n_chars": (0, 300)}):
+        assert read(files, **asked) < 0.75 * read(dealt, **asked), asked
+    name = sharding.write_shards(edge, str(tmp_path / "edge"), 4)
+    assert name == "_shard"  # the rows have a column of their own of that name
+    back = spark.read.parquet(str(tmp_path / "edge"))
+    assert Counter(back.select(edge.columns).collect()) == Counter(edge.collect()) and {r[0] for r in back.select("_shard").distinct().collect()} == set(range(4))
+    ids = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, "c"), (1, "a")], "doc_id long, text string").selectExpr("*", "'x' source", "'y' lang", "'r' rank")
+    sharding.write_shards(ids, str(tmp_path / "ids"), 2)
+    assert Counter((r.doc_id, r.text, r["rank"]) for r in spark.read.parquet(str(tmp_path / "ids")).collect()) == Counter((i, t, "r") for i, t in [(1, "a"), (1, "b"), (None, "c"), (None, "c"), (1, "a")])
+    sharding.write_shards(none, str(tmp_path / "none"), 2)
 
 
 def media_of(text):

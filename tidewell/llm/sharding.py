@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
+from . import common
+
 #: Bits of each of the four dimensions, and groups that a cell is dealt into.
 BITS, DIMENSIONS, SPREAD = 3, 4, 256
 
@@ -68,34 +70,59 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     Null text: size 1 and the checksum of no bytes. A null id, source or language is a value of its own. Repeated rows
     get consecutive ranks. Empty input: no rows.
     """
+    return _placed(docs, shards, id_col, text_col, source_col, lang_col, []).drop("row")
+
+
+def _placed(docs: DataFrame, shards: int, id_col: str, text_col: str, source_col: str, lang_col: str, columns: list[str]) -> DataFrame:
+    """As `shard`, with the given columns of each row in the struct `row`, so that nothing is joined back by id.
+
+    What is placed is written once (without columns: ids, sizes and checksums alone), so the input is read twice: for
+    the extremes of the ids, and for the curve.
+    """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"))
     low, high = docs.select(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
+    own = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in columns))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), own.alias("row"))
     cell = curve(*dimensions(F.col("source"), F.col("lang"), F.col("size"), F.col("doc_id"), low, high))
     spread = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SPREAD)).cast("int")
-    placed = rows.select("doc_id", "size", "text_crc32", cell.alias("cell"), spread.alias("spread"))
+    placed = common.written(rows.select("doc_id", "size", "text_crc32", cell.alias("cell"), spread.alias("spread"), "row"))
+    total = placed.count()
     groups = placed.groupBy("cell", "spread").count()
     cells = groups.groupBy("cell").agg(F.sum("count").alias("rows"))
     cells = cells.select("cell", F.coalesce(F.sum("rows").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("cell_base"))
     within = F.coalesce(F.sum("count").over(Window.partitionBy("cell").orderBy("spread").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = groups.withColumn("base", within).join(cells, "cell").select("cell", "spread", (F.col("base") + F.col("cell_base")).alias("base"))
-    total = F.broadcast(placed.agg(F.count("*").alias("total")))
     number = F.row_number().over(Window.partitionBy("cell", "spread").orderBy("doc_id", "text_crc32", "size"))
-    ranked = placed.withColumn("number", number).join(bases, ["cell", "spread"]).join(total)
-    rank = F.col("base") + F.col("number") - 1
-    ranked = ranked.select("doc_id", "size", "text_crc32", "cell", rank.alias("rank"), "total")
-    own = F.expr(f"(rank * {shards}) div total")
-    ranked = ranked.withColumn("shard", own.cast("int"))
-    first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    return ranked.withColumn("slot", F.col("rank") - first).drop("total")
+    ranked = placed.withColumn("number", number).join(bases, ["cell", "spread"])
+    ranked = ranked.select("doc_id", "size", "text_crc32", "cell", (F.col("base") + F.col("number") - 1).alias("rank"), "row")
+    ranked = ranked.withColumn("shard", F.expr(f"(rank * {shards}) div {max(total, 1)}").cast("int"))
+    return ranked.withColumn("slot", F.col("rank") - F.expr(f"(shard * {total} + {shards - 1}) div {shards}"))
+
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores in front until no column has it, in any case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
 
-def write_shards(placed: DataFrame, docs: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the rows of `docs` to a folder per shard, in curve order, so that readers prune files by any of the dimensions."""
-    docs.join(placed.select(F.col("doc_id").alias(id_col), "shard", "rank"), id_col).repartitionByRange("shard", "rank").sortWithinPartitions("shard", "rank").drop("rank").write.partitionBy("shard").parquet(path)
 
+def write_shards(docs: DataFrame, path: str, shards: int = 8, rows_per_file: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> str:
+    """Writes every row of `docs`, all columns, to a folder per shard, in curve order and in files of so many rows, so that readers prune files by any of the dimensions.
 
-def manifest(placed: DataFrame, docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "n_chars"), id_col: str = "doc_id") -> DataFrame:
-    """Per shard: rows, bytes, and the least and greatest of each column, as a reader prunes by them."""
-    both = placed.select(F.col("doc_id").alias(id_col), "shard", "size").join(docs.select(*{id_col, *columns}), id_col)
-    return both.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))))
+    Returns the name of the folders' column: `shard`, with underscores in front if `docs` has such a column. Null ids,
+    repeated ids and repeated rows are rows like others. Empty input: no files.
+    """
+    names = docs.columns
+    placed = _placed(docs, shards, id_col, text_col, source_col, lang_col, names)
+    folder = fresh("shard", names)
+    own = placed.repartitionByRange("shard", "rank").sortWithinPartitions("shard", "rank")
+    own = own.select(*(F.col("row").getField(c).alias(c) for c in names), F.col("shard").alias(folder))
+    own.write.partitionBy(folder).option("maxRecordsPerFile", rows_per_file).parquet(path)
+    return folder
+
+
+def manifest(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc_id", "n_chars"), folder: str = "shard") -> DataFrame:
+    """Per file of written shards: its shard, rows, and the least and greatest of each column, as a reader prunes by them."""
+    files = spark.read.parquet(path).withColumn("__file", F.col("_metadata.file_name"))
+    bounds = [f(F.col(f"`{c}`")).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
+    return files.groupBy(F.col(folder).alias("shard"), F.col("__file").alias("file")).agg(F.count("*").alias("rows"), *bounds)
