@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -185,6 +186,45 @@ def test_structure_confirms():
     assert kinds(base64.b64encode(bytes(broken)).decode()) == [] and kinds("eyJhbGciOiJ.eyJ4Ijox.abc") == [] and kinds("a" * 80) == []
 
 
+def planted_keys(rng):
+    """(kind, what is written in the text) in every form."""
+    key = der(0x30, der(2, b"\0") + der(2, b"\x01" + rng.randbytes(rng.randint(30, 600))) + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")))
+    code, web = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode().rstrip("=")
+    wrapped = base64.encodebytes(key).decode().strip()
+    header = b'{"alg":"HS256","kid":"%d"}' % rng.randrange(10**6)
+    token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (header, b'{"sub":"%d"}' % rng.randrange(10**6), rng.randbytes(32)))
+    pem = f"-----BEGIN PRIVATE KEY-----\n{wrapped}\n-----END PRIVATE KEY-----"
+    forms = [code, web, wrapped, wrapped.replace("\n", "\r\n    "), pem, pem.replace("\n", "\\n"), key.hex(), key.hex().upper(), f"/etc/keys/{code}", f"name_{web}", f"id-{code} and"]
+    tokens = [token, f"name_{token}", f"at.{token}.", token.encode().hex(), header.hex(), header.hex().upper()]
+    return [("der", f) for f in forms] + [("jwt", t) for t in tokens]
+
+
+def test_structural_recall_and_false_reports():
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n))
+    caught, total = Counter(), Counter()
+    for _ in range(40):
+        for k, (kind, form) in enumerate(planted_keys(rng)):
+            text = f"{prose(9)} {form} {prose(9)}"
+            total[k] += 1
+            spans = [s for s in secrets.scan(text) if not s[3]]
+            caught[k] += [s[0] for s in spans] == [kind] and spans[0][1] >= len(text.split(form)[0]) and spans[0][2] <= text.index(form) + len(form)
+    assert caught == total
+    random_runs = [base64.b64encode(rng.randbytes(900)).decode() for _ in range(2000)] + [rng.randbytes(900).hex() for _ in range(2000)]
+    random_runs += [base64.b64encode(b"0\x82\x01\x00" + rng.randbytes(400)).decode() for _ in range(500)] + [f"eyJ{prose(1)}.eyJ{prose(1)}.{prose(1)}" for _ in range(500)]
+    assert [r for r in random_runs if secrets.structural(r)] == []
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJhbGciOiJ", "_eyJhbGciOiJ", ".eyJ", "MIIB", "MA", "3082", "30", "7b22", "-----BEGIN KEY-----", "a", "AKIA", "{\"", "b3BlbnNzaC1rZXktdjE"])
+def test_long_runs_take_linear_time(unit):
+    seconds = []
+    for n in (100_000, 400_000):
+        start = time.process_time()
+        secrets.scan(unit * (n // len(unit)))
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < max(8 * seconds[0], 1.5), seconds
+
+
 def base_spans(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [("assign", *m.span()) for m in assign.finditer(text) if len(m[2]) >= 6]
