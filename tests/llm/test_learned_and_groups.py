@@ -17,7 +17,7 @@ from .test_text_ops import by_row
 
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(1)
-    field = toxicity.Field(np.zeros(1), rng.normal(size=(2, 2)), np.zeros(3))
+    field = toxicity.Field(np.zeros(1), 0.0, rng.normal(size=(2, 2)), np.zeros(4))
     bounds = np.array([0, 3, 3, 8, 9])
     e = rng.normal(size=9)
     got = field.marginals(e, bounds)
@@ -39,17 +39,39 @@ def test_op7_on_held_out_documents(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = found.join(labels, "doc_id").filter("held_out").collect()
     true = sum(r.toxic and r.predicted for r in rows)
-    assert true / sum(r.predicted for r in rows) > 0.85 and true / sum(r.toxic for r in rows) > 0.75
+    # Of these 144 toxic documents a dozen show nothing that clean ones don't (see README).
+    assert true / sum(r.predicted for r in rows) >= 0.9 and true / sum(r.toxic for r in rows) >= 0.84
+    texts = dict(documents(spark, sf))
+    words = Counter(texts[r.doc_id][a:b].lower() for r in rows if r.toxic and r.offsets for a, b in (map(int, x.split(":")) for x in r.offsets.split(",")))
+    assert {"stupid", "idiot", "loser", "worthless"} <= {w for w, n in words.items() if n > 10}
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows) and found.count() == 10_000
 
 
 def test_toxic_spans(spark, edge, edge_rows, none):
-    texts = [f"all fine words here {k}" for k in range(300)] + [f"é you vile vile creature {k}" for k in range(60)]
+    texts = [f"all fine words here é you {k % 9} creature" for k in range(300)] + [f"é you vile vile creature {k % 9}" for k in range(60)]
     field = toxicity.fit(texts, np.array([0] * 300 + [1] * 60), 1 / 6)
-    scores, spans = toxicity.scored(pa.array(["é you VILE, vile thing", "fine", ""]), field)
-    assert scores[0] >= 0.7 > max(scores[1:]) and [(s["start"], s["end"]) for s in spans[0]][-1][1] >= 16 and not spans[1]
+    scores, spans = toxicity.scored(pa.array(["é you VILE, vile thing", "fine", "", "🙂🙂 vile", "VILE VILE"]), field)
+    said = lambda own: [(s["start"], s["end"]) for s in own]
+    assert scores[0] >= 0.7 > max(scores[1:3]) and [said(x) for x in spans] == [[(6, 16)], [], [], [(3, 7)], [(0, 9)]]
+    rows = [(1, None), (2, ""), (3, "vile"), (3, "vile"), (None, "vile"), (4, "x" * 300_000 + " vile")]
+    found = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()
+    assert Counter((r.doc_id, tuple((s.start, s.end) for s in r.spans)) for r in found) == Counter([(1, ()), (2, ()), (3, ((0, 4),)), (3, ((0, 4),)), (None, ((0, 4),)), (4, ((300_001, 300_005),))])
     scored = toxicity.score_documents(edge, field)
     assert Counter(r.doc_id for r in scored.collect()) == Counter(i for i, _ in edge_rows)
+
+
+def test_segments_keep_a_share_for_clean_ones():
+    labels, bounds = np.zeros(32 * 100, np.int8), np.array([0, 32 * 100])
+    labels[: 32 * 80 : 32] = 1
+    starts, stops = toxicity.segments(labels, bounds, 40, 0.25)
+    assert len(starts) == 40 and sum(labels[a:b].any() for a, b in zip(starts, stops, strict=True)) == 30 and (stops - starts == 32).all()
+    assert len(toxicity.segments(labels, bounds, 1000, 0.25)[0]) == 100 and len(toxicity.segments(labels[:0], np.array([0, 0]), 5, 0.5)[0]) == 0
+
+
+def test_fit_of_nothing(spark, none):
+    scores = toxicity.score_documents
+    field = toxicity.fit([], np.zeros(0), 0.5)
+    assert scores(none, field).count() == 0
     assert toxicity.score_documents(none, field).count() == 0 and toxicity.drop_toxic(none, field).count() == 0
     assert toxicity.fit([], np.zeros(0), 0.5).score(np.zeros(0), np.array([0, 0])).tolist() == pytest.approx([0.5])
 
