@@ -3,8 +3,9 @@
 Each shard (a run of texts of bounded size) gets an index over its words: the words' codes are sorted
 as suffixes, and a wavelet tree over the last column answers ranks. Benchmark phrases are searched
 backward, occurrences located by sampled suffix positions, compared word by word with the text, and
-merged into removal spans. Phrases come in broadcast blocks of bounded size, one pass per block; the
-passes are chained, so nothing is shuffled.
+merged into removal spans. Phrases come in broadcast blocks of bounded size, one pass over the shards per
+block, so nothing is shuffled. Where there are several blocks, each pass is written and its block dropped before
+the next is made, so driver and executors hold one block at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .fmindex import Index
 
 WINDOW = 10
 #: Phrases in a block, bytes of text of a shard, and words of a part of a longer text.
-BLOCK, SHARD_BYTES, LONG_WORDS = 100_000, 2 << 20, 500_000
+BLOCK, SHARD_BYTES, LONG_WORDS = 250_000, 2 << 20, 500_000
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 HIT_SQL = "array<struct<first:int,last:int>>"
 FOUND_SQL = f"doc_id long, text string, n_words long, hits {HIT_SQL}, items array<string>"
@@ -35,30 +36,38 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Distinct phrases, their hashed words, and the items of each."""
-
-    def __init__(self, phrases: dict[tuple[bytes, ...], set[str]]):
-        self.phrases = list(phrases)
-        self.items = [sorted(phrases[p]) for p in self.phrases]
-        self.sizes = np.array([len(p) for p in self.phrases], np.int64)
-        self.hashes = np.zeros((len(self.phrases), max(self.sizes, default=1)), np.uint64)
-        flat = [w for p in self.phrases for w in p]
-        ends = np.cumsum([len(w) for w in flat]) if flat else np.zeros(0, np.int64)
-        own = windows.word_hashes(np.frombuffer(b"".join(flat), np.uint8), ends - [len(w) for w in flat], ends)
-        at = 0
-        for k, n in enumerate(self.sizes):  # at the right end, as search reads from behind
-            self.hashes[k, self.hashes.shape[1] - n :] = own[at : at + n]
-            at += n
+    """Distinct phrases: their words, joined by blanks and end to end, their hashed words, and the items of each."""
+
+    def __init__(self, phrases: dict[bytes, set[str]]):
+        own = sorted(phrases)
+        self.items = [sorted(phrases[p]) for p in own]
+        self.ends = np.cumsum([len(p) for p in own], dtype=np.int64) if own else np.zeros(0, np.int64)
+        self.text = b"".join(own)
+        offsets = np.concatenate([[0], self.ends])
+        data = np.frombuffer(self.text, np.uint8)
+        starts, ends, bounds = windows.spans(data, offsets, windows.NOT_BLANK) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64), offsets)
+        self.sizes = np.diff(bounds)
+        self.hashes = np.zeros((len(own), max(self.sizes, default=1)), np.uint64)
+        words = windows.word_hashes(data, starts, ends)
+        at = np.repeat(np.arange(len(own)), self.sizes)
+        # At the right end, as search reads from behind.
+        self.hashes[at, self.hashes.shape[1] - np.repeat(self.sizes, self.sizes) + windows.ragged(self.sizes)] = words
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def phrase(self, p: int) -> bytes:
+        return self.text[self.ends[p - 1] if p else 0 : self.ends[p]]
 
 
 def blocks(bench: DataFrame, id_col: str, text_col: str, window: int, size: int) -> Iterator[Block]:
     """The benchmark's phrases, row by row from Spark, so many at a time."""
-    phrases: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+    phrases: dict[bytes, set[str]] = defaultdict(set)
     rows = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
     for item, text in rows.toLocalIterator():
         words = item_words(text)
         for i in range(max(1, len(words) - window + 1) if words else 0):
-            phrases[tuple(words[i : i + window])].add(item)
+            phrases[b" ".join(words[i : i + window])].add(item)
         if len(phrases) >= size:
             yield Block(phrases)
             phrases = defaultdict(set)
@@ -69,7 +78,7 @@ def blocks(bench: DataFrame, id_col: str, text_col: str, window: int, size: int)
 def search(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(first word, phrase) of every occurrence in a shard of lower-cased bytes; words are counted over the shard."""
     nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(starts) or not len(block.phrases):
+    if not len(starts) or not len(block):
         return nothing
     known, codes = np.unique(windows.word_hashes(data, starts, ends), return_inverse=True)
     place = np.minimum(np.searchsorted(known, block.hashes), len(known) - 1)
@@ -86,7 +95,7 @@ def search(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.nd
     counts = np.maximum(high - low, 0)
     at = index.locate(np.repeat(low, counts) + windows.ragged(counts))
     first, phrase = np.searchsorted(moved, at), np.repeat(sought, counts)
-    same = [block.phrases[p] == tuple(WORDS.findall(data[starts[f] : ends[f + block.sizes[p] - 1]].tobytes())) for f, p in zip(first.tolist(), phrase.tolist(), strict=True)]
+    same = [block.phrase(p) == b" ".join(WORDS.findall(data[starts[f] : ends[f + block.sizes[p] - 1]].tobytes())) for f, p in zip(first.tolist(), phrase.tolist(), strict=True)]
     same = np.array(same, bool)
     return first[same], phrase[same]
 
@@ -120,12 +129,21 @@ def find_benchmark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_c
     Null or empty texts have no words. Items without words match nothing; an item of fewer words than the window is one
     phrase; a null item id counts as the empty string; repeated items count once. Repeated rows stay; a null id stays null.
     """
-    spark = docs.sparkSession
     found = common.id_text(docs, id_col, text_col).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {HIT_SQL})").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
-    own = [spark.sparkContext.broadcast(b) for b in blocks(bench, item_col, item_text, window, block)] or [spark.sparkContext.broadcast(Block({}))]
-    for one in own:
-        found = found.mapInArrow(_pass(one, window), FOUND_SQL)
-    return found
+    return _passes(found, FOUND_SQL, blocks(bench, item_col, item_text, window, block), window)
+
+
+def _passes(found: DataFrame, schema: str, own: Iterator[Block], window: int) -> DataFrame:
+    """The hits of all blocks added to rows of `found`: one pass a block (an empty one, if there is none, counts the words)."""
+    context = found.sparkSession.sparkContext
+    now = next(own, None) or Block({})
+    while True:
+        one, now = context.broadcast(now), next(own, None)
+        found = found.mapInArrow(_pass(one, window), schema)
+        if now is None:
+            return found
+        found = common.written(found)
+        one.destroy()
 
 
 def _pass(one, window: int):
@@ -178,7 +196,7 @@ def remove_spans(text: str, hits: list[tuple[int, int]]) -> str:
 def remove_benchmark(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs`, all columns, with removal spans cut from `text` and n_chars, if there, set anew.
 
-    The index sees each text once; a row's other columns go through as they are.
+    The index sees each text once for each block of phrases; a row's other columns go through as they are.
     """
     common.small_batches(docs.sparkSession)
     fields, names = docs.schema, docs.columns
@@ -203,9 +221,6 @@ def remove_benchmark(docs: DataFrame, bench: DataFrame, window: int = WINDOW) ->
 
 def find_benchmark_with(docs: DataFrame, rest, bench: DataFrame, window: int) -> DataFrame:
     """As find_benchmark for one block after the other, with each row's own columns in `row`."""
-    spark = docs.sparkSession
     kind = docs.select(rest.alias("row")).schema["row"].dataType.simpleString()
     found = docs.select(F.lit(0).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {HIT_SQL})").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), rest.alias("row"))
-    for b in blocks(bench, "item_id", "text", window, BLOCK):
-        found = found.mapInArrow(_pass(spark.sparkContext.broadcast(b), window), f"{FOUND_SQL}, row {kind}")
-    return found
+    return _passes(found, f"{FOUND_SQL}, row {kind}", blocks(bench, "item_id", "text", window, BLOCK), window)
