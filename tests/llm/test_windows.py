@@ -126,19 +126,36 @@ def test_op9(spark, edge, edge_rows, none, monkeypatch):
     found = queries.op9_substring_dedup(spark, sf)
     assert by_row(found, *columns) == Counter(deduped(documents(spark, sf))) and found.filter("n_removed > 0").count() > 20
     want = Counter(deduped(edge_rows))
-    for bits in (29, 16):
-        assert by_row(substrings.digest(substrings.dedup(edge, max_bits=bits)), *columns) == want
+    for cells in (8, 0.05):  # the smaller sketch lets nearly all windows through
+        assert by_row(substrings.digest(substrings.dedup(edge, cells=cells)), *columns) == want
     assert by_row(substrings.digest(substrings.dedup(edge.repartition(5))), *columns) == want
     assert substrings.dedup(none).count() == 0
 
 
 def test_sketch_loses_no_repeat(spark):
-    rows = spark.range(0, 40_000, 1, 6).selectExpr("cast(id % 30000 as string) as text")
+    rows = spark.range(0, 40_000, 1, 6).selectExpr("id as doc_id", "id as key", "cast(id % 30000 as string) as text")
     hashes = lambda part: windows.mixed(np.array(part.column("text").to_pylist()).astype(np.uint64) + np.uint64(1))
-    for most in (16, 20):
-        own = sketch.repeated(rows, hashes, 40_000, most).value
-        may = own.may_repeat(windows.mixed(np.arange(1, 30_001, dtype=np.uint64)))
-        assert may[:10_000].all() and may[10_000:].mean() < (0.5 if most == 16 else 0.05)
+    groups = common.grouped(rows, 20_000)
+    for cells, most in ((8, 0.05), (0.5, 0.95)):
+        passed, powers = Counter(), {}
+        for r in groups.join(sketch.told(groups, hashes, 40_000, 1000, cells), "group", "left").collect():
+            own = hashes(common.ungrouped(pa.scalar(bytes(r.data), pa.binary())))
+            known, power = sketch.repeated(own, r.told and [{"places": bytes(t.places), "powers": bytes(t.powers)} for t in r.told])
+            passed.update(own[sketch.among(own, known)].tolist())
+            for h, p in zip(known.tolist(), power.tolist(), strict=True):
+                assert powers.setdefault(h, p) == p >= 1  # equal hashes, equal answers
+        may = np.array([passed[h] for h in windows.mixed(np.arange(1, 30_001, dtype=np.uint64)).tolist()])
+        assert (may[:10_000] == 2).all() and (may[10_000:] > 0).mean() < most
+
+
+def test_groups_keep_rows(spark, edge, edge_rows, none):
+    rows = common.id_text(edge).withColumn("key", common.text_key())
+    for limit in (100, 1 << 20):
+        groups = common.grouped(rows, limit).collect()
+        assert len({g.group for g in groups}) == len(groups)
+        parts = [common.ungrouped(pa.scalar(bytes(g.data), pa.binary())) for g in groups]
+        assert Counter(x for p in parts for x in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist(), strict=True)) == Counter((i, t or "") for i, t in edge_rows)
+    assert common.grouped(common.id_text(none).withColumn("key", common.text_key()), 100).count() == 0
 
 
 def test_anchors_count_every_repeat():

@@ -2,9 +2,11 @@
 
 A window of n bytes has an anchor, the least hash of its short runs of bytes, so equal windows have equal
 anchors. A sketch of all anchors tells windows whose anchor occurs once: these are unique. Runs of the
-other windows travel as segments to the shard of their anchor. A shard's distinct segments are sorted as
-suffixes (induced sorting); windows that share n bytes with a neighbour, or whose whole segment came more
-than once, are repeats. The covered bytes go back to their texts.
+other windows travel as segments to the shard of their anchor; windows of a very frequent anchor are dealt by a
+second anchor of theirs too, so that no shard gets them all. A segment that a task meets more than once is a repeat
+at once, and is sent once. A shard's distinct segments are sorted as suffixes (induced sorting); windows that share
+n bytes with a neighbour in that order, or whose whole segment came more than once, are repeats. The covered bytes
+go back to their group of texts.
 """
 
 from __future__ import annotations
@@ -21,8 +23,13 @@ from . import common, sketch, substrings, suffixes, windows
 
 WINDOW, RUN = 200, 32
 SLICE_BYTES, SHARD_BYTES, HELD_BYTES, LONGEST = 1 << 20, 4 << 20, 24 << 20, 2000
-PACKED_SQL = "bucket int, anchors binary, lengths binary, text binary, counts binary, ids binary, tags binary, starts binary"
-_COLUMNS = tuple(x.split()[0] for x in PACKED_SQL.split(", "))
+#: Anchors counted at least 2**HOT times are dealt by a second anchor too.
+HOT = 12
+#: What travels: distinct segments with their keys, and how often and where each was found (id, tag, row number, first byte);
+#: not at all: it came more than once, and its texts know. Rows without segments bring back such runs.
+_COLUMNS = ("keys", "lengths", "text", "counts", "ids", "tags", "rids", "starts")
+PACKED_SQL = "bucket int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
+GONE_SQL = "group long, texts binary, places binary, ends binary"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,88 +44,94 @@ def anchors(data: np.ndarray, offsets: np.ndarray, n: int, k: int) -> tuple[np.n
     return runs[substrings.sliding(of_valid, n - k + 1, np.maximum) == runs], first, least[first]
 
 
-def segments(part: pa.RecordBatch, seen, n: int, k: int) -> tuple[np.ndarray, ...]:
-    """(bytes, text, first byte, end, anchor) of runs of windows of one anchor that may repeat."""
-    data, offsets = common.text_bytes(part.column("text"))
-    _, first, least = anchors(data, offsets, n, k)
-    may = seen.may_repeat(least)
+def segments(data: np.ndarray, offsets: np.ndarray, answers: list[dict] | None, n: int, k: int, hot_power: int = HOT, longest: int = LONGEST) -> tuple[np.ndarray, ...]:
+    """(text, first byte, end, key) of runs of windows of one key that may repeat."""
+    counted, first, least = anchors(data, offsets, n, k)
+    known, powers = sketch.repeated(counted, answers)
+    may = sketch.among(least, known)
     first, least = first[may], least[may]
     if not len(first):
-        return data, *[np.zeros(0, np.int64)] * 4, offsets
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    hot = powers[np.searchsorted(known, least)] >= hot_power
+    if hot.any():
+        runs = windows.run_hashes(data.astype(np.uint64) + np.uint64(1), k, windows.MULTIPLIERS[1])
+        second = substrings.sliding(runs, n - k + 1, np.minimum)[first]
+        least = np.where(hot, windows.mixed(least ^ (second * np.uint64(3))), least)
     new = np.ones(len(first), bool)
     new[1:] = (least[1:] != least[:-1]) | (first[1:] != first[:-1] + 1)
     heads = np.flatnonzero(new)
     sizes = np.diff(np.append(heads, len(first)))
-    pieces = -(-sizes // LONGEST)
-    heads = np.repeat(heads, pieces) + windows.ragged(pieces) * LONGEST
+    pieces = -(-sizes // longest)
+    heads = np.repeat(heads, pieces) + windows.ragged(pieces) * longest
     last = np.append(heads[1:], len(first)) - 1
-    doc = np.searchsorted(offsets, first[heads], "right") - 1
-    return data, doc, first[heads], first[last] + n, least[heads], offsets
+    return np.searchsorted(offsets, first[heads], "right") - 1, first[heads], first[last] + n, least[heads]
 
 
-def removed_bytes(rows: DataFrame, n: int, k: int, max_bits: int) -> DataFrame:
-    """doc_id (null: the least), tag and packed runs of bytes that repeat elsewhere."""
-    cut = lambda batches: common.slices(batches, limit=SLICE_BYTES)
-    total = sketch.text_bytes(rows)
-    buckets = int(max(16, total // SHARD_BYTES))
-    seen = sketch.repeated(rows.select("text"), lambda part: anchors(*common.text_bytes(part.column("text")), n, k)[0], 2 * total // (n - k), max_bits, cut=cut)
+def removed_bytes(groups: DataFrame, n: int, k: int, total: int, cells: float, hot: int, longest: int, held_bytes: int) -> DataFrame:
+    """group and gone: texts (places in the group), first bytes and ends of runs of bytes that repeat elsewhere; runs may overlap."""
+    buckets = int(max(64, total // SHARD_BYTES))
+    told = sketch.told(groups, lambda part: anchors(*common.text_bytes(part.column("text")), n, k)[0], 2 * total // (n - k), cells=cells)
 
-    def send(held: dict[bytes, tuple]) -> Iterator[pa.RecordBatch]:
-        """A row for each bucket: distinct segments with anchors, then the occurrences of each."""
+    def send(held: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket of its distinct segments; what came more than once here goes back to all its texts."""
         by: dict[int, list] = {}
-        for piece, own in held.items():
-            by.setdefault(own[0] % buckets, []).append((own[0], piece, own[1]))
+        local = []
+        for piece, (key, found) in held.items():
+            if len(found) > 1 and len({(i, t, at) for i, t, _, at in found}) > 1:
+                local += [(r, at, at + len(piece)) for _, _, r, at in found]
+                found = []
+            by.setdefault(key % buckets, []).append((key, piece, found))
         squeeze = zstandard.ZstdCompressor(level=3)
+        packed = lambda bucket, row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((bucket, *row), [pa.int32(), *[pa.binary()] * 8], strict=True)], names=["bucket", *_COLUMNS])
         for bucket, own in by.items():
-            found = np.array([o for x in own for o in x[2]], np.int64).reshape(-1, 3)
-            row = (bucket, np.array([x[0] for x in own], "<u8").tobytes(), np.array([len(x[1]) for x in own], "<u4").tobytes(), squeeze.compress(b"".join(x[1] for x in own)), np.array([len(x[2]) for x in own], "<u4").tobytes(), squeeze.compress(found[:, 0].tobytes()), squeeze.compress(found[:, 1].astype("<i4").tobytes()), squeeze.compress(found[:, 2].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), *[pa.binary()] * 7], strict=True)], names=list(_COLUMNS))
+            found = np.array([o for x in own for o in x[2]], np.int64).reshape(-1, 4)
+            sizes, counts = np.array([len(x[1]) for x in own], "<u4"), np.array([len(x[2]) for x in own], "<u4")
+            text = squeeze.compress(b"".join(x[1] for x in own))
+            yield packed(bucket, (np.array([x[0] for x in own], "<u8").tobytes(), sizes.tobytes(), text, counts.tobytes(), *(squeeze.compress(np.ascontiguousarray(found[:, c]).tobytes()) for c in range(4))))
+        for at in range(0, len(local), 100_000):
+            own = local[at : at + 100_000]
+            yield packed((own[0][0] >> common.PLACE_BITS) % buckets, (b"", *(squeeze.compress(np.array(c, "<i8").tobytes()) for c in zip(*own, strict=True)), *[b""] * 4))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
-        for part in cut(batches):
-            data, doc, a, b, anchor, offsets = segments(part, seen.value, n, k)
+        for group, part, answers in common.parts_of(batches, "told"):
+            ids, tags, rids = substrings.own_numbers(group, part)
+            data, offsets = common.text_bytes(part.column("text"))
+            doc, a, b, key = segments(data, offsets, answers, n, k, hot, longest)
             raw = data.tobytes()
-            ids = np.asarray(part.column("doc_id").fill_null(substrings.LEAST))
-            tags = np.asarray(part.column("key")) & 0x7FFFFFFF
-            for s, e, h, i, t, at in zip(a.tolist(), b.tolist(), anchor.tolist(), ids[doc].tolist(), tags[doc].tolist(), (a - offsets[doc]).tolist(), strict=True):
+            for s, e, h, *own in zip(a.tolist(), b.tolist(), key.tolist(), ids[doc].tolist(), tags[doc].tolist(), rids[doc].tolist(), (a - offsets[doc]).tolist(), strict=True):
                 piece = raw[s:e]
-                own = held.get(piece)
-                if own is None:
-                    held[piece] = own = (h, [])
+                if (known := held.get(piece)) is None:
+                    held[piece] = known = (h, [])
                     size += e - s + 200
-                own[1].append((i, t, at))
-                size += 130
-            if size >= HELD_BYTES * 2:
+                known[1].append(own)
+                size += 150
+            if size >= 2 * held_bytes:
                 yield from send(held)
                 held, size = {}, 0
         if held:
             yield from send(held)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, []
-        for part in batches:
-            for bucket, *row in zip(*(part.column(c).to_pylist() for c in _COLUMNS), strict=True):
-                if bucket != now:
-                    yield from back(own)
-                    now, own = bucket, []
-                own.append(row)
-        yield from back(own)
-
-    def back(rows_: list) -> Iterator[pa.RecordBatch]:
-        """Repeated runs of a bucket's texts, packed by text."""
-        if not rows_:
-            return
+        for _, rows in common.by_key(batches, "bucket", _COLUMNS):
+            yield from back(rows)
+
+    def back(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Repeated runs of a bucket's texts, by group of texts."""
         expand = zstandard.ZstdDecompressor()
+        numbers = lambda c: np.frombuffer(expand.decompress(c), "<i8")
         known: dict[bytes, list] = {}
-        for anchors_, lengths, text, counts, ids, tags, starts in rows_:
+        found = []
+        for keys, lengths, text, counts, *own in rows:
+            if not keys:
+                found.append(tuple(map(numbers, (lengths, text, counts))))
+                continue
             text, at, o = expand.decompress(text), 0, 0
-            ids, tags, starts = np.frombuffer(expand.decompress(ids), "<i8"), np.frombuffer(expand.decompress(tags), "<i4"), np.frombuffer(expand.decompress(starts), "<i8")
-            for h, size, c in zip(np.frombuffer(anchors_, "<u8").tolist(), np.frombuffer(lengths, "<u4").tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True):
-                known.setdefault(text[at : at + size], [h, []])[1].append((ids[o : o + c], tags[o : o + c], starts[o : o + c]))
+            own = np.stack(list(map(numbers, own)), 1)
+            for h, size, c in zip(np.frombuffer(keys, "<u8").tolist(), np.frombuffer(lengths, "<u4").tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True):
+                known.setdefault(text[at : at + size], [h, []])[1].append(own[o : o + c])
                 at, o = at + size, o + c
-        found = []
-        pieces = sorted(known, key=lambda p: known[p][0])  # segments of one anchor stay together
+        pieces = sorted(known, key=lambda p: known[p][0])  # segments of one key stay together
         at = 0
         while at < len(pieces):
             stop, size = at, 0
@@ -128,30 +141,15 @@ def removed_bytes(rows: DataFrame, n: int, k: int, max_bits: int) -> DataFrame:
             found += repeats(pieces[at:stop], [known[p][1] for p in pieces[at:stop]], n)
             at = stop
         if found:
-            doc_id, tag, first, length = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((first, tag, doc_id))
-            doc_id, tag, first, length = doc_id[order], tag[order], first[order], length[order]
-            new = np.ones(len(doc_id), bool)
-            new[1:] = (doc_id[1:] != doc_id[:-1]) | (tag[1:] != tag[:-1])
-            ids, tags, doc = doc_id[new], tag[new], np.cumsum(new) - 1
-            yield from substrings.pack((windows.mixed(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[doc], doc, first, None, length.astype("<u4"), ids, tags)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, []
-        for part in batches:
-            for bucket, *data in zip(*(part.column(c).to_pylist() for c in ("bucket", *substrings.PACKED)), strict=True):
-                if bucket != now:
-                    yield from runs(own)
-                    now, own = bucket, []
-                own.append(substrings.unpack(*data))
-        yield from runs(own)
-
-    met = rows.mapInArrow(dealt, PACKED_SQL).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shard, substrings.PACKED_SQL)
-    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, tag int, own binary")
-
-
-def repeats(pieces: list[bytes], occurrences: list[list], n: int) -> list[tuple[np.ndarray, ...]]:
-    """(doc_id, tag, first byte, length) of repeated runs in a shard: the pieces are distinct, each with its occurrences."""
+            yield from substrings.returned(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    asked = groups.join(told, "group").mapInArrow(dealt, PACKED_SQL)
+    found = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shard, GONE_SQL)
+    return found.groupBy("group").agg(F.collect_list(F.struct("texts", "places", "ends")).alias("gone"))
+
+
+def repeats(pieces: list[bytes], occurrences: list[list[np.ndarray]], n: int) -> list[tuple[np.ndarray, ...]]:
+    """(row number, first byte, end) of repeated runs in a shard: the pieces are distinct, each with its occurrences (id, tag, row number, first byte); an empty one says that it came more than once."""
     text = b"\0".join(pieces)
     data = np.frombuffer(text, np.uint8)
     sizes = np.array([len(p) for p in pieces])
@@ -170,68 +168,50 @@ def repeats(pieces: list[bytes], occurrences: list[list], n: int) -> list[tuple[
     a = np.flatnonzero(opens)
     b = np.append(a[1:], len(on))[: len(a)] - 1
     bounds = np.searchsorted(piece[a], np.arange(len(pieces) + 1))
-    first, length = on[a] - starts[piece[a]], on[b] + n - on[a]
+    first, last = on[a] - starts[piece[a]], on[b] + n - starts[piece[b]]
     out = []
     for k, own in enumerate(occurrences):
-        ids, tags, at = (np.concatenate(x) for x in zip(*own, strict=True))
-        if len(ids) > 1 and len(set(zip(ids.tolist(), tags.tolist(), at.tolist(), strict=True))) > 1:
-            out.append((ids, tags, at, np.full(len(ids), sizes[k])))
+        found = np.concatenate(own)
+        if not len(found):
+            continue
+        if len(own) > 1 and (min(map(len, own)) == 0 or len(np.unique(found[:, [0, 1, 3]], axis=0)) > 1):
+            out.append((found[:, 2], found[:, 3], found[:, 3] + sizes[k]))
         else:
             for r in range(bounds[k], bounds[k + 1]):
-                out.append((ids, tags, at + first[r], np.full(len(ids), length[r])))
+                out.append((found[:, 2], found[:, 3] + first[r], found[:, 3] + last[r]))
     return out
 
 
-def runs(own: list) -> Iterator[pa.RecordBatch]:
-    """A row for each text: its repeated runs, put together where they overlap or touch."""
-    if not own:
-        return
-    doc_id, tag, first, _, length = (np.concatenate(x) for x in zip(*own, strict=True))
-    order = np.lexsort((first, tag, doc_id))
-    doc_id, tag, first, end = doc_id[order], tag[order], first[order], (first + length)[order]
-    new = np.ones(len(doc_id), bool)
-    new[1:] = (doc_id[1:] != doc_id[:-1]) | (tag[1:] != tag[:-1])
-    heads = np.flatnonzero(new)
-    packed = []
-    for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(doc_id)], strict=True):
-        reach = np.maximum.accumulate(end[x:y])
-        opens = np.ones(y - x, bool)
-        opens[1:] = first[x + 1 : y] > reach[:-1]
-        at = np.flatnonzero(opens)
-        packed.append(np.stack([first[x:y][at], reach[np.append(at[1:], y - x) - 1]], 1).astype("<u4").tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(doc_id[heads]), pa.array(tag[heads].astype(np.int32)), pa.array(packed, pa.binary())], names=["doc_id", "tag", "own"])
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", max_bits: int = sketch.MAX_BITS) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", cells: float = sketch.CELLS, hot: int = HOT, longest: int = LONGEST, held_bytes: int = HELD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_spans, n_removed and kept (bytes) of every row: every byte in a string of `window` bytes that also starts elsewhere goes.
 
     Null and empty texts have no bytes; texts shorter than the window keep all. Repeated rows (equal id and text) are one
     document: they don't remove each other, and each stays. A null id is a value of its own.
     """
     rows = common.id_text(docs, id_col, text_col).withColumn("key", common.text_key())
-    gone = removed_bytes(rows, window, run, max_bits).withColumnRenamed("doc_id", "rid")
+    groups = common.grouped(rows, SLICE_BYTES)
+    gone = removed_bytes(groups, window, run, sketch.text_bytes(rows), cells, hot, longest, held_bytes)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            sizes, removed, spans, out = [], [], [], []
-            for text, own in zip(part.column("text").to_pylist(), part.column("own").to_pylist(), strict=True):
-                raw, at, rest = text.encode(), 0, []
-                pairs = np.frombuffer(own or b"", "<u4").reshape(-1, 2).tolist()
-                for a, b in pairs:
-                    rest.append(raw[at:a])
-                    at = b
-                out.append(b"".join([*rest, raw[at:]]))
-                sizes.append(len(raw))
-                removed.append(len(raw) - len(out[-1]))
-                spans.append(len(pairs))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(out, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    texts = rows.withColumns({"own_id": F.coalesce("doc_id", F.lit(substrings.LEAST)), "own_tag": F.col("key").bitwiseAND(0x7FFFFFFF).cast("int")})
-    both = texts.join(gone, (F.col("own_id") == F.col("rid")) & (F.col("own_tag") == F.col("tag")), "left").select("doc_id", "text", "own")
-    return both.mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        for _, part, own in common.parts_of(batches, "gone"):
+            data, offsets = common.text_bytes(part.column("text"))
+            step = np.zeros(len(data) + 1, np.int32)
+            for x in own or ():
+                base = offsets[common.unplanes(x["texts"])]
+                np.add.at(step, base + common.unplanes(x["places"]), 1)
+                np.add.at(step, base + common.unplanes(x["ends"]), -1)
+            out = np.cumsum(step[:-1]) > 0
+            opens = out.copy()
+            opens[1:] &= ~out[:-1]
+            heads = offsets[:-1][np.diff(offsets) > 0]
+            opens[heads] = out[heads]  # runs don't go on from text to text
+            sums, spans = np.concatenate([[0], np.cumsum(out)]), np.concatenate([[0], np.cumsum(opens)])
+            per = lambda x: pa.array(x[offsets[1:]] - x[offsets[:-1]])
+            rest, ends = data[~out].tobytes(), np.concatenate([[0], np.cumsum(~out)])[offsets].tolist()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), per(sums), per(spans), pa.array([rest[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return groups.join(gone, "group", "left").mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-

@@ -9,13 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call handles at most (a longer text is handled alone).
 SLICE_BYTES = 8 << 20
-#: Rows of a batch between Spark and Python at most.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch between Spark and Python at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Rows of a group of texts at most, as a power of two: a row's number is its group's, then its place there.
+PLACE_BITS = 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +33,13 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows of text can be long: at most BATCH_ROWS of them cross to Python at once, unless the session asks for fewer."""
+    """Rows of text can be long: at most BATCH_ROWS of them, and about BATCH_BYTES, cross to Python at once, unless the session asks for fewer."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":  # nobody has set it
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
 def release() -> None:
@@ -44,23 +51,24 @@ def release() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in runs of about `limit` bytes of text: small batches are put together, large ones cut."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The same rows in runs of about `limit` bytes of text, and `rows` rows at most: small batches are put together, large ones cut."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = count = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         ends = np.cumsum(lengths(batch.column(batch.schema.get_field_index(text))))
         start, base = 0, 0
         while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit - size, "right")))
+            stop = max(start + 1, min(int(np.searchsorted(ends, base + limit - size, "right")), start + rows - count))
             held.append(batch.slice(start, stop - start))
             size += int(ends[stop - 1]) - base
+            count += stop - start
             start, base = stop, int(ends[stop - 1])
-            if size >= limit or start < batch.num_rows:
+            if size >= limit or count >= rows or start < batch.num_rows:
                 yield joined(held)
-                held, size = [], 0
+                held, size, count = [], 0, 0
     if held:
         yield joined(held)
         held = []
@@ -109,6 +117,63 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def grouped(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows (doc_id, key, text) in groups of about `limit` bytes of text: group (a number of its own) and data (an Arrow stream).
+
+    Groups are written once and read from there, so that a group means the same rows in each later pass.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("text", pa.string())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 29
+        for n, part in enumerate(slices(batches, limit=limit, rows=1 << PLACE_BITS)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part.cast(schema))
+            yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["group", "data"])
+
+    return written(rows.select("doc_id", "key", "text").mapInArrow(work, "group long, data binary"))
+
+
+def ungrouped(data: pa.Scalar) -> pa.RecordBatch:
+    """The rows of a group."""
+    with pa.ipc.open_stream(data.as_buffer()) as rows:
+        return rows.read_next_batch()
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """(group, its rows, further columns) of groups."""
+    for batch in batches:
+        for group, data, *more in zip(batch.column("group").to_pylist(), batch.column("data"), *(batch.column(c).to_pylist() for c in columns), strict=True):
+            yield group, ungrouped(data), *more
+    release()
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """(key, its rows) of batches in which rows of one key follow each other."""
+    now, own = None, []
+    for batch in batches:
+        for value, *row in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
+            if value != now:
+                if own:
+                    yield now, own
+                now, own = value, []
+            own.append(tuple(row))
+    if own:
+        yield now, own
+    release()
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**32, their bytes apart, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    apart = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(apart.T).view("<u4").ravel().astype(np.int64)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a compressed table in the shared folder: cuts the lineage, and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"

@@ -1,9 +1,10 @@
-"""A count-min sketch of 64-bit hashes, counts cut at two, made per partition and merged by Spark.
+"""Count-min sketches of 64-bit hashes, made per partition, merged by Spark bucket by bucket, and asked where they lie.
 
-The sketch answers "may this hash occur more than once?"; it overestimates, so no repeat is lost. Each
-partition reports its cells, sorted and coded by differences; Spark brings the cells of a block together,
-and what comes back is one bit a cell: seen at least twice. Its size is bounded by MAX_BITS, so it can be
-broadcast; a sketch too small for its input lets more hashes through and changes no result.
+Every partition reduces the hashes of its groups of texts to (hash, count) and sends them, packed, to buckets of
+hashes. A bucket merges what all partitions sent into the rows of a count-min sketch and answers each group for its
+own hashes: which of them are counted at least twice, and about how often. A count is never less than the true one,
+so no repeat is lost, and equal hashes get equal answers. Buckets grow in number with the input and not in size; no
+sketch is broadcast or brought to the driver. A hash that all texts have is one entry for each group.
 """
 
 from __future__ import annotations
@@ -12,153 +13,104 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sketch; bits of a row's width at least and at most (2**28 bits: 32 MB a row); bits of a block.
-DEPTH, MIN_BITS, MAX_BITS, BLOCK_BITS = 2, 16, 28, 18
-#: Hashes that a task holds before it reports.
-HELD = 4_000_000
-
-
-def width_bits(expected: int, most: int = MAX_BITS) -> int:
-    """Four cells for each expected hash, within the bounds."""
-    return int(min(most, max(MIN_BITS, (4 * max(expected, 1) - 1).bit_length())))
-
-
-def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """The cell of each hash in a row: rows take different multiples of it."""
-    multiple = np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[row])
-    return ((hashes * multiple) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def coded(values: np.ndarray) -> bytes:
-    """Sorted values by differences, byte planes apart, compressed."""
-    steps = np.diff(values, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.T).tobytes())
-
-
-def uncoded(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
-
-
-def at_most_two(values: np.ndarray) -> np.ndarray:
-    """Sorted values, each kept twice at most."""
-    if len(values) < 3:
-        return values
-    return values[np.concatenate([[True, True], values[2:] != values[:-2]])]
-
-
-def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expected: int, most: int = MAX_BITS, depth: int = DEPTH, cut: Callable | None = None):
-    """A broadcast Sketch of all hashes that `hashes` finds in the batches of `rows` (cut to size by `cut`)."""
-    bits = width_bits(expected, most)
-    block_bits = min(BLOCK_BITS, bits)
-    blocks = 1 << (bits - block_bits)
-
-    def report(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        own = np.concatenate(held)
-        for row in range(depth):
-            found = at_most_two(np.sort(cells(own, row, bits)))
-            bounds = np.searchsorted(found, np.arange(blocks + 1) << block_bits)
-            keys = np.flatnonzero(np.diff(bounds))
-            for some in np.array_split(keys, max(1, len(keys) // 2000)):
-                data = [coded(found[bounds[k] : bounds[k + 1]] - (int(k) << block_bits)) for k in some.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(some + row * blocks, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
+from . import common, windows
+
+#: Rows of a sketch, cells of a row for each entry, entries of a bucket (expected), and entries that a task holds before it sends.
+DEPTH, CELLS, BUCKET, HELD = 2, 8, 1_000_000, 1_500_000
+_SENT = ("groups", "sizes", "places", "prints", "counts")
+
+
+def estimates(prints: np.ndarray, counts: np.ndarray, cells: float = CELLS) -> np.ndarray:
+    """Of each entry the least of its cells' sums: its hash's count, or more."""
+    bits = max(4, int(cells * len(prints) - 1).bit_length())
+    out = None
+    for row in range(DEPTH):
+        cell = (prints * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[row]) >> np.uint64(64 - bits)).astype(np.int64)
+        sums = np.bincount(cell, weights=counts, minlength=1 << bits)[cell]
+        out = sums if out is None else np.minimum(out, sums)
+    return out.astype(np.int64)
+
+
+def told(groups: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expected: int, bucket: int = BUCKET, cells: float = CELLS) -> DataFrame:
+    """group, told: for each group, where in its distinct hashes, ascending, those lie that are counted at least twice, and the power of two of their counts.
+
+    `hashes` gives a group's hashes, as often as they count; groups of which no hash repeats have no row.
+    """
+    buckets = int(max(64, expected // bucket))
+
+    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        groups_, own, counts = zip(*held, strict=True)
+        groups_, sizes = np.array(groups_, np.int64), np.array([len(x) for x in own])
+        mixed = windows.mixed(np.concatenate(own) ^ np.uint64(0x5851F42D4C957F2D))
+        counts, group, place = np.concatenate(counts), np.repeat(np.arange(len(sizes)), sizes), windows.ragged(sizes)
+        key = (mixed % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+        order = np.argsort(key, kind="stable")
+        bounds = np.searchsorted(key[order], np.arange(buckets + 1))
+        rows = []
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            some = order[bounds[b] : bounds[b + 1]]
+            mine = group[some]
+            heads = np.flatnonzero(np.diff(mine, prepend=-1))
+            prints = np.ascontiguousarray((mixed[some] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+            rows.append((b, groups_[mine[heads]].tobytes(), common.planes(np.diff(np.append(heads, len(some)))), common.planes(place[some]), prints.tobytes(), common.planes(counts[some])))
+        for at in range(0, len(rows), 500):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 500], strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["bucket", *_SENT])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for part in cut(batches) if cut else batches:
-            held.append(hashes(part))
-            size += len(held[-1])
+        for group, part in common.parts_of(batches):
+            own, counts = np.unique(hashes(part), return_counts=True)
+            if len(own):
+                held.append((group, own, counts))
+                size += len(own)
             if size >= HELD:
-                yield from report(held)
+                yield from sent(held)
                 held, size = [], 0
         if size:
-            yield from report(held)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a partition come block by block."""
-        now, once, twice = None, None, None
-        n = 1 << block_bits
-
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-
-        for part in batches:
-            for block, data in zip(part.column("block").to_pylist(), part.column("data"), strict=True):
-                if block != now:
-                    if now is not None:
-                        yield done()
-                    now, once, twice = block, np.zeros(n, bool), np.zeros(n, bool)
-                values = uncoded(data.as_py())
-                twice[values[1:][values[1:] == values[:-1]]] = True
-                twice |= once & _marked(values, n)
-                once[values] = True
-        if now is not None:
-            yield done()
-
-    found = rows.mapInArrow(partial, "block int, data binary").repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
-    table = np.zeros(depth * (1 << bits) // 8, np.uint8)
-    step = (1 << block_bits) // 8
-    for block, data in found.collect():
-        table[block * step : (block + 1) * step] = np.frombuffer(data, np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(Sketch(table, bits, depth))
-
-
-def _marked(values: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
-    out[values] = True
-    return out
-
-
-class Sketch:
-    def __init__(self, table: np.ndarray, bits: int, depth: int):
-        self.table, self.bits, self.depth = table, bits, depth
-
-    def may_repeat(self, hashes: np.ndarray) -> np.ndarray:
-        """False only for hashes that occur once in the corpus."""
-        out = np.ones(len(hashes), bool)
-        for row in range(self.depth):
-            on = np.flatnonzero(out)
-            cell = cells(hashes[on], row, self.bits)
-            byte = self.table[(row << (self.bits - 3)) + (cell >> 3)]
-            out[on] = (byte >> (cell & 7).astype(np.uint8)) & 1
-        return out
-
-
-def powers(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int = 22):
-    """A broadcast table of 2**bits cells: the power of two of how many hashes fell in each (an estimate from above)."""
-    block_bits = min(BLOCK_BITS, bits)
-    blocks = 1 << (bits - block_bits)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
-        for part in batches:
-            counts += np.bincount(cells(hashes(part), 0, bits), minlength=1 << bits).astype(np.uint32)
-        for k in range(blocks):
-            some = counts[k << block_bits : (k + 1) << block_bits]
-            if some.any():
-                planes = np.ascontiguousarray(some.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(planes.tobytes())], pa.binary())], names=["block", "data"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for part in batches:
-            for block, data in zip(part.column("block").to_pylist(), part.column("data").to_pylist(), strict=True):
-                planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-                sums[block] = sums.get(block, 0) + np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-        for block, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.ceil(np.log2(own + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["block", "powers"])
-
-    found = rows.mapInArrow(partial, "block int, data binary").repartition("block").mapInArrow(merge, "block int, powers binary")
-    table = np.zeros(1 << bits, np.uint8)
-    for block, data in found.collect():
-        table[block << block_bits : (block + 1) << block_bits] = np.frombuffer(data, np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(table)
+            yield from sent(held)
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in common.by_key(batches, "bucket", _SENT):
+            group = np.concatenate([np.repeat(np.frombuffer(g, "<i8"), common.unplanes(n)) for g, n, *_ in rows])
+            place = np.concatenate([common.unplanes(r[2]) for r in rows])
+            prints = np.zeros((len(place), 8), np.uint8)
+            prints[:, :5] = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).reshape(-1, 5)
+            counts = estimates(windows.mixed(prints.view("<u8").ravel()), np.concatenate([common.unplanes(r[4]) for r in rows]), cells)
+            on = np.flatnonzero(counts >= 2)
+            on = on[np.lexsort((place[on], group[on]))]
+            group, place, power = group[on], place[on], np.ceil(np.log2(np.maximum(counts[on], 2))).astype(np.uint8)
+            heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(on) else on
+            ends = np.append(heads[1:], len(on))
+            for k in range(0, len(heads), 1000):
+                some = list(zip(heads[k : k + 1000].tolist(), ends[k : k + 1000].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(group[heads[k : k + 1000]]), pa.array([common.planes(place[a:b]) for a, b in some], pa.binary()), pa.array([power[a:b].tobytes() for a, b in some], pa.binary())], names=["group", "places", "powers"])
+
+    sql = "bucket int, " + ", ".join(f"{c} binary" for c in _SENT)
+    found = groups.mapInArrow(partial, sql).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answered, "group long, places binary, powers binary")
+    return found.groupBy("group").agg(F.collect_list(F.struct("places", "powers")).alias("told"))
+
+
+def repeated(hashes: np.ndarray, answers: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(those of a group's hashes that may repeat, distinct and ascending; the powers of two of their counts)."""
+    own = np.unique(hashes)
+    if not answers:
+        return own[:0], np.zeros(0, np.uint8)
+    place = np.concatenate([common.unplanes(a["places"]) for a in answers])
+    power = np.concatenate([np.frombuffer(a["powers"], np.uint8) for a in answers])
+    order = np.argsort(place)
+    return own[place[order]], power[order]
+
+
+def among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the hashes are known (distinct and ascending)."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
-    """All bytes of text, by which a sketch's width is chosen."""
+    """All bytes of text, by which the number of buckets is chosen."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
