@@ -1,12 +1,13 @@
 """Media columns in a deduplicated chunk store.
 
-A payload is stored as a WAV file of 8-bit mono samples. A rolling gear hash over the file's bytes
-cuts it into chunks; each distinct chunk (by SHA-256) is kept once, compressed; each row keeps its
-ordered chunk list. Reading joins the lists with the store, puts the chunks together, verifies
-length and digest, and computes the features from the samples read back.
-
-Bytes move in two shuffles at most: by digest into the store, and by row for files of several chunks
-alone; a file of one chunk is read where its chunk lies.
+A payload is stored as a WAV file of 8-bit mono samples. A rolling gear hash over the payload cuts it into chunks of
+some hundred bytes; the file's header, which tells its length and so is other for most near copies, is kept in the
+file's list. Texts are handled in batches: a batch sends its distinct chunks, packed and compressed, to buckets of
+their digests (128 bits of SHA-256). Where a bucket's chunks meet, each digest is kept once, and each batch gets back
+what its lists name, from the one that is kept. The lists put the chunks together; length and SHA-256 of each whole
+file are verified, and the features computed from the samples read back.
+
+Bytes move in two shuffles: by digest, and back by batch. Payloads, cuts and digests are computed once.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: The payload's unit of padding, and the chunk sizes: cuts come at least LEAST and at most MOST bytes apart, about 2**BITS on average.
-UNIT, PAD, LEAST, BITS, MOST, WINDOW = 192, 32, 4096, 14, 1 << 16, 32
-RATE, HEADER = 8000, 44
+UNIT, PAD, LEAST, BITS, MOST, WINDOW = 192, 32, 64, 8, 4096, 32
+RATE, HEADER, DIGEST, LEVEL = 8000, 44, 16, 6
+#: Bytes of text of a batch, and of a bucket (expected).
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 
 
 def gear_table(seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
@@ -68,9 +72,12 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
+def header(n: int) -> bytes:
+    return b"RIFF" + struct.pack("<I", 36 + n) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, RATE, RATE, 1, 8) + b"data" + struct.pack("<I", n)
+
+
 def wav(payload: bytes) -> bytes:
-    n = len(payload)
-    return b"RIFF" + struct.pack("<I", 36 + n) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, RATE, RATE, 1, 8) + b"data" + struct.pack("<I", n) + payload
+    return header(len(payload)) + payload
 
 
 def samples(media: bytes) -> bytes:
@@ -102,70 +109,127 @@ def described(n_bytes: int, media: bytes, digest: bytes) -> tuple:
     return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), own.hex(), feature(payload)
 
 
-def chunk_rows(docs: DataFrame, stored: bool) -> DataFrame:
-    """Per row and chunk: its place, digest and (if stored) compressed bytes; else the row's length, number of chunks and file digest."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=6)
-        for part in common.slices(batches):
-            rows = []
-            for doc_id, key, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
-                n_bytes, payload = payload_of(text)
-                media = wav(payload)
-                ends, at = cuts(media), 0
-                whole = hashlib.sha256(media).digest()
-                for i, end in enumerate(ends):
-                    piece = media[at:end]
-                    digest = whole if len(ends) == 1 else hashlib.sha256(piece).digest()
-                    rows.append((digest, squeeze.compress(piece)) if stored else (doc_id, key, n_bytes, i, len(ends), whole, digest))
-                    at = end
-            kinds = [pa.binary(), pa.binary()] if stored else [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            names = ["digest", "bytes"] if stored else ["doc_id", "key", "n_bytes", "i", "n_chunks", "whole", "digest"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return docs.mapInArrow(work, "digest binary, bytes binary" if stored else "doc_id long, key long, n_bytes long, i int, n_chunks int, whole binary, digest binary")
-
-
-def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(store, lists): each distinct chunk once (digest, bytes), and the chunk lists (doc_id, key, n_bytes, i, n_chunks, whole, digest)."""
-    rows = common.id_text(docs, id_col, text_col).withColumn("key", common.text_key())
-    return chunk_rows(rows, True).groupBy("digest").agg(F.first("bytes").alias("bytes")), chunk_rows(rows, False)
-
-
 DESCRIBED = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 DESCRIBED_SQL = "said struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>"
-LISTED = ("doc_id", "key", "n_bytes", "i", "n_chunks", "whole", "bytes")
+#: The list of a batch: its rows, the file of each, and of each file its header, digest, text bytes and chunks.
+_FILES = pa.schema([("doc_ids", pa.list_(pa.int64())), ("file", pa.list_(pa.int32())), ("n_bytes", pa.list_(pa.int64())), ("headers", pa.binary()), ("whole", pa.binary()), ("n_chunks", pa.list_(pa.int32())), ("chunks", pa.list_(pa.int32()))])
+#: What travels: places of chunks among a batch's distinct ones, their digests, lengths and bytes; or the list of a batch.
+_SENT = ("batch", "places", "digests", "lengths", "bytes", "files")
+_SENT_SQL = "bucket int, batch long, places binary, digests binary, lengths binary, bytes binary, files binary"
+_BACK_SQL = "batch long, places binary, lengths binary, bytes binary, files binary"
 
 
-def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text as media in the chunk store and reads it back: one row per row of `docs`.
+def chunked(rows: DataFrame, buckets: int) -> DataFrame:
+    """Of each batch its list, and its distinct chunks bucket by bucket."""
 
-    A null or empty text is one unit of padding. Repeated rows stay, each with its result; equal texts have
-    equal values whatever their ids. A null id stays null.
-    """
-    store, lists = chunk_store(docs, id_col, text_col)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
+        base = TaskContext.get().partitionId() << 29
+        packed = lambda *row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=["bucket", *_SENT])
+        for n, part in enumerate(common.slices(batches, limit=BATCH_BYTES)):
+            number: dict[bytes, int] = {}
+            pieces: list[bytes] = []
+            known: dict[str, int] = {}
+            file, n_bytes, headers, wholes, n_chunks, chunks = [], [], [], [], [], []
+            for text in part.column("text").to_pylist():
+                if text not in known:
+                    known[text] = len(known)
+                    size, payload = payload_of(text)
+                    n_bytes.append(size)
+                    headers.append(header(len(payload)))
+                    wholes.append(hashlib.sha256(headers[-1] + payload).digest())
+                    at, ends = 0, cuts(payload)
+                    for end in ends:
+                        digest = hashlib.sha256(payload[at:end]).digest()[:DIGEST]
+                        if (k := number.get(digest)) is None:
+                            number[digest] = k = len(pieces)
+                            pieces.append(payload[at:end])
+                        chunks.append(k)
+                        at = end
+                    n_chunks.append(len(ends))
+                file.append(known[text])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _FILES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                row = [part.column("doc_id").to_pylist(), file, n_bytes, b"".join(headers), b"".join(wholes), n_chunks, chunks]
+                out.write_batch(pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _FILES, strict=True)], schema=_FILES))
+            yield packed((base + n) % buckets, base + n, b"", b"", b"", b"", sink.getvalue().to_pybytes())
+            digests = np.frombuffer(b"".join(number), np.uint8).reshape(-1, DIGEST)
+            bucket = np.ascontiguousarray(digests[:, :8]).view("<u8").ravel() % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+            for b in np.flatnonzero(np.diff(bounds)).tolist():
+                own = order[bounds[b] : bounds[b + 1]]
+                some = [pieces[k] for k in own.tolist()]
+                yield packed(b, base + n, common.planes(own), digests[own].tobytes(), common.planes(np.array(list(map(len, some)))), squeeze.compress(b"".join(some)), b"")
+
+    return rows.mapInArrow(work, _SENT_SQL)
+
+
+def cut_at(data: bytes, lengths: bytes) -> list[bytes]:
+    """The chunks that packed bytes hold."""
+    ends = np.cumsum(common.unplanes(lengths)).tolist()
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def digests_of(data: bytes) -> list[bytes]:
+    return [data[k : k + DIGEST] for k in range(0, len(data), DIGEST)]
+
+
+def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The store: each distinct chunk once (digest, bytes)."""
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Files of one chunk are read here; chunks of others go on as they are."""
-        expand = zstandard.ZstdDecompressor()
         for part in batches:
-            said = [fields(described(n, expand.decompress(b), w)) if k == 1 else None for n, k, w, b in zip(*(part.column(c).to_pylist() for c in ("n_bytes", "n_chunks", "whole", "bytes")), strict=True)]
-            kept = [None if k == 1 else b for k, b in zip(part.column("n_chunks").to_pylist(), part.column("bytes").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in LISTED[:-1]), pa.array(kept, pa.binary()), pa.array(said, DESCRIBED)], names=[*LISTED, "said"])
+            for digests, lengths, data in zip(*(part.column(c).to_pylist() for c in ("digests", "lengths", "bytes")), strict=True):
+                if digests:
+                    yield pa.RecordBatch.from_arrays([pa.array(digests_of(digests), pa.binary()), pa.array(cut_at(data, lengths), pa.binary())], names=["digest", "bytes"])
 
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Files of several chunks, their chunks in order."""
-        expand = zstandard.ZstdDecompressor()
-        for part in batches:
-            said = [fields(described(n, b"".join(map(expand.decompress, p)), w)) if s is None else s for n, w, p, s in zip(*(part.column(c).to_pylist() for c in ("n_bytes", "whole", "parts", "said")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n_chunks", "repeats")), pa.array(said, DESCRIBED)], names=["doc_id", "n_chunks", "repeats", "said"])
+    rows = common.id_text(docs, id_col, text_col)
+    return chunked(rows, 64).mapInArrow(single, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes"))
 
-    read = lists.join(store, "digest").select(*LISTED).mapInArrow(single, f"doc_id long, key long, n_bytes long, i int, n_chunks int, whole binary, bytes binary, {DESCRIBED_SQL}")
-    parts = F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("n_chunks") > 1, F.struct("i", "bytes")))))
-    files = read.groupBy("doc_id", "key").agg(*(F.first(c).alias(c) for c in ("n_bytes", "n_chunks", "whole", "said")), F.count_if(F.col("i") == 0).alias("repeats"), parts.alias("parts"))
-    files = files.withColumn("parts", F.expr("transform(parts, x -> x.bytes)")).drop("key").mapInArrow(several, f"doc_id long, n_chunks int, repeats long, {DESCRIBED_SQL}")
-    return files.select("doc_id", "said.*", "n_chunks", F.explode(F.array_repeat(F.lit(0), F.col("repeats").cast("int"))).alias("_")).drop("_")
 
+def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores every text as media in the chunk store and reads it back: one row per row of `docs`.
 
-def fields(values: tuple) -> dict:
-    return dict(zip((f.name for f in DESCRIBED), values, strict=True))
+    A null or empty text is one unit of padding. Repeated rows stay, each with its result; equal texts have
+    equal values whatever their ids. A null id stays null.
+    """
+    rows = common.id_text(docs, id_col, text_col)
+    buckets = int(max(64, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    names = ["batch", "places", "lengths", "bytes", "files"]
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket keeps each chunk once and answers each batch from what it keeps."""
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
+        for _, own in common.by_key(batches, "bucket", _SENT):
+            store: dict[bytes, bytes] = {}
+            for batch, places, digests, lengths, data, files in own:
+                if digests:
+                    digests = digests_of(digests)
+                    for d, piece in zip(digests, cut_at(data, lengths), strict=True):
+                        store.setdefault(d, piece)
+                    kept = [store[d] for d in digests]
+                    lengths, data = common.planes(np.array(list(map(len, kept)))), squeeze.compress(b"".join(kept))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((batch, places, lengths, data, files), [pa.int64(), *[pa.binary()] * 4], strict=True)], names=names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in common.by_key(batches, "batch", tuple(names[1:])):
+            pieces: dict[int, bytes] = {}
+            for places, lengths, data, files in own:
+                if files:
+                    listed = pa.ipc.open_stream(files).read_next_batch().to_pylist()[0]
+                else:
+                    pieces.update(zip(common.unplanes(places).tolist(), cut_at(data, lengths), strict=True))
+            said, at = [], 0
+            for k, (n, count) in enumerate(zip(listed["n_bytes"], listed["n_chunks"], strict=True)):
+                media = listed["headers"][k * HEADER : (k + 1) * HEADER] + b"".join([pieces[c] for c in listed["chunks"][at : at + count]])
+                said.append(dict(zip((f.name for f in DESCRIBED), described(n, media, listed["whole"][k * 32 : (k + 1) * 32]), strict=True)))
+                at += count
+            for k in range(0, len(listed["file"]), 1000):
+                files = listed["file"][k : k + 1000]
+                yield pa.RecordBatch.from_arrays([pa.array(listed["doc_ids"][k : k + 1000], pa.int64()), pa.array([listed["n_chunks"][f] for f in files], pa.int32()), pa.array([said[f] for f in files], DESCRIBED)], names=["doc_id", "n_chunks", "said"])
+
+    met = chunked(rows, buckets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(stored, _BACK_SQL)
+    files = met.repartition("batch").sortWithinPartitions("batch").mapInArrow(read, f"doc_id long, n_chunks int, {DESCRIBED_SQL}")
+    return files.select("doc_id", "said.*", "n_chunks")
