@@ -1,7 +1,7 @@
 """Byte-level BPE: overlapping chunks are pre-tokenised in parallel, stitched, encoded piece by piece, and decoded.
 
 A text of at most `chunk` characters is one chunk. A longer one is cut into chunks that overlap by
-`overlap` characters. The scan of a chunk may start inside a piece; from the first boundary that it
+`overlap` characters and go to different tasks, so that no task encodes a very long text alone. The scan of a chunk may start inside a piece; from the first boundary that it
 shares with the scan before it, both agree, so the text is cut there. Where the overlap holds no
 shared boundary, the rest of that text stays one segment: rare, and exact all the same.
 """
@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK, OVERLAP = 65_536, 4_096
+CHUNK, OVERLAP = 16_384, 1_024
 #: Pieces whose ids a task keeps; beyond it starts anew.
 CACHE = 400_000
+#: Chunks of a text that go to Spark at once.
+CHUNKS = 64
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 ENCODED_SQL = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
 
@@ -106,21 +108,21 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, ENCODED_SQL)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chunks of each long text, with the boundaries of their pieces where they overlap the chunk before and the one behind."""
         for part in batches:
-            head, tail = [], []
-            for text in part.column("text").to_pylist():
-                bounds = boundaries(text)
-                head.append([b for b in bounds if b < overlap])
-                tail.append([b - chunk for b in bounds if b >= chunk])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], names=[*part.schema.names, "head", "tail"])
+            for doc_id, key, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
+                starts = range(0, len(text), chunk)
+                for at in range(0, len(starts), CHUNKS):
+                    own = [text[k : k + chunk + overlap] for k in starts[at : at + CHUNKS]]
+                    bounds = list(map(boundaries, own))
+                    columns = ([doc_id] * len(own), [key] * len(own), list(range(at, at + len(own))), own, [[b for b in x if b < overlap] for x in bounds], [[b - chunk for b in x if b >= chunk] for x in bounds])
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "key", "i", "text", "head", "tail"])
 
     # One row for each chunk of each distinct long text of an id, with the number of its repeats.
-    long = rows.filter(F.length("text") > chunk).withColumn("key", common.text_key())
-    chunks = long.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))))
-    chunks = chunks.select("doc_id", "key", "i", F.substring("text", F.col("i") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
-    chunks = chunks.groupBy("doc_id", "key", "i").agg(F.first("text").alias("text"), F.count("*").alias("repeats"))
-    kinds = "doc_id long, key long, i int, text string, repeats long"
-    chunks = chunks.mapInArrow(scanned, f"{kinds}, head array<int>, tail array<int>")
+    long = rows.filter(F.length("text") > chunk).withColumn("key", common.text_key()).select("doc_id", "key", "text")
+    chunks = long.mapInArrow(scanned, "doc_id long, key long, i int, text string, head array<int>, tail array<int>")
+    chunks = chunks.groupBy("doc_id", "key", "i").agg(*(F.first(c).alias(c) for c in ("text", "head", "tail")), F.count("*").alias("repeats"))
     by_text = Window.partitionBy("doc_id", "key").orderBy("i")
     shared = F.when(F.col("i") == 0, 0).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(by_text), F.col("head"))))
     cut = chunks.withColumn("cut", shared).withColumn("cut", F.when(F.min(F.col("cut").isNotNull()).over(by_text), F.col("cut")))
