@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import common, windows
 
-#: Rows of a sketch, cells of a row for each entry, entries of a bucket (expected), and entries that a task holds before it sends.
+#: An entry is told by 32 bits of its hash, besides its bucket. Rows of a sketch, cells of a row for each entry, entries of a bucket (expected), and entries that a task holds before it sends.
 DEPTH, CELLS, BUCKET, HELD = 2, 8, 1_000_000, 1_500_000
 _SENT = ("groups", "sizes", "places", "prints", "counts")
 
@@ -34,6 +34,20 @@ def estimates(prints: np.ndarray, counts: np.ndarray, cells: float = CELLS) -> n
     return out.astype(np.int64)
 
 
+def steps(places: np.ndarray, heads: np.ndarray = np.zeros(1, np.int64)) -> bytes:
+    """Places that ascend from each head on, by their differences."""
+    out = np.diff(places, prepend=0)
+    out[heads] = places[heads]
+    return common.planes(out)
+
+
+def unsteps(data: bytes, heads: np.ndarray = np.zeros(1, np.int64)) -> np.ndarray:
+    out = common.unplanes(data)
+    sums = np.cumsum(out)
+    before = sums[heads] - out[heads]
+    return sums - np.repeat(before, np.diff(np.append(heads, len(out))))
+
+
 def told(groups: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expected: int, bucket: int = BUCKET, cells: float = CELLS) -> DataFrame:
     """group, told: for each group, where in its distinct hashes, ascending, those lie that are counted at least twice, and the power of two of their counts.
 
@@ -54,8 +68,9 @@ def told(groups: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expe
             some = order[bounds[b] : bounds[b + 1]]
             mine = group[some]
             heads = np.flatnonzero(np.diff(mine, prepend=-1))
-            prints = np.ascontiguousarray((mixed[some] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
-            rows.append((b, groups_[mine[heads]].tobytes(), common.planes(np.diff(np.append(heads, len(some)))), common.planes(place[some]), prints.tobytes(), common.planes(counts[some])))
+            sizes_ = np.diff(np.append(heads, len(some)))
+            prints = (mixed[some] >> np.uint64(32)).astype("<u4")
+            rows.append((b, groups_[mine[heads]].tobytes(), common.planes(sizes_), steps(place[some], heads), prints.tobytes(), common.planes(counts[some])))
         for at in range(0, len(rows), 500):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 500], strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["bucket", *_SENT])
 
@@ -74,11 +89,11 @@ def told(groups: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expe
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in common.by_key(batches, "bucket", _SENT):
-            group = np.concatenate([np.repeat(np.frombuffer(g, "<i8"), common.unplanes(n)) for g, n, *_ in rows])
-            place = np.concatenate([common.unplanes(r[2]) for r in rows])
-            prints = np.zeros((len(place), 8), np.uint8)
-            prints[:, :5] = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).reshape(-1, 5)
-            counts = estimates(windows.mixed(prints.view("<u8").ravel()), np.concatenate([common.unplanes(r[4]) for r in rows]), cells)
+            sizes = [common.unplanes(r[1]) for r in rows]
+            group = np.concatenate([np.repeat(np.frombuffer(r[0], "<i8"), n) for r, n in zip(rows, sizes, strict=True)])
+            place = np.concatenate([unsteps(r[2], np.cumsum(n) - n) for r, n in zip(rows, sizes, strict=True)])
+            prints = np.concatenate([np.frombuffer(r[3], "<u4") for r in rows]).astype(np.uint64)
+            counts = estimates(windows.mixed(prints), np.concatenate([common.unplanes(r[4]) for r in rows]), cells)
             on = np.flatnonzero(counts >= 2)
             on = on[np.lexsort((place[on], group[on]))]
             group, place, power = group[on], place[on], np.ceil(np.log2(np.maximum(counts[on], 2))).astype(np.uint8)
@@ -86,7 +101,7 @@ def told(groups: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expe
             ends = np.append(heads[1:], len(on))
             for k in range(0, len(heads), 1000):
                 some = list(zip(heads[k : k + 1000].tolist(), ends[k : k + 1000].tolist(), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(group[heads[k : k + 1000]]), pa.array([common.planes(place[a:b]) for a, b in some], pa.binary()), pa.array([power[a:b].tobytes() for a, b in some], pa.binary())], names=["group", "places", "powers"])
+                yield pa.RecordBatch.from_arrays([pa.array(group[heads[k : k + 1000]]), pa.array([steps(place[a:b]) for a, b in some], pa.binary()), pa.array([power[a:b].tobytes() for a, b in some], pa.binary())], names=["group", "places", "powers"])
 
     sql = "bucket int, " + ", ".join(f"{c} binary" for c in _SENT)
     found = groups.mapInArrow(partial, sql).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answered, "group long, places binary, powers binary")
@@ -98,7 +113,7 @@ def repeated(hashes: np.ndarray, answers: list[dict] | None) -> tuple[np.ndarray
     own = np.unique(hashes)
     if not answers:
         return own[:0], np.zeros(0, np.uint8)
-    place = np.concatenate([common.unplanes(a["places"]) for a in answers])
+    place = np.concatenate([unsteps(a["places"]) for a in answers])
     power = np.concatenate([np.frombuffer(a["powers"], np.uint8) for a in answers])
     order = np.argsort(place)
     return own[place[order]], power[order]
