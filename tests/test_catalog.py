@@ -10,8 +10,10 @@ from tidewell.functions import answers, filters, html, stem
 from tidewell.functions import text as T
 from tidewell.jobs import catalog
 from tidewell.operators import crawl, requests, retrieval
-from tidewell.sources import nested, remote, tsv
-from tidewell.streaming import index
+from tidewell.functions import ids
+from tidewell.operators import search
+from tidewell.sources import nested, remote, sharded, tsv
+from tidewell.streaming import index, log
 from tidewell.streaming.counts import tumbling
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -29,6 +31,7 @@ def oracle(sf):
 def test_query_matches_sql(spark, sf, oracle, name):
     got, want = catalog.QUERIES[name](spark, sf).toPandas(), oracle.sql(catalog.ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
+    assert len(want)
     assert sorted(got.columns) == columns
     rows = lambda d: Counter(map(repr, d[columns].astype(object).where(d[columns].notna(), None).itertuples(index=False, name=None)))
     assert rows(got.astype({c: want[c].dtype for c in columns})) == rows(want)
@@ -107,9 +110,96 @@ def test_reach(spark):
     assert crawl.reached(edges, seeds.limit(0)).count() == 0
 
 
+CODE = r"\*\*([A-Z]{2,5}\s+\d{4}[A-Z]?)[\s:]"
+
+
+def test_filters_by_type(spark):
+    """Every op on every type of field, with values of that type and of others."""
+    kind = "id int, code string, sections array<struct<i:int,x:double,s:string,b:boolean,a:array<string>,n:array<int>,o:string>>"
+    rows = spark.createDataFrame([(1, " MATH 10", [(1, 1.5, "m", True, ["p", "q"], [3], None)]), (2, "Econ 5", [(None, None, None, None, None, None, None)]), (3, None, [(2, 0.0, "", False, [], [], None)])], kind)
+    one = filters.Filter
+
+    def kept(*f):
+        return [r.id for r in retrieval.pruned(rows, [one(*x) for x in f]).orderBy("id").collect()]
+
+    cases = {
+        ("i", "eq", 1): [1], ("i", "eq", "1"): [], ("i", "eq", True): [], ("i", "ne", "1"): [1, 3], ("i", "ne", 1): [3], ("x", "eq", 1.5): [1], ("s", "eq", "m"): [1], ("s", "eq", ""): [3], ("s", "eq", None): [], ("s", "ne", None): [1, 3],
+        ("b", "eq", True): [1], ("b", "eq", 1): [], ("b", "ne", True): [3], ("a", "eq", ["p", "q"]): [], ("a", "ne", ["p", "q"]): [1, 3], ("o", "ne", "x"): [], ("gone", "ne", 1): [],
+        ("i", "lt", 2): [1], ("i", "lt", "2"): [1], ("i", "lte", " 1.0 "): [1], ("x", "gt", ""): [1], ("x", "gte", None): [1, 3], ("i", "gt", "abc"): [], ("i", "gt", "nan"): [], ("s", "lt", "z"): [], ("s", "gte", 0): [], ("b", "gte", 0): [], ("i", "gt", [0]): [], ("x", "gte", True): [1],
+        ("a", "includes_all", ["p"]): [1], ("a", "includes_all", ["p", "z"]): [], ("a", "includes_all", []): [1, 3], ("a", "includes_any", ["z", "q"]): [1], ("a", "includes_any", []): [], ("a", "includes_any", "p"): [], ("i", "includes_any", [1]): [], ("s", "includes_all", []): [], ("n", "includes_any", [3]): [1], ("n", "includes_any", ["3"]): [], ("n", "includes_all", [3, "3"]): [],
+        ("code_prefix", "eq", "econ"): [2], ("code_prefix", "ne", "ECON"): [], ("code_prefix", "includes_any", ["econ", "x"]): [2], ("code_prefix", "includes_all", ["econ", "x"]): [2], ("code_prefix", "includes_any", []): [], ("code_prefix", "includes_any", "ECON"): [], ("code_prefix", "lt", "Z"): [],
+    }
+    got = {repr(f): kept(f) for f in cases}
+    assert got == {repr(f): want for f, want in cases.items()}
+    assert [len(x) for x in filters.stages([one("b", "eq", 1), one("code_prefix", "eq", "A"), one("a", "eq", 2)], ("code_prefix", "a", "b", "c"))] == [1, 2, 3]
+    assert filters.stages([one("a", "eq", 2)], ("code_prefix", "a")) == [] and filters.stages([one("code_prefix", "eq", "A"), one("b", "eq", 1)], ("code_prefix", "a", "b")) == [[one("code_prefix", "eq", "A")]]
+
+
+def test_rewritten_filters_run(spark):
+    rows = spark.createDataFrame([(1, "MATH 1", [(1,)]), (2, "ECON 1", [(1,)])], "id int, code string, sections array<struct<x:int>>")
+    own = filters.by_code([filters.Filter("programs", "eq", "math")], {"MATH"})
+    assert [r.id for r in retrieval.pruned(rows, own).collect()] == [1]
+    assert [r.id for r in retrieval.pruned(rows, filters.with_named([], ["econ"])).collect()] == [2]
+
+
+def test_search_in_blocks(spark):
+    kind = "code string, vector array<float>, sections array<struct<x:int>>"
+    rows = [(f"{'AB'[k % 2]} {k}", [float(k % 5), float(k % 3)], [(k % 4,)] if k % 7 else []) for k in range(60)] + [("A none", None, [(1,)])]
+    records = spark.createDataFrame(rows, kind).repartition(4)
+    asked = [(q, [1.0, -float(q)], f) for q, f in enumerate(["[]", '[{"field": "x", "op": "eq", "value": 1}]', '[{"field": "code_prefix", "op": "eq", "value": "a"}, {"field": "x", "op": "eq", "value": 9}]', "no JSON", None])] + [(9, None, "[]")]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<float>, filters string")
+    want = Counter()
+    for q, v, f in asked[:5]:
+        score = lambda r: round(sum(a * b for a, b in zip(r[1], v, strict=True)), 6)  # noqa: B023, E731
+        order = sorted((r for r in rows if r[1]), key=lambda r: (-score(r), r[0]))
+        want.update((q, "any", n, r[0], score(r), len(r[2])) for n, r in enumerate(order[:6], 1))
+        if q == 1:
+            best = [(r, 1) for r in order if (1,) in r[2]]
+        elif q == 2:
+            best = [(r, len(r[2])) for r in order if r[0][0] == "A" and r[2]]
+        else:
+            best = [(r, len(r[2])) for r in order]
+        want.update((q, "partial" if q == 2 else "best", n, r[0], score(r), s) for n, (r, s) in enumerate(best[:6], 1))
+    for block in (2, 100):
+        found = search.search(records, queries, ("code_prefix", "x"), k=6, block=block)
+        assert Counter((r.query_id, r.list, r.place, r.code, r.score, len(r.sections)) for r in found.collect()) == want
+    notes = {r.query_id: r.unmatched for r in search.contexts(found, queries, F.struct("code"), ("code_prefix", "x")).collect()}
+    assert notes == {0: "", 1: "", 2: "x eq 9", 3: "", 4: ""}
+    assert search.search(records, queries.limit(0), ("code_prefix",)).count() == 0 and search.search(records.limit(0), queries, ("code_prefix",)).count() == 0
+
+
+def test_stored_index(spark, sf, tmp_path):
+    docs = spark.createDataFrame([(1, "Née caresses Straße"), (2, "caress the nee"), (3, None)], "doc_id long, text string")
+    index_ = retrieval.postings(docs, ["the"], 2, stemmed=True)
+    retrieval.stored(index_, str(tmp_path / "i"), 4)
+    got = retrieval.looked_up(spark.read.parquet(str(tmp_path / "i")), ["caress", "nee caress", "nowhere"], 4)
+    assert Counter(map(tuple, got.collect())) == Counter([("caress", 1, 1), ("caress", 2, 1), ("nee caress", 1, 1)])
+    assert {r.term for r in index_.collect()} >= {"strass", "caress nee"}
+
+
+def test_sharded_sink(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"v{k}") for k in range(20)] + [(None, "x")], "k long, v string")
+    for _ in range(2):  # the second run replaces the first
+        sharded.write(rows, "k", ids.modulo(ids.key_id(F.col("k")), 3), str(tmp_path / "s"))
+    read = lambda name: spark.read.json(str(tmp_path / "s" / name)).collect()
+    records, counts = read("records"), {r.owner: r["count"] for r in read("counts")}
+    assert [r.k for r in read("keys")] == list(range(20)) and Counter(r.owner for r in records) == counts and sum(counts.values()) == 20
+
+
+def test_log_is_appended_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, True, "a"), (2, False, ""), (3, None, None)], "t long, f boolean, e string")
+    lines = rows.select(log.line(t=F.col("t"), f=F.col("f"), e=F.col("e")).alias("line"))
+    assert [r.line for r in lines.collect()] == ['{"t":1,"f":true,"e":"a"}', '{"t":2}', '{"t":3}']
+    for k in (1, 2):
+        lines.coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+        stream = spark.readStream.schema("value string").text(str(tmp_path / "in")).withColumnRenamed("value", "line")
+        log.append(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+        assert spark.read.text(str(tmp_path / "out")).count() == 3 * k
+
+
 def test_answers(spark):
     rows = [('x\nCITED: ["A 1", "B 2"]',), ("**ECON 1234: a** **ECON 1234 b** **MATH 0100A: c** CITED: [oops]",), ("none",), (None,)]
-    got = spark.createDataFrame(rows, "t string").select(answers.cited(F.col("t")).alias("c"), answers.cleaned(F.col("t")).alias("x"), answers.sanitised(F.concat(F.lit("q cited : [1] "), "t")).alias("s")).collect()
+    got = spark.createDataFrame(rows, "t string").select(answers.cited(F.col("t"), "CITED", CODE).alias("c"), answers.cleaned(F.col("t"), "CITED").alias("x"), answers.sanitised(F.concat(F.lit("q cited : [1] "), "t"), "CITED").alias("s")).collect()
     assert [r.c for r in got] == [["A 1", "B 2"], ["ECON 1234", "MATH 0100A"], [], None]
     assert [r.x for r in got][:3] == ["x", "**ECON 1234: a** **ECON 1234 b** **MATH 0100A: c**", "none"] and got[2].s == "q  none"
 

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OPS = ("eq", "ne", "lt", "lte", "gt", "gte", "includes_all", "includes_any")
 
@@ -27,18 +28,84 @@ def valid(filters: Any, fields: set[str]) -> list[Filter]:
     return [Filter(f["field"], f["op"], f["value"]) for f in filters if isinstance(f, dict) and f.get("field") in fields and f.get("op") in OPS and "value" in f]
 
 
-def predicate(f: Filter) -> Callable[[Column], Column]:
-    """A null field fails every op, `ne` included."""
-    compare = {
-        "eq": lambda c: c == F.lit(f.value), "ne": lambda c: c != F.lit(f.value), "lt": lambda c: c < F.lit(f.value), "lte": lambda c: c <= F.lit(f.value), "gt": lambda c: c > F.lit(f.value), "gte": lambda c: c >= F.lit(f.value),
-        "includes_all": lambda c: F.forall(F.array(*map(F.lit, f.value)), lambda v: F.array_contains(c, v)) if f.value else c.isNotNull(),
-        "includes_any": lambda c: F.arrays_overlap(c, F.array(*map(F.lit, f.value))) if f.value else F.lit(False),
-    }[f.op]
-    return lambda element: F.coalesce(compare(element[f.field]), F.lit(False))
-
-
-def all_of(filters: list[Filter]) -> Callable[[Column], Column]:
-    return lambda element: reduce(lambda a, b: a & b, (predicate(f)(element) for f in filters), F.lit(True))
+def number(value: Any) -> float | None:
+    """A value as a comparison with a number takes it: numbers as they are, text if it reads as one (blank: 0), true and false as 1 and 0, nothing as 0."""
+    if value is None or isinstance(value, bool | int | float):
+        return float(value or 0)
+    if not isinstance(value, str):
+        return None
+    try:
+        return float(value.strip() or 0) if "_" not in value and not value.strip().lstrip("+-").lower().startswith(("nan", "inf")) else None
+    except ValueError:
+        return None
+
+
+def _same_type(value: Any, kind: T.DataType) -> bool:
+    if isinstance(kind, T.BooleanType):
+        return isinstance(value, bool)
+    if isinstance(kind, T.NumericType):
+        return isinstance(value, int | float) and not isinstance(value, bool)
+    return isinstance(kind, T.StringType) and isinstance(value, str)
+
+
+def compare(c: Column, kind: T.DataType, op: str, value: Any) -> Column:
+    """One condition on a field of a known type, true or false.
+
+    A null field fails every op, `ne` included. Values of another type than the field's are unequal to it; arrays are
+    unequal to everything. Only numeric fields have an order; a value that is no number fails. The `includes` ops need an
+    array field and a list; of an empty list `includes_all` has all, `includes_any` none.
+    """
+    if op in ("eq", "ne"):
+        same = c == F.lit(value) if _same_type(value, kind) else F.lit(False)
+        found = same if op == "eq" else ~same
+    elif op in ("lt", "lte", "gt", "gte"):
+        bound = number(value) if isinstance(kind, T.NumericType) else None
+        found = F.lit(False) if bound is None else {"lt": c < bound, "lte": c <= bound, "gt": c > bound, "gte": c >= bound}[op]
+    elif isinstance(kind, T.ArrayType) and isinstance(value, list):
+        has = [F.array_contains(c, v) if _same_type(v, kind.elementType) else F.lit(False) for v in value]
+        found = reduce(lambda a, b: a & b, has, F.lit(True)) if op == "includes_all" else reduce(lambda a, b: a | b, has, F.lit(False))
+    else:
+        found = F.lit(False)
+    return F.coalesce(c.isNotNull() & found, F.lit(False))
+
+
+def of_prefix(prefix: Column, op: str, value: Any) -> Column:
+    """A condition on a record's code prefix, in any case: equal or not, or one of a list (for both `includes` ops); a record without one fails."""
+    said = lambda v: str(v or "").upper()
+    if op in ("eq", "ne"):
+        found = prefix == F.lit(said(value)) if op == "eq" else prefix != F.lit(said(value))
+    else:
+        found = prefix.isin([said(v) for v in value]) if op.startswith("includes") and isinstance(value, list) and value else F.lit(False)
+    return F.coalesce((prefix != "") & found, F.lit(False))
+
+
+def predicate(f: Filter, kinds: T.StructType, code: Column | None = None) -> Callable[[Column], Column]:
+    """The condition on one section, by the types of its fields; `code_prefix` is asked of the record's code. A field that sections lack is null."""
+    if f.field == "code_prefix":
+        found = of_prefix(prefix_of(code), f.op, f.value) if code is not None else F.lit(False)
+        return lambda element: found
+    if f.field not in kinds.names:
+        return lambda element: F.lit(False)
+    return lambda element: compare(element[f.field], kinds[f.field].dataType, f.op, f.value)
+
+
+def prefix_of(code: Column) -> Column:
+    return F.upper(F.split(F.coalesce(code, F.lit("")), r"\s+")[0])
+
+
+def all_of(filters: list[Filter], kinds: T.StructType, code: Column | None = None) -> Callable[[Column], Column]:
+    return lambda element: reduce(lambda a, b: a & b, (predicate(f, kinds, code)(element) for f in filters), F.lit(True))
+
+
+def stages(filters: list[Filter], fields: tuple[str, ...]) -> list[list[Filter]]:
+    """Filters on the leading field alone, then with that on each next one, as far as there are some; none without the leading one."""
+    out: list[list[Filter]] = []
+    for field in fields:
+        f = first(filters, field)
+        if f is None:
+            break
+        out.append([*(out[-1] if out else []), f])
+    return out
 
 
 def first(filters: list[Filter], field: str) -> Filter | None:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 # The suffix rules of the paper's steps 2, 3 and 4.
 STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
@@ -76,3 +78,10 @@ def stemmed(terms: DataFrame) -> DataFrame:
             yield rows.assign(stem=[stem(t) for t in rows["term"]])
 
     return terms.select("term", "freq").mapInPandas(work, "term string, freq long, stem string")
+
+
+@pandas_udf(ArrayType(StringType()))
+def stems(words: pd.Series) -> pd.Series:
+    """The stems of the words of each row, in order; within a batch each distinct word is stemmed once."""
+    known: dict[str, str] = {}
+    return words.map(lambda row: None if row is None else [known.get(w) or known.setdefault(w, stem(w)) for w in row])

@@ -1,12 +1,32 @@
 """Scalar text functions as column expressions."""
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Letters with marks of the Latin blocks, and the letters a to z that they are written with."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250)]
+    pairs = [(c, base) for c, base in pairs if base != c and "a" <= base <= "z" and c == c.lower()]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
+
+
+MARKED, UNMARKED = _plain_letters()
+
+
+def transliterated(text: Column) -> Column:
+    """Lower case, letters with marks as plain ones, and `ß`, `æ`, `œ` as two letters."""
+    text = F.translate(F.lower(text), MARKED, UNMARKED)
+    for letter, two in (("ß", "ss"), ("æ", "ae"), ("œ", "oe")):
+        text = F.replace(text, F.lit(letter), F.lit(two))
+    return text
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters a to z, in order."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: t != "")
+    """Lower-cased, transliterated runs of letters a to z, in order."""
+    return F.filter(F.split(transliterated(text), "[^a-z]+"), lambda t: t != "")
 
 
 def without(words: Column, stop: list[str]) -> Column:
@@ -66,3 +86,8 @@ def links(html: Column) -> Column:
 def plain(html: Column) -> Column:
     """Text without scripts, styles and tags, white space collapsed."""
     return spaces(F.regexp_replace(F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</\\1>", " "), "(?s)<[^>]*>", " "))
+
+
+def safe_name(key: Column) -> Column:
+    """Letters and digits of a key; of a key without any, its SHA-256."""
+    return F.coalesce(F.nullif(F.regexp_replace(key, "[^a-zA-Z0-9]", ""), F.lit("")), F.sha2(key.cast("binary"), 256))

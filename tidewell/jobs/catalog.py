@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import answers, html, ids, stem
 from ..functions import text as T
 from ..functions.filters import Filter, in_term, without
-from ..operators import crawl, requests, retrieval
+from ..operators import crawl, requests, retrieval, search
 from ..sources import tsv
 from ..sources.tables import catalogue, table
+from ..streaming import log
 from ..streaming.counts import tumbling
 
 QUERIES: dict = {}
@@ -20,9 +21,10 @@ ORACLE_SQL: dict[str, str] = {}
 NODES = [hashlib.sha256(f'{{"ip":"10.0.0.{i}","port":{8000 + i}}}'.encode()).hexdigest() for i in range(1, 6)]
 STOP = ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "with", "as", "was", "by", "are", "this", "de", "la", "le", "der", "die", "und"]
 ALIASES = [("CSCI", "computer science"), ("MATH", "mathematics"), ("ECON", "economics"), ("THE", "the"), ("DER", "der"), ("QUE", "que")]
-DOT = "round(list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), 6)"
+RAW = "round(list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), 12)"
 CODE = "o_orderpriority || ' ' || CAST(o_orderkey AS VARCHAR)"
-TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda t: t <> '')"
+PLAIN = "replace(replace(replace(strip_accents(lower(coalesce(text, ''))), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')"
+TOKENS = f"list_filter(regexp_split_to_array({PLAIN}, '[^a-z]+'), lambda t: t <> '')"
 
 
 def query(sql: str | None = None):
@@ -35,25 +37,30 @@ def query(sql: str | None = None):
     return add
 
 
+def _top_sql(k: int, where: str = "true") -> str:
+    rows = f"SELECT e.vec_id, e.label, {RAW} AS raw FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where}"
+    return f"SELECT vec_id, label, round(raw, 6) AS score FROM ({rows}) ORDER BY raw DESC, vec_id LIMIT {k}"
+
+
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
 
 
-@query(f"SELECT e.vec_id, e.label, {DOT} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 20")
+@query(_top_sql(20))
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact inner-product top 20 for the vector of record 0."""
     return retrieval.top_k(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 20)
 
 
-@query(f"SELECT e.vec_id, e.label, {DOT} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label IN (1, 3, 5) ORDER BY score DESC, vec_id LIMIT 40")
+@query(_top_sql(40, "e.label IN (1, 3, 5)"))
 def vector_top_k_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2, F2, K6: filtered before scoring."""
     return retrieval.top_k(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 40, F.col("label").isin(1, 3, 5))
 
 
 def _neighbours_sql(k: int, where: str = "true") -> str:
-    ranked = f"SELECT q.vec_id AS query_id, e.vec_id, e.label, {DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {where}"
-    return f"SELECT query_id, vec_id, label, score FROM ({ranked}) WHERE r <= {k}"
+    ranked = f"SELECT q.vec_id AS query_id, e.vec_id, e.label, {RAW} AS raw, row_number() OVER (PARTITION BY q.vec_id ORDER BY raw DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {where}"
+    return f"SELECT query_id, vec_id, label, round(raw, 6) AS score FROM ({ranked}) WHERE r <= {k}"
 
 
 @query(_neighbours_sql(20))
@@ -114,9 +121,9 @@ g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(
 i AS (SELECT term, doc_id, count(*) AS freq FROM g GROUP BY ALL)"""
 
 
-@query(f"WITH {_GRAMS}, r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY freq DESC, doc_id) AS r FROM i) SELECT term, count(*) AS df, CAST(sum(freq) AS BIGINT) AS freq, string_agg(doc_id || ':' || freq, ' ' ORDER BY r) FILTER (WHERE r <= 5) AS postings FROM r GROUP BY term")
+@query(f"WITH {_GRAMS} SELECT term, CAST(floor(doc_id / 1000) AS BIGINT) AS block, count(*) AS df, CAST(sum(freq) AS BIGINT) AS freq, string_agg(doc_id || ':' || freq, ' ' ORDER BY i.freq DESC, doc_id) AS postings FROM i GROUP BY term, floor(doc_id / 1000)")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N-gram postings of all texts."""
+    """All n-gram postings of all texts, a row for each term and thousand ids."""
     return retrieval.merged(retrieval.postings(table(spark, sf_dir, "documents"), STOP))
 
 
@@ -141,7 +148,7 @@ _LIST = "[" + ", ".join(f"'{n}'" for n in sorted(NODES)) + "]"
 
 @query(f"WITH k AS (SELECT o_orderkey, {_KID} AS kid FROM orders) SELECT o_orderkey, substr(kid, 1, 5) AS sid, CAST({_MOD} AS BIGINT) AS by_modulo, coalesce(list_min(list_filter({_LIST}, lambda n: n > kid)), list_min({_LIST})) AS by_ring, list_extract(list_sort(list_transform({_LIST}, lambda n: sha256('\"' || kid || n || '\"') || n), 'DESC'), 1)[65:] AS by_rendezvous FROM k")
 def key_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owners of keys among five nodes."""
+    """Owners of keys among five nodes."""
     kid = F.col("kid")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", ids.key_id(F.col("o_orderkey")).alias("kid"))
     return rows.select("o_orderkey", F.substring(kid, 1, 5).alias("sid"), ids.modulo(kid, 5).alias("by_modulo"), ids.ring(kid, NODES).alias("by_ring"), ids.rendezvous(kid, NODES).alias("by_rendezvous"))
@@ -154,10 +161,10 @@ def enriched_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(side, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", F.coalesce("status", F.lit("")).alias("status"), F.coalesce("matched", F.lit(0)).alias("matched"))
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+@query("SELECT conv_id, turn, role FROM conversations ANTI JOIN labels ON doc_id = conv_id")
 def still_to_do(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose key isn't done."""
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+    """Conversations whose id isn't among the labelled documents."""
+    return table(spark, sf_dir, "conversations").join(table(spark, sf_dir, "labels"), F.col("conv_id") == F.col("doc_id"), "left_anti").select("conv_id", "turn", "role")
 
 
 @query("WITH n AS (SELECT s_suppkey AS key, s_name AS name, s_acctbal AS value FROM supplier) SELECT c_custkey AS key, c_name AS name, c_acctbal AS value FROM customer ANTI JOIN n ON key = c_custkey UNION ALL SELECT * FROM n")
@@ -170,13 +177,13 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand, p_type, count(*) AS n, round(avg(p_retailprice), 2) AS price, CAST(min(p_size) AS INTEGER) AS least FROM part GROUP BY ALL")
 def map_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values by key, combined before the shuffle."""
+    """A10: values by key, combined before the shuffle."""
     return table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 2).alias("price"), F.min("p_size").alias("least"))
 
 
 @query("SELECT DISTINCT n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def distinct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct codes, hydrated."""
+    """Distinct codes, hydrated."""
     keys = table(spark, sf_dir, "customer").select("c_nationkey").distinct()
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return keys.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
@@ -223,19 +230,19 @@ def cache_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T7 and event-time windows; the same plan runs on a stream."""
+    """Event-time windows; the same plan runs on a stream."""
     return tumbling(table(spark, sf_dir, "events"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS said FROM events WHERE length(event_type) BETWEEN 1 AND 500")
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON fields and ISO times of log records."""
+    """JSON fields and ISO times of log records."""
     return table(spark, sf_dir, "events").filter(F.length("event_type").between(1, 500)).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("said"))
 
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn, role) AS roles, max(length(text)) AS longest FROM conversations GROUP BY conv_id")
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ordered context per conversation."""
+    """The ordered roles of each conversation."""
     roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">")
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), roles.alias("roles"), F.max(F.length("text")).cast("long").alias("longest"))
 
@@ -278,7 +285,7 @@ array_to_string(string_split({_PLAIN("regexp_extract(html, '(?is)<div class=.ad.
 CASE WHEN length(html) <= 400 THEN html ELSE cut || CASE WHEN len(regexp_extract_all(cut, '(?i)<a[\\s>]')) > len(regexp_extract_all(cut, '(?i)</a>')) THEN '</a>' ELSE '' END || '...' END AS teaser,
 CASE WHEN link LIKE '/%' THEN regexp_extract(url, '^https?://[^/]+') || link ELSE link END AS first_link, length(regexp_replace(html, '(?i)</?a(\\s[^>]*)?>', '', 'g')) AS n_unlinked FROM f""")
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields, a teaser and a resolved link of each page."""
+    """Fields, a teaser and a resolved link of each page."""
     h, link = F.col("html"), F.try_element_at(T.links(F.col("html")), F.lit(1))
     ad = html.first_words(html.element(h, "div", "ad"), 2)
     rows = table(spark, sf_dir, "pages")
@@ -294,7 +301,7 @@ def cited_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat_ws(" ", F.upper(F.substring("role", 1, 4)), F.lpad((F.col("conv_id") % 10000).cast("string"), 4, "0"))
     listed = F.concat(F.lit('\nCITED: ["'), code, F.when(F.col("turn") % 3 != 0, F.lit('", "X 1"]')).otherwise(F.lit('", ]')))
     answer = F.concat("text", F.lit(" **"), code, F.lit(": title**"), F.when(F.col("role") == "assistant", listed).otherwise(F.lit("")))
-    rows = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", "role", F.array_join(answers.cited(answer), ",").alias("codes"))
+    rows = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", "role", F.array_join(answers.cited(answer, "CITED", r"\*\*([A-Z]{2,5}\s+\d{4}[A-Z]?)[\s:]"), ",").alias("codes"))
     return rows.groupBy("conv_id", "turn", "role", "codes").agg(F.count("*").alias("n"))
 
 
@@ -345,15 +352,14 @@ def unpivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPACED = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
-@query(f"""WITH r AS (SELECT *, {_SPACED("CASE WHEN turn % 3 = 0 THEN '' ELSE substr(text, 1, 60) END")} AS reworded, CASE WHEN turn % 2 = 0 THEN CAST([] AS VARCHAR[]) ELSE [role, 'the'] END AS tokens FROM conversations WHERE text IS NOT NULL),
+@query(f"""WITH r AS (SELECT *, {_SPACED("coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '')")} AS reworded, [role, 'the'] AS tokens FROM conversations WHERE text IS NOT NULL),
 s AS (SELECT *, {_SPACED("array_to_string(list_filter(tokens, lambda t: NOT contains(' ' || lower(reworded) || ' ', ' ' || t || ' ')), ' ') || ' ' || reworded")} AS said FROM r)
 SELECT conv_id, turn, role, CASE WHEN said = '' THEN {_SPACED("text")} ELSE said END AS said, lower({_SPACED("text")}) AS cache_key FROM s""")
 def covered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H7, H8: turns reworded as their first 60 characters (every third as nothing), with words that must not get lost."""
-    reworded = F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(F.substring("text", 1, 60))
-    kept = F.when(F.col("turn") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("role"), F.lit("the")))
+    """H7, H8: each turn reworded as the turn before (the first as nothing), with words that must not get lost."""
     rows = table(spark, sf_dir, "conversations").filter("text is not null")
-    return rows.select("conv_id", "turn", "role", T.covered(F.col("text"), reworded, kept).alias("said"), T.cache_key(F.col("text")).alias("cache_key"))
+    before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")), F.lit(""))
+    return rows.withColumn("reworded", before).select("conv_id", "turn", "role", T.covered(F.col("text"), F.col("reworded"), F.array(F.col("role"), F.lit("the"))).alias("said"), T.cache_key(F.col("text")).alias("cache_key"))
 
 
 @query("SELECT o_orderkey, count(*) AS kept FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 20 AND month(l_shipdate) // 4 = 2 AND year(l_shipdate) = 1996 GROUP BY o_orderkey")
@@ -372,3 +378,128 @@ def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The composite key and the text of each record that has both parts of its key."""
     text = F.concat(F.coalesce("o_orderstatus", F.lit("")), F.lit(". "), F.coalesce("o_orderpriority", F.lit("")))
     return table(spark, sf_dir, "orders").dropna(subset=["o_orderkey", "o_custkey"]).select(F.concat_ws(":", "o_orderkey", "o_custkey").alias("key"), F.trim(text).alias("text"))
+
+
+#: Filters of the queries, by the number of a query: none; on sections; on the code alone; on both; on both, of which one can't be met.
+ASKED = ("[]", '[{"field": "l_quantity", "op": "gt", "value": "30"}, {"field": "l_discount", "op": "lt", "value": 0.02}]', '[{"field": "code_prefix", "op": "includes_any", "value": ["1-urgent", "2-HIGH", "X"]}]', '[{"field": "l_quantity", "op": "gte", "value": 45}, {"field": "code_prefix", "op": "eq", "value": "3-medium"}, {"field": "l_returnflag", "op": "eq", "value": "R"}]', '[{"field": "code_prefix", "op": "eq", "value": "5-LOW"}, {"field": "l_returnflag", "op": "eq", "value": 7}]')
+PRIORITY = ("code_prefix", "l_returnflag", "l_quantity")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for every vector whose id is divisible by 20, with filters by turns."""
+    which = (F.col("vec_id") / 20).cast("long") % len(ASKED)
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.element_at(F.array(*map(F.lit, ASKED)), (which + 1).cast("int")).alias("filters"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("o_orderkey"), F.col("embedding").alias("vector"))
+    return catalogue(spark, sf_dir).join(vectors, "o_orderkey").select("o_orderkey", "code", "vector", "sections")
+
+
+_SEARCH = f"""rec AS (SELECT o_orderkey, {CODE} AS code, upper(split_part({CODE}, ' ', 1)) AS pre, embedding FROM orders JOIN embeddings ON vec_id = o_orderkey),
+c AS (SELECT o_orderkey, count(l_orderkey) AS n, count(*) FILTER (l_quantity > 30 AND l_discount < 0.02) AS n1, count(*) FILTER (l_quantity >= 45 AND l_returnflag = 'R') AS n3 FROM rec LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey),
+p AS (SELECT q.vec_id AS query_id, (q.vec_id // 20) % 5 AS t, e.o_orderkey, e.code, e.pre, {RAW} AS raw, n, n1, n3 FROM embeddings q, rec e JOIN c ON c.o_orderkey = e.o_orderkey WHERE q.vec_id % 20 = 0),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, o_orderkey) AS r FROM p),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, o_orderkey) AS r FROM p WHERE (t = 1 AND n1 > 0) OR (t = 2 AND n > 0 AND pre IN ('1-URGENT', '2-HIGH')) OR (t = 3 AND n > 0 AND pre = '3-MEDIUM') OR (t = 4 AND n > 0 AND pre = '5-LOW')),
+l AS (SELECT query_id, 'any' AS list, r, o_orderkey, code, raw, n AS n_sections FROM a WHERE r <= 40 UNION ALL SELECT query_id, 'best', r, o_orderkey, code, raw, n FROM a WHERE r <= 40 AND t = 0
+UNION ALL SELECT query_id, 'best', r, o_orderkey, code, raw, CASE t WHEN 1 THEN n1 WHEN 2 THEN n ELSE n3 END FROM f WHERE r <= 40 AND (t IN (1, 2) OR (t = 3 AND n3 > 0))),
+w AS (SELECT * FROM l UNION ALL SELECT query_id, 'partial', r, o_orderkey, code, raw, n FROM f WHERE r <= 40 AND t IN (3, 4) AND query_id NOT IN (SELECT query_id FROM l WHERE list = 'best')),
+x AS (SELECT query_id, list, row_number() OVER (PARTITION BY query_id, list ORDER BY r) AS place, o_orderkey, code, round(raw, 6) AS score, n_sections FROM w)"""
+
+
+@query(f"WITH {_SEARCH} SELECT query_id, list, place, o_orderkey, score, n_sections FROM x")
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of queries with filters against all records: best, partial and any matches."""
+    rows = search.search(_records(spark, sf_dir), _asked(spark, sf_dir), PRIORITY, "o_orderkey")
+    return rows.select("query_id", "list", "place", "o_orderkey", "score", F.size("sections").cast("long").alias("n_sections"))
+
+
+@query(f"""WITH {_SEARCH} SELECT q.vec_id AS query_id, CASE WHEN count(o_orderkey) FILTER (list = 'best') > 0 OR count(o_orderkey) FILTER (list = 'partial') = 0 THEN '' WHEN (q.vec_id // 20) % 5 = 3 THEN 'l_quantity gte 45; l_returnflag eq R' ELSE 'l_returnflag eq 7' END AS unmatched,
+coalesce(string_agg(code, ',' ORDER BY place) FILTER (list = 'best'), '') AS best, coalesce(string_agg(code, ',' ORDER BY place) FILTER (list = 'partial'), '') AS partial, coalesce(string_agg(code, ',' ORDER BY place) FILTER (list = 'any' AND place <= 10), '') AS other
+FROM embeddings q JOIN x ON x.query_id = q.vec_id GROUP BY q.vec_id""")
+def search_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's lists as one JSON object, and the filters that a query without full matches could not have."""
+    records, asked = _records(spark, sf_dir), _asked(spark, sf_dir)
+    results = search.search(records, asked, PRIORITY, "o_orderkey").join(records.select("o_orderkey", "code"), "o_orderkey")
+    found = search.contexts(results, asked, F.struct("code", F.size("sections").alias("sections")), PRIORITY, "o_orderkey")
+    codes = lambda name: F.array_join(F.transform(F.from_json("context", f"{name} array<struct<code:string>>")[name], lambda r: r["code"]), ",")
+    return found.select("query_id", "unmatched", codes("best").alias("best"), codes("partial").alias("partial"), codes("any").alias("other"))
+
+
+_TERM = "CASE month(l_shipdate) // 4 WHEN 0 THEN 'Spring' WHEN 1 THEN 'Summer' WHEN 2 THEN 'Fall' ELSE 'Winter' END || ' ' || year(l_shipdate)"
+_FIRST = lambda x, n: f"(SELECT l_orderkey, string_agg(v, ',' ORDER BY f) AS v FROM (SELECT l_orderkey, {x} AS v, min(o) AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(o)) AS r FROM s GROUP BY l_orderkey, v) WHERE r <= {n} GROUP BY l_orderkey)"
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus, l_shipdate) AS o FROM lineitem)
+SELECT o_orderkey, {CODE} AS code, coalesce(a.v, '') AS terms, coalesce(b.v, '') AS meets, (SELECT max_by(nullif(l_discount, 0), (l_shipdate, -o)) FILTER (nullif(l_discount, 0) IS NOT NULL) FROM s WHERE s.l_orderkey = o_orderkey) AS discount,
+(SELECT max_by(l_quantity, (l_shipdate, -o)) FROM s WHERE s.l_orderkey = o_orderkey) AS quantity FROM orders LEFT JOIN {_FIRST(_TERM, 5)} a ON a.l_orderkey = o_orderkey LEFT JOIN {_FIRST("l_returnflag", 2)} b ON b.l_orderkey = o_orderkey""")
+def record_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record's first distinct terms and patterns, and of each field the latest value there is."""
+    part = lambda s: F.floor(F.month(s["l_shipdate"]) / 4)
+    season = lambda s: F.when(part(s) == 0, "Spring").when(part(s) == 1, "Summer").when(part(s) == 2, "Fall").otherwise("Winter")
+    firsts = lambda f, n: F.array_join(F.slice(F.array_distinct(F.transform("sections", f)), 1, n), ",")
+    # Latest first; of sections of one date the earlier one. A value of 0 counts as missing.
+    newest = F.array_sort(F.transform("sections", lambda s, i: F.struct((-F.unix_micros(s["l_shipdate"].cast("timestamp"))).alias("t"), i.alias("i"), F.nullif(s["l_discount"], F.lit(0.0)).alias("d"), s["l_quantity"].alias("q"))))
+    latest = lambda f: F.try_element_at(F.filter(F.transform(newest, lambda s: s[f]), lambda v: v.isNotNull()), F.lit(1))
+    return catalogue(spark, sf_dir).select("o_orderkey", "code", firsts(lambda s: F.concat_ws(" ", season(s), F.year(s["l_shipdate"])), 5).alias("terms"), firsts(lambda s: s["l_returnflag"], 2).alias("meets"), latest("d").alias("discount"), latest("q").alias("quantity"))
+
+
+@query("SELECT o_custkey AS code, arg_min(o_orderpriority, vec_id) AS title, arg_min(vec_id, vec_id) AS vector_of, count(*) AS n_sections, string_agg(DISTINCT coalesce(nullif(o_orderstatus, 'P'), 'TBA'), ',' ORDER BY coalesce(nullif(o_orderstatus, 'P'), 'TBA')) AS meets FROM embeddings JOIN orders ON vec_id = o_orderkey GROUP BY o_custkey")
+def first_seen_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records collapsed by code, with title and vector of the first row seen, and a default for missing patterns."""
+    rows = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "orders"), F.col("vec_id") == F.col("o_orderkey"))
+    meets = F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit("TBA"))
+    return rows.groupBy(F.col("o_custkey").alias("code")).agg(F.min_by("o_orderpriority", "vec_id").alias("title"), F.min("vec_id").alias("vector_of"), F.count("*").alias("n_sections"), F.array_join(F.array_sort(F.collect_set(meets)), ",").alias("meets"))
+
+
+@query("SELECT count(*) AS total, count(o_orderkey) AS seen, count(*) - count(o_orderkey) AS skipped, (SELECT count(*) FROM orders ANTI JOIN embeddings ON vec_id = o_orderkey) AS without FROM embeddings LEFT JOIN orders ON vec_id = o_orderkey")
+def join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many vectors find their record and how many are skipped; records without a vector."""
+    both = table(spark, sf_dir, "embeddings").select("vec_id").join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("vec_id") == F.col("o_orderkey"), "full")
+    count = lambda c: F.count_if(c)
+    has, found = F.col("vec_id").isNotNull(), F.col("o_orderkey").isNotNull()
+    return both.agg(count(has).alias("total"), count(has & found).alias("seen"), count(has & ~found).alias("skipped"), count(~has).alias("without"))
+
+
+@query(f"WITH k AS (SELECT o_orderkey, {_KID} AS kid FROM orders SEMI JOIN embeddings ON vec_id = o_orderkey) SELECT CAST({_MOD} AS BIGINT) AS owner, count(*) AS records, min(o_orderkey) AS least, max(o_orderkey) AS greatest FROM k GROUP BY owner")
+def sharded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a vector by the owner of their key, as the sharded sink (sources/sharded.py) writes and counts them."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "embeddings"), F.col("vec_id") == F.col("o_orderkey"), "left_semi")
+    owner = ids.modulo(ids.key_id(F.col("o_orderkey")), 5).alias("owner")
+    return rows.groupBy(owner).agg(F.count("*").alias("records"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("greatest"))
+
+
+@query("SELECT string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS codes, string_agg(DISTINCT CAST(year(o_orderdate) AS VARCHAR), ',' ORDER BY CAST(year(o_orderdate) AS VARCHAR)) AS terms FROM orders WHERE year(o_orderdate) IN (1995, 1996) AND o_orderpriority <> ''")
+def current_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct codes of given terms, sorted, and the terms."""
+    rows = table(spark, sf_dir, "orders").filter(F.year("o_orderdate").isin(1995, 1996) & (F.col("o_orderpriority") != ""))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return rows.agg(listed("o_orderpriority").alias("codes"), listed(F.year("o_orderdate").cast("string")).alias("terms"))
+
+
+@query("WITH a AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), b AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem), n AS (SELECT (SELECT count(*) FROM a) AS lines, greatest((SELECT count(*) FROM (FROM a EXCEPT FROM b)), (SELECT count(*) FROM (FROM b EXCEPT FROM a))) AS other) SELECT lines, other, round(other / lines, 6) AS ratio FROM n")
+def line_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far two sets of lines differ: the greater of both differences, against the first."""
+    return retrieval.set_difference(table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")), table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")))
+
+
+@query("""SELECT event_id, '{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","ip":"' || user_id || '","query":"' || event_type || '"' || CASE WHEN user_id % 2 = 0 THEN ',"fallOnly":true' ELSE '' END || CASE WHEN k % 3 <> 0 THEN ',"time_ms":' || k ELSE '' END || '}' AS line FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log records as JSON lines, keys without a value left out; streaming/log.py appends them."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    line = log.line(ts=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), ip=F.col("user_id").cast("string"), query=F.col("event_type"), fallOnly=F.col("user_id") % 2 == 0, time_ms=F.when(k % 3 != 0, k))
+    return table(spark, sf_dir, "events").select("event_id", line.alias("line"))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_replace(url, '[^a-zA-Z0-9]', '', 'g'), ''), sha256(url)) AS name, sha256(regexp_replace(url, '[a-zA-Z0-9]', '', 'g')) AS other FROM pages")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys as names of files: letters and digits, or a hash where none is left."""
+    rest = F.regexp_replace("url", "[a-zA-Z0-9]", "")
+    return table(spark, sf_dir, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"), T.safe_name(rest).alias("other"))
+
+
+@query(f"WITH f AS ({_top_sql(40, 'e.label IN (1, 3, 5)')}), u AS ({_top_sql(20)}), b AS (SELECT 1 AS list, * FROM f UNION ALL SELECT 2, * FROM u) SELECT vec_id, count(*) AS times, CAST(max(list) AS INTEGER) AS list, arg_max(score, list) AS score FROM b GROUP BY vec_id")
+def shown_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered and unfiltered results as one bag, and by code, where the later list wins."""
+    lists = (vector_top_k_filtered(spark, sf_dir).withColumn("list", F.lit(1)), flagship(spark, sf_dir).withColumn("list", F.lit(2)))
+    return lists[0].unionByName(lists[1]).groupBy("vec_id").agg(F.count("*").alias("times"), F.max("list").alias("list"), F.max_by("score", "list").alias("score"))

@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stem
 from ..functions import text as T
 from ..functions.filters import Filter, all_of
 from ..sources.tables import cut
 
 #: Query vectors of one pass, and rows that they are multiplied with at once.
 QUERIES, ROWS = 1024, 1000
+#: Digits by which scores differ: engines add in different orders.
+DIGITS = 12
 
 
 def inner_product(vector: Column, query: list[float]) -> Column:
@@ -24,10 +27,10 @@ def inner_product(vector: Column, query: list[float]) -> Column:
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
-    """The k best by inner product, ties by id; `where` is applied before scoring. Each partition keeps k rows."""
+    """The k best by inner product (told apart by twelve digits, shown with six), ties by id; `where` is applied before scoring. Each partition keeps k rows."""
     rows = vectors if where is None else vectors.filter(where)
-    scored = rows.select("vec_id", "label", F.round(inner_product(F.col("embedding"), query), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(k)
+    scored = rows.select("vec_id", "label", F.round(inner_product(F.col("embedding"), query), DIGITS).alias("score"))
+    return scored.orderBy(F.desc("score"), "vec_id").limit(k).withColumn("score", F.round("score", 6))
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, block: int = QUERIES) -> DataFrame:
@@ -66,7 +69,7 @@ def _best(rows: DataFrame, one, k: int) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 flat = np.asarray(part.column("embedding").flatten()).astype(np.float64)
-                scores = np.round(flat.reshape(part.num_rows, -1) @ matrix.T, 6)
+                scores = np.round(flat.reshape(part.num_rows, -1) @ matrix.T, DIGITS)
                 row, asked = np.nonzero(scores >= floor)
                 if not len(row):
                     continue
@@ -86,14 +89,20 @@ def _best(rows: DataFrame, one, k: int) -> DataFrame:
 
     found = rows.mapInArrow(work, f"q long, query_id long, vec_id {types['vec_id']}, label {types['label']}, score double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "vec_id", "label", "score")
+    return found.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
+
+
+def kinds_of(records: DataFrame):
+    """The fields of a section."""
+    return records.schema["sections"].dataType.elementType
 
 
 def pruned(records: DataFrame, filters: list[Filter]) -> DataFrame:
-    """Records with only the sections that satisfy all filters at once; records left without go. No filters: unchanged."""
+    """Records with only the sections that satisfy all filters at once; records left without go. No filters: unchanged. A filter on `code_prefix` asks the record's `code`."""
     if not filters:
         return records
-    return records.withColumn("sections", F.filter("sections", all_of(filters))).filter(F.size("sections") > 0)
+    code = F.col("code") if "code" in records.columns else None
+    return records.withColumn("sections", F.filter("sections", all_of(filters, kinds_of(records), code))).filter(F.size("sections") > 0)
 
 
 def staged(records: DataFrame, stages: list[Column], order: list[Column], key: str, k: int) -> DataFrame:
@@ -102,11 +111,15 @@ def staged(records: DataFrame, stages: list[Column], order: list[Column], key: s
     return records.withColumn("stage", stage).filter("stage is not null").orderBy("stage", *order, key).limit(k)
 
 
-def postings(docs: DataFrame, stop: list[str], most: int = 3) -> DataFrame:
-    """term, doc_id, freq of all n-grams of the texts' words, n up to `most`."""
+def postings(docs: DataFrame, stop: list[str], most: int = 3, stemmed: bool = False) -> DataFrame:
+    """term, doc_id, freq of all n-grams of the texts' words, n up to `most`; words may be stemmed first.
+
+    N-grams move once, by term; they are counted where a term's meet, which the index by term needs anyway.
+    """
     words = T.without(T.tokens(F.coalesce("text", F.lit(""))), stop)
+    words = stem.stems(words) if stemmed else words
     grams = F.concat("w", *(T.ngrams(F.col("w"), n) for n in range(2, most + 1)))
-    return docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(grams).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
+    return docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(grams).alias("term")).repartition("term").groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
 
 
 def folded(*indexes: DataFrame) -> DataFrame:
@@ -114,16 +127,27 @@ def folded(*indexes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, indexes).groupBy("term", "doc_id").agg(F.sum("freq").alias("freq"))
 
 
-def merged(index: DataFrame, most: int = 5) -> DataFrame:
-    """Per term: documents, occurrences and its first postings (most frequent first, then by id).
+def merged(index: DataFrame, block: int = 1000) -> DataFrame:
+    """All postings of each term (most frequent first, then by id), in blocks of so many consecutive ids, with the block's documents and occurrences: no row grows with the corpus."""
+    own = F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("f"), "doc_id")))
+    said = F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["doc_id"], -x["f"])), " ")
+    return index.groupBy("term", F.floor(F.col("doc_id") / block).alias("block")).agg(F.count("*").alias("df"), F.sum("freq").alias("freq"), said.alias("postings"))
 
-    Counts are combined before their shuffle, and of a term's postings each task passes on its first `most` only, so a
-    term of all documents weighs no more than others.
-    """
-    counts = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("freq").alias("freq"))
-    ranked = index.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("freq"), "doc_id"))).filter(F.col("r") <= most)
-    first = F.array_sort(F.collect_list(F.struct("r", F.concat_ws(":", "doc_id", "freq").alias("p"))))
-    return counts.join(ranked.groupBy("term").agg(F.array_join(F.transform(first, lambda x: x["p"]), " ").alias("postings")), "term")
+
+def stored(index: DataFrame, path: str, folders: int = 64) -> None:
+    """Writes postings sorted by term into folders by the term's hash, so that a lookup reads one folder, and of it few row groups."""
+    own = index.withColumn("folder", _folder(F.col("term"), folders))
+    own.repartition(folders, "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(path)
+
+
+def looked_up(stored_index: DataFrame, terms: list[str], folders: int = 64) -> DataFrame:
+    """The postings of these terms, from their folders alone."""
+    found = stored_index.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string").select(_folder(F.col("term"), folders)).distinct()
+    return stored_index.filter(F.col("folder").isin([r[0] for r in found.collect()]) & F.col("term").isin(terms)).drop("folder")
+
+
+def _folder(term: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
 
 
 def printed(index: DataFrame, block: int = 1000) -> DataFrame:
@@ -144,3 +168,10 @@ def latest(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> Da
     """Per key and field the value of the latest row in which it isn't null: partial aggregation, no sort."""
     pick = [F.max(F.when(F.col(f).isNotNull(), F.struct(*order, f)))[f].alias(f) for f in fields]
     return rows.groupBy(key).agg(*pick)
+
+
+def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """lines (distinct rows of `a`), other (rows of one side alone, of the side that has more) and their ratio; null for an empty `a`."""
+    both = a.distinct().select(F.struct(*a.columns).alias("x"), F.lit(True).alias("in_a")).join(b.distinct().select(F.struct(*b.columns).alias("y"), F.lit(True).alias("in_b")), F.col("x").eqNullSafe(F.col("y")), "full")
+    counts = both.agg(F.count("in_a").alias("lines"), F.greatest(F.count_if(F.col("in_b").isNull()), F.count_if(F.col("in_a").isNull())).alias("other"))
+    return counts.withColumn("ratio", F.round(F.try_divide("other", "lines"), 6))
