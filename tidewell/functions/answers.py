@@ -14,6 +14,10 @@ def _behind(text: Column, marker: str) -> Column:
     return F.when(at > 0, F.trim(line))
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def cited(text: Column, marker: str, code: str) -> Column:
     """The codes of the list behind the marker; without a list that parses, the distinct codes in bold, in order. `code`: a pattern with one group."""
     behind = _behind(text, marker)
@@ -27,12 +31,12 @@ def cleaned(text: Column, marker: str) -> Column:
     at = F.instr(text, marker + ":")
     behind = _behind(text, marker)
     rest = F.substr(text, at + F.length(F.substring_index(F.substr(text, at), "\n", 1)))
-    before = F.rtrim(F.substr(text, F.lit(1), at - 1))
-    return F.trim(F.when((at > 0) & (F.substring(behind, 1, 1) == "[") & F.contains(behind, F.lit("]")), F.concat(before, rest)).otherwise(text))
+    before = F.regexp_replace(F.substr(text, F.lit(1), at - 1), "\n\\z", "")
+    return _stripped(F.when((at > 0) & (F.substring(behind, 1, 1) == "[") & F.contains(behind, F.lit("]")), F.concat(before, rest)).otherwise(text))
 
 
 def sanitised(query: Column, marker: str) -> Column:
     """Without any list that a marker, in either case, announces: a query can't plant citations."""
     pieces = F.split(query, rf"(?i){marker}[ ]*:[ ]*\[")
     kept = F.transform(pieces, lambda p, i: F.when((i > 0) & F.contains(p, F.lit("]")), F.substr(p, F.instr(p, "]") + 1)).otherwise(p))
-    return F.trim(F.array_join(kept, ""))
+    return _stripped(F.array_join(kept, ""))
