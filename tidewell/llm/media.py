@@ -24,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, sketch
 
 #: The payload's unit of padding, and the chunk sizes: cuts come at least LEAST and at most MOST bytes apart, about 2**BITS on average.
 UNIT, PAD, LEAST, BITS, MOST, WINDOW = 192, 32, 64, 8, 4096, 32
-RATE, HEADER, DIGEST, LEVEL = 8000, 44, 16, 6
+RATE, HEADER, DIGEST, LEVEL = 8000, 44, 16, 9
 #: Bytes of text of a batch, and of a bucket (expected).
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+BATCH_BYTES, BUCKET_BYTES = 32 << 20, 16 << 20
 
 
 def gear_table(seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
@@ -160,7 +160,7 @@ def chunked(rows: DataFrame, buckets: int) -> DataFrame:
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 own = order[bounds[b] : bounds[b + 1]]
                 some = [pieces[k] for k in own.tolist()]
-                yield packed(b, base + n, common.planes(own), digests[own].tobytes(), common.planes(np.array(list(map(len, some)))), squeeze.compress(b"".join(some)), b"")
+                yield packed(b, base + n, sketch.steps(own), digests[own].tobytes(), common.planes(np.array(list(map(len, some)))), squeeze.compress(b"".join(some)), b"")
 
     return rows.mapInArrow(work, _SENT_SQL)
 
@@ -220,7 +220,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if files:
                     listed = pa.ipc.open_stream(files).read_next_batch().to_pylist()[0]
                 else:
-                    pieces.update(zip(common.unplanes(places).tolist(), cut_at(data, lengths), strict=True))
+                    pieces.update(zip(sketch.unsteps(places).tolist(), cut_at(data, lengths), strict=True))
             said, at = [], 0
             for k, (n, count) in enumerate(zip(listed["n_bytes"], listed["n_chunks"], strict=True)):
                 media = listed["headers"][k * HEADER : (k + 1) * HEADER] + b"".join([pieces[c] for c in listed["chunks"][at : at + count]])
