@@ -216,7 +216,12 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.latency(table(spark, sf_dir, "events"))
 
 
-@query()
+_OPENS = "e.ts >= r.start + INTERVAL 24 HOUR"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, ts AS start, 1 AS used, true AS allowed FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN {_OPENS} THEN e.ts ELSE r.start END, CASE WHEN {_OPENS} THEN 1 WHEN r.used < 3 THEN r.used + 1 ELSE r.used END, {_OPENS} OR r.used < 3 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, start AS window_start, allowed FROM r""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential state per user."""
     return requests.rate_limited(table(spark, sf_dir, "events"), 3, 24)
