@@ -1,6 +1,7 @@
 """Toxicity, near duplicates and the pipeline against plain versions."""
 
 import itertools
+import os
 import random
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tidewell.llm import bpe, components, decontam, jaccard, queries, secrets, toxicity
+from tidewell.llm import bpe, common, components, decontam, jaccard, queries, secrets, toxicity
 
 from .conftest import documents
 from .test_text_ops import by_row
@@ -133,6 +134,14 @@ def test_near_duplicate_rows_go_by_id_and_text(spark):
     assert Counter((r.doc_id, r.text) for r in got) == want
 
 
+def test_written_tables_can_be_dropped(spark):
+    one = common.written(spark.range(5))
+    assert one.count() == 5
+    folder = one.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    common.forget(one, spark.range(3))
+    assert not os.path.exists(folder)
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(5, 5), (1, 2), (1, 2)]

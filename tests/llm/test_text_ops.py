@@ -136,6 +136,8 @@ def test_op4(spark, sf, edge, edge_rows, none):
     want = Counter((i, len((t or "").encode()), count(t)) for i, t in edge_rows)
     for head in (0, 5, tokens.HEAD):
         assert by_row(tokens.count_tokens(edge, head=head), "doc_id", "n_bytes", "n_tokens") == want
+    pieces = spark.createDataFrame([("a", 9, 1), ("b" * 100, 8, 3), ("c", 3, 1), ("d", 1, 1)], "piece string, freq long, n_tokens int")
+    assert tokens.frequent(pieces, 3) == {"a": 1, "b" * 100: 3, "c": 1} and tokens.frequent(pieces, 3, 100) == {} and tokens.frequent(pieces, 9, 101) == {"a": 1, "b" * 100: 3}
     assert tokens.count_tokens(none).count() == 0
 
 

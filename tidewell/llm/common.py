@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ SLICE_BYTES = 8 << 20
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Rows of a group of texts at most, as a power of two: a row's number is its group's, then its place there.
 PLACE_BITS = 12
+#: Where written tables lie.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -178,4 +181,15 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a compressed table in the shared folder: cuts the lineage, and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more. Tables that a result still reads stay until the folder is cleared."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

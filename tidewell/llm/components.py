@@ -11,7 +11,7 @@ from . import common
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and root (the least node of its component) of every node that has an edge; edges: columns a, b.
 
-    Loops and repeated edges do no harm. Edges are written to the shared folder after each round; the rounds end when
+    Loops and repeated edges do no harm. Edges are written to the shared folder after each round, and the last round's deleted; the rounds end when
     nothing changes, which takes about the logarithm of the longest path.
     """
     now = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
@@ -24,7 +24,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = common.written(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        last, now = now, common.written(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        common.forget(last)
         before, said = said, _said(now)
         if said == before:
             break

@@ -121,7 +121,7 @@ def unit_links(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, root
 
 
 def document_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, cells: float) -> DataFrame:
-    """doc_id, key (the hash of the text), n_shingles, s1 and s2 (128 bits that stand for the set) and, for documents that may have a partner, `shared`: the hashes that may occur elsewhere, and `powers`: of their counts."""
+    """doc_id, key (the hash of the text), n_shingles, s1 and s2 (128 bits that stand for the set) and, for documents that may have a partner, `shared`: the hashes that may occur elsewhere, and `powers`: of their counts. Written."""
     rows = common.id_text(docs, id_col, text_col).withColumn("key", common.text_key())
     groups = common.grouped(rows, SLICE_BYTES)
     told = sketch.told(groups, lambda part: shingle_sets(part, n)[0], sketch.text_bytes(rows) // 6, cells=cells)
@@ -143,7 +143,9 @@ def document_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             of = lambda x: pa.array([x[a:b][may[a:b]].tobytes() if k else None for a, b, k in zip(bounds[:-1].tolist(), bounds[1:].tolist(), keep.tolist(), strict=True)], pa.binary())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(size), *map(pa.array, sums), of(h), of(power)], names=["doc_id", "key", "n_shingles", "s1", "s2", "shared", "powers"])
 
-    return groups.join(told, "group", "left").mapInArrow(work, "doc_id long, key long, n_shingles long, s1 long, s2 long, shared binary, powers binary")
+    sets = common.written(groups.join(told, "group", "left").mapInArrow(work, "doc_id long, key long, n_shingles long, s1 long, s2 long, shared binary, powers binary"))
+    common.forget(groups)
+    return sets
 
 
 def candidate_clusters(rows: DataFrame, percent: int) -> DataFrame:
@@ -247,7 +249,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_
     has its whole sequence as its one shingle; a null, empty or blank text has none and links with nothing. Repeated rows
     stay and share their component. A null id counts only where its component has no other; then component_id is null.
     """
-    sets = common.written(document_sets(docs, n, percent, id_col, text_col, cells))
+    sets = document_sets(docs, n, percent, id_col, text_col, cells)
     may, roots = _classes(sets, percent, tile)
     named = may.groupBy("class").agg(F.min("doc_id").alias("least")).join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     groups = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -261,7 +263,7 @@ def repeats(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, cells: floa
 
     A document is a pair of id and text, so rows of one id with unlike texts are judged each by its own text. Links are those of near_duplicates.
     """
-    sets = common.written(document_sets(docs, n, percent, "doc_id", "text", cells))
+    sets = document_sets(docs, n, percent, "doc_id", "text", cells)
     may, roots = _classes(sets, percent, tile)
     own = may.select("class", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key").alias("document"))
     named = own.groupBy("class").agg(F.min("document").alias("least")).join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 from .bpe import pattern
 
-#: Pre-tokens in the broadcast at most, and the characters of each.
-HEAD, HEAD_CHARS = 1 << 17, 64
+#: Pre-tokens in the broadcast at most, and their bytes.
+HEAD, HEAD_BYTES = 1 << 17, 8 << 20
 
 
 def vocabulary() -> str:
@@ -84,15 +84,17 @@ def frequencies(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "freq"])
 
 
-def frequent(counts: DataFrame, most: int) -> dict[str, int]:
-    """n_tokens of the frequent pre-tokens: those of at least such a power of two of occurrences that there are at most `most`."""
-    short = counts.filter(F.length("piece") <= HEAD_CHARS)
-    sizes = {r[0]: r[1] for r in short.groupBy(F.floor(F.log2("freq")).cast("int").alias("power")).count().collect()}
-    power, total = max(sizes, default=0) + 1, 0
-    while power > 0 and total + sizes.get(power - 1, 0) <= most:
-        power -= 1
-        total += sizes.get(power, 0)
-    return {r[0]: r[1] for r in short.filter(F.col("freq") >= (1 << power)).select("piece", "n_tokens").collect()}
+def frequent(counts: DataFrame, most: int, most_bytes: int = HEAD_BYTES) -> dict[str, int]:
+    """n_tokens of the frequent pre-tokens, long ones too: those of at least such a power of two of occurrences that there are at most `most`, with `most_bytes` bytes."""
+    own = counts.groupBy(F.floor(F.log2("freq")).cast("int").alias("power")).agg(F.count("*").alias("n"), F.sum(F.octet_length("piece")).alias("bytes"))
+    sizes = {r.power: (r.n, r.bytes) for r in own.collect()}
+    power, total, size = max(sizes, default=0) + 1, 0, 0
+    while power > 0:
+        n, bytes_ = sizes.get(power - 1, (0, 0))
+        if total + n > most or size + bytes_ > most_bytes:
+            break
+        power, total, size = power - 1, total + n, size + bytes_
+    return {r[0]: r[1] for r in counts.filter(F.col("freq") >= (1 << power)).select("piece", "n_tokens").collect()}
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
