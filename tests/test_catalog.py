@@ -11,8 +11,8 @@ from tidewell.functions import text as T
 from tidewell.jobs import catalog
 from tidewell.operators import crawl, requests, retrieval
 from tidewell.functions import ids
-from tidewell.operators import search
-from tidewell.sources import nested, remote, sharded, tsv
+from tidewell.operators import mapreduce, search
+from tidewell.sources import lines, nested, remote, sharded, store, tsv
 from tidewell.streaming import index, log
 from tidewell.streaming.counts import tumbling
 
@@ -273,3 +273,36 @@ def test_fetch_tries_failures_again(spark, tmp_path):
     got = Counter(map(tuple, remote.fetched(keys, "k", fetch).collect()))
     assert got == Counter([("a", "A", None), ("bad", None, "no bad"), (None, None, "no key")])
     assert remote.fetched(keys.limit(0), "k", fetch).count() == 0
+
+
+def test_mapper_and_fold(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"k{k % 7}", k) for k in range(500)] + [(None, 1), ("k", None)], "k string, v long").repartition(5)
+    got = mapreduce.run(rows, "k", "v", lambda k, v: [(k, v), ("all", 1), (None, 2)], lambda a, b: a + b, "long")
+    assert {r.key: r.value for r in got.collect()} == {f"k{j}": sum(range(j, 500, 7)) for j in range(7)} | {"all": 500}
+    longest = mapreduce.run(rows, "k", "k", lambda k, v: [("x", v)], max, "string")
+    assert [tuple(r) for r in longest.collect()] == [("x", "k6")] and mapreduce.run(rows.limit(0), "k", "v", lambda k, v: [(k, v)], max, "long").count() == 0
+
+
+def test_line_files(spark, tmp_path):
+    (tmp_path / "v.txt").write_text("a\n\n  \nb c\n")
+    (tmp_path / "o.jsonl").write_text('{"k": "1:a", "v": [0.5]}\n\n{"k": "2:b"}\n')
+    assert [r.value for r in lines.values(spark, str(tmp_path / "v.txt")).collect()] == ["a", "b c"]
+    assert [tuple(r) for r in lines.objects(spark, str(tmp_path / "o.jsonl"), "k string, v array<double>").collect()] == [("1:a", [0.5]), ("2:b", None)]
+
+
+def test_listings(spark):
+    def fetch(term):
+        if term == "bad":
+            raise ValueError("no such term")
+        return '{"results": [{"crn": "1", "code": "A 1"}, {"crn": "2", "code": null}]}' if term == "2026" else '{"results": []}'
+
+    terms = spark.createDataFrame([("2026",), ("2025",), ("bad",)], "srcdb string")
+    rows, failed = lines.listing(terms, "srcdb", fetch, "struct<crn:string,code:string>")
+    assert Counter(map(tuple, rows.collect())) == Counter([("2026", "1", "A 1"), ("2026", "2", None)]) and [tuple(r) for r in failed.collect()] == [("bad", "no such term")]
+
+
+def test_store(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{k}", k) for k in range(30)] + [(None, 0), ("k1", 1)], "k string, v long")
+    store.put(rows, "k", str(tmp_path / "s"), 4)
+    assert [tuple(r) for r in store.get(spark, str(tmp_path / "s"), "k", "k7", 4).collect()] == [("k7", 7)]
+    assert store.get(spark, str(tmp_path / "s"), "k", "absent", 4).count() == 0 and store.get(spark, str(tmp_path / "s"), "k").count() == 30

@@ -91,3 +91,8 @@ def plain(html: Column) -> Column:
 def safe_name(key: Column) -> Column:
     """Letters and digits of a key; of a key without any, its SHA-256."""
     return F.coalesce(F.nullif(F.regexp_replace(key, "[^a-zA-Z0-9]", ""), F.lit("")), F.sha2(key.cast("binary"), 256))
+
+
+def first_filled(*values: Column) -> Column:
+    """The first that is neither null nor empty; empty if none is."""
+    return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))

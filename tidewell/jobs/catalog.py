@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, html, ids, stem
 from ..functions import text as T
 from ..functions.filters import Filter, in_term, without
-from ..operators import crawl, requests, retrieval, search
+from ..operators import crawl, mapreduce, requests, retrieval, search
 from ..sources import tsv
 from ..sources.tables import catalogue, table
 from ..streaming import log
@@ -77,11 +77,12 @@ def vector_neighbours_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.neighbours(rows, rows.filter("vec_id % 20 = 0"), 40, F.col("label").isin(1, 3, 5))
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings")
+@query("WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm FROM embeddings) SELECT vec_id, round(norm, 6) AS norm, round(embedding[1] / nullif(norm, 0), 6) AS first, round(embedding[64] / nullif(norm, 0), 6) AS last FROM n")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A17, H11."""
+    """Lengths, and vectors of length one (null for one of length 0)."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm, 6).alias("norm"))
+    unit = F.transform("embedding", lambda x: x.cast("double") / F.nullif(F.col("n"), F.lit(0.0)))
+    return table(spark, sf_dir, "embeddings").withColumn("n", norm).select("vec_id", F.round("n", 6).alias("norm"), F.round(unit[0], 6).alias("first"), F.round(unit[63], 6).alias("last"))
 
 
 @query(f"SELECT o_orderkey, {CODE} AS code, count(l_orderkey) AS n_sections, round(coalesce(sum(l_extendedprice), 0), 2) AS price, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS flags FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
@@ -109,10 +110,14 @@ def staged_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.staged(rows, [status & (F.col("o_totalprice") > 200000), status, F.lit(True)], [F.desc("o_totalprice")], "o_orderkey", 40).select("o_orderkey", "stage", "o_totalprice")
 
 
-@query("SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY o_custkey")
+@query("SELECT c_custkey, arg_max(nullif(o_orderstatus, 'P'), (o_orderdate, o_orderkey)) FILTER (o_orderstatus <> 'P') AS o_orderstatus, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice, coalesce(max(strftime(o_orderdate, '%Y%m')), '999999') AS latest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def latest_non_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per field the latest value that isn't null."""
-    return retrieval.latest(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderstatus", "o_totalprice"])
+    """Per field the latest value that is neither null nor empty, and the latest term, or 999999 without one."""
+    status = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus"))
+    orders = table(spark, sf_dir, "orders").withColumns({"o_orderstatus": status, "latest": F.date_format("o_orderdate", "yyyyMM")})
+    found = retrieval.latest(orders, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderstatus", "o_totalprice", "latest"])
+    joined = table(spark, sf_dir, "customer").join(found, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.select("c_custkey", "o_orderstatus", "o_totalprice", F.coalesce("latest", F.lit("999999")).alias("latest"))
 
 
 _STOPPED = f"list_filter({TOKENS}, lambda t: t NOT IN ({', '.join(repr(s) for s in STOP)}))"
@@ -378,11 +383,19 @@ def sections_of_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.size("sections").cast("long").alias("kept"))
 
 
-@query("SELECT o_orderkey || ':' || o_custkey AS key, trim(coalesce(o_orderstatus, '') || '. ' || coalesce(o_orderpriority, '')) AS text FROM orders WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL")
+@query("SELECT o_orderkey || ':' || o_custkey AS key, trim(coalesce(o_orderstatus, '') || '. ' || coalesce(o_orderpriority, '')) AS text, coalesce(nullif(replace(o_orderstatus, 'F', ''), ''), nullif(o_orderpriority, ''), '') AS instr FROM orders WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL")
 def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The composite key and the text of each record that has both parts of its key."""
+    """The composite key, the text and a field with a fallback of each record that has both parts of its key."""
     text = F.concat(F.coalesce("o_orderstatus", F.lit("")), F.lit(". "), F.coalesce("o_orderpriority", F.lit("")))
-    return table(spark, sf_dir, "orders").dropna(subset=["o_orderkey", "o_custkey"]).select(F.concat_ws(":", "o_orderkey", "o_custkey").alias("key"), F.trim(text).alias("text"))
+    instr = T.first_filled(F.replace("o_orderstatus", F.lit("F"), F.lit("")), F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").dropna(subset=["o_orderkey", "o_custkey"]).select(F.concat_ws(":", "o_orderkey", "o_custkey").alias("key"), F.trim(text).alias("text"), instr.alias("instr"))
+
+
+@query(f"WITH w AS (SELECT role, unnest({TOKENS}) AS t FROM conversations WHERE text IS NOT NULL) SELECT t AS key, count(*) AS value FROM w WHERE len(t) > 2 GROUP BY t")
+def mapped_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words counted by a mapper and a fold in Python."""
+    texts = table(spark, sf_dir, "conversations").select("role", T.tokens(F.col("text")).alias("words"))
+    return mapreduce.run(texts, "role", "words", lambda role, words: ((w, 1) for w in words if len(w) > 2), lambda a, b: a + b, "long")
 
 
 #: Filters of the queries, by the number of a query: none; on sections; on the code alone; on both; on both, of which one can't be met.

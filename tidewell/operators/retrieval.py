@@ -165,8 +165,8 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
-    """Per key and field the value of the latest row in which it isn't null: partial aggregation, no sort."""
-    pick = [F.max(F.when(F.col(f).isNotNull(), F.struct(*order, f)))[f].alias(f) for f in fields]
+    """Per key and field the value of the latest row in which it is neither null nor empty: partial aggregation, no sort."""
+    pick = [F.max(F.when(F.col(f).isNotNull() & (F.col(f).cast("string") != ""), F.struct(*order, f)))[f].alias(f) for f in fields]
     return rows.groupBy(key).agg(*pick)
 
 
