@@ -21,6 +21,8 @@ SLICE_BYTES = 8 << 20
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Rows of a group of texts at most, as a power of two: a row's number is its group's, then its place there.
 PLACE_BITS = 12
+#: Groups in a file at most.
+FILE_GROUPS = 64
 #: Where written tables lie.
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
@@ -135,7 +137,7 @@ def grouped(rows: DataFrame, limit: int) -> DataFrame:
                 out.write_batch(part.cast(schema))
             yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["group", "data"])
 
-    return written(rows.select("doc_id", "key", "text").mapInArrow(work, "group long, data binary"))
+    return written(rows.select("doc_id", "key", "text").mapInArrow(work, "group long, data binary"), FILE_GROUPS)
 
 
 def ungrouped(data: pa.Scalar) -> pa.RecordBatch:
@@ -177,10 +179,10 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(apart.T).view("<u4").ravel().astype(np.int64)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read from a compressed table in the shared folder: cuts the lineage, and survives lost executors."""
+def written(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
+    """The same rows, read from a compressed table in the shared folder: cuts the lineage, and survives lost executors. A file's rows are read in batches, so large rows ask for few in a file."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
