@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def rate_limited(events: DataFrame, limit: int, hours: int) -> DataFrame:
-    """user_id, event_id, window_start and allowed: at most `limit` events in a window that opens with a key's first event after the last window ended."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        start, n, starts, ok = None, 0, [], []
-        for t in rows["ts"]:
-            if start is None or t >= start + pd.Timedelta(hours=hours):
-                start, n = t, 0
-            ok.append(n < limit)
-            n += ok[-1]
-            starts.append(start)
-        return pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "window_start": starts, "allowed": ok})
-
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandas(one, "user_id long, event_id long, window_start timestamp, allowed boolean")
+    """user_id, event_id, window_start and allowed: at most `limit` events in a window that opens with a key's first event after the last window ended.
+
+    Events without user or time are left out. A user's events are walked through in order, in one task, but not held.
+    """
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Events come user by user, in order; what is kept is the user's window and how many it has allowed."""
+        user, start, n, first = None, None, 0, True
+        for rows in batches:
+            starts, ok = [], []
+            for u, t in zip(rows["user_id"], rows["ts"], strict=True):
+                if first or u != user or t >= start + pd.Timedelta(hours=hours):
+                    user, start, n, first = u, t, 0, False
+                ok.append(n < limit)
+                n += ok[-1]
+                starts.append(start)
+            yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "window_start": starts, "allowed": ok})
+
+    own = events.select("user_id", "event_id", "ts").filter("user_id is not null and ts is not null")
+    return own.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(walked, "user_id long, event_id long, window_start timestamp, allowed boolean")
 
 
 def recency(events: DataFrame) -> DataFrame:
