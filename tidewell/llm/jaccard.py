@@ -218,8 +218,9 @@ def links(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     found = common.written(_compared(units.select("*", F.lit(2).alias("left"), F.col("class").alias("root")), sets, percent))
     if large.isEmpty():
         return found
-    # Pairs of tiles across components.
-    state = large.join(components(found).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # Pairs of tiles across components; what is connected already goes on as stars, which settle at once.
+    joined = common.written(components(found))
+    state = large.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     parts = state.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("parts"))
     state = state.join(parts.filter("parts > 1"), "cluster").withColumn("rest", (F.col("root") != F.col("main")).cast("long"))
     state = common.written(state.select("cluster", "class", "band", "rest", "root", "bytes"))
@@ -233,7 +234,7 @@ def links(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     pairs = salted.select("cluster", "class", "root", "me", F.explode(others).alias("it"))
     left = F.when(F.col("me") == F.col("it"), 2).when(F.col("me") < F.col("it"), 0).otherwise(1)
     units = pairs.select("cluster", F.least("me", "it").alias("low"), F.greatest("me", "it").alias("high"), "class", left.alias("left"), "root")
-    return found.unionByName(_compared(units, sets, percent))
+    return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_compared(units, sets, percent))
 
 
 def _classes(sets: DataFrame, percent: int, tile: int) -> tuple[DataFrame, DataFrame]:
