@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytededup, decontam, jaccard, media, secrets, sharding, substrings, tokens, toxicity
+from . import bpe, bytededup, decontam, interaction, jaccard, media, periodic, secrets, sharding, substrings, tokens, toxicity, urls
 from .common import table
 
 
@@ -56,7 +56,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_chunked_media, op3_benchmark_index, op4_token_counts, op5_secret_scan, op6_suffix_dedup, op7_toxic_spans, op8_bpe_roundtrip, op9_substring_dedup, op10_jaccard_join)}
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_chunked_media, op3_benchmark_index, op4_token_counts, op5_secret_scan, op6_suffix_dedup, op7_toxic_spans, op8_bpe_roundtrip, op9_substring_dedup, op10_jaccard_join, op11_filter_interactions, op12_url_rules, op13_periodic_runs)}
 ORACLE_SQL: dict[str, str] = {}
 
 #: A to Z lower-cased, then words; windows of up to ten words joined by blanks (no word holds one).
@@ -99,3 +111,36 @@ r AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b
 m AS (SELECT a AS id, min(b) AS component_id FROM r GROUP BY a)
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.sh = c.sh LEFT JOIN m ON m.id = c.id
 """
+
+#: Rows alike in part, failed filters and labels, counted; each count meets every order and step.
+ORACLE_SQL["op11_filter_interactions"] = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') AS w FROM documents),
+m AS (SELECT *, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN m.doc_id > least THEN 'E' ELSE '' END AS fails FROM m LEFT JOIN l ON l.doc_id = m.doc_id),
+c AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+s AS (SELECT o, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o),
+j AS (SELECT c.*, o, step, substr(o, step, 1) AS letter, contains(fails, substr(o, step, 1)) AS hit, length(translate(substr(o, 1, step - 1), fails, '')) < step - 1 AS gone FROM c, s),
+r AS (SELECT part, o AS filter_order, step, letter, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (gone AND hit), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = letter), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(n) FILTER (NOT gone AND hit AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (NOT gone AND hit AND toxic), 0) AS BIGINT) AS toxic_lost FROM j GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
+
+_RULES = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+_LISTED = lambda own: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{own(v, h, p)}'" for v, h, p in _RULES) + " END"
+_TOKEN = lambda name, column, pattern: f"'{name}=' || nullif(regexp_extract({column}, '{pattern}', 1), '')"
+
+#: Every set of tokens of every labelled url, counted by verdict, in place of FP-growth.
+ORACLE_SQL["op12_url_rules"] = f"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+t AS (SELECT *, {_LISTED(lambda v, h, p: h + p)} AS rule, {_LISTED(lambda v, h, p: v)} AS said, list_sort(list_filter([{_TOKEN("tld", "host", "([^.:]+)(?::[0-9]*)?$")}, {_TOKEN("site", "host", "([^.]+[.][^.:]+)(?::[0-9]*)?$")}, {_TOKEN("sub", "host", "^([^.]+)[.][^.]+[.][^.]")}, {_TOKEN("dir", "path", "^/([^/]+)/")}, {_TOKEN("num", "path", "/([0-9])[^/]*/?$")}, {_TOKEN("type", "path", "[.]([A-Za-z0-9]+)$")}, {_TOKEN("key", "url", "[?]([^=&#]+)")}, {_TOKEN("part", "url", "(#)")}], lambda x: x IS NOT NULL)) AS w FROM u),
+sets AS (SELECT rid, said, list_filter(w, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s FROM (SELECT rid, said, w, unnest(range(1, 1 << len(w))) AS m FROM t)),
+n AS (SELECT count(*) AS n, count(*) FILTER (said = 'allow') AS allow, count(*) FILTER (said = 'block') AS block FROM t WHERE said IS NOT NULL),
+k AS (SELECT s, count(*) AS freq, count(*) FILTER (said = 'allow') AS allow, count(*) FILTER (said = 'block') AS block FROM sets WHERE said IS NOT NULL GROUP BY s),
+v AS (SELECT s, 'allow' AS verdict, CAST(k.allow AS DOUBLE) / freq AS c, CAST(k.allow AS DOUBLE) / n AS p, k.allow AS b, CAST(n.allow AS DOUBLE) / n AS share FROM k, n UNION ALL SELECT s, 'block', CAST(k.block AS DOUBLE) / freq, CAST(k.block AS DOUBLE) / n, k.block, CAST(n.block AS DOUBLE) / n FROM k, n),
+r AS (SELECT s, verdict, c, p FROM v, n WHERE b >= greatest({urls.LEAST}, ceil({urls.SUPPORT} * n)) AND c >= {urls.CONFIDENCE} AND round(c / share, 9) > 1),
+q AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.verdict = r.verdict AND x.c >= r.c AND len(x.s) < len(r.s) AND list_has_all(r.s, x.s))),
+best AS (SELECT rid, arg_min(struct_pack(v := verdict, m := array_to_string(q.s, ' ')), (-c, -p, array_to_string(q.s, ' '))) AS x FROM sets JOIN q USING (s) WHERE said IS NULL GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(said, x.v, (SELECT CASE WHEN block > allow THEN 'block' ELSE 'allow' END FROM n)) AS verdict, x.m AS mined FROM t LEFT JOIN best USING (rid)
+"""
