@@ -118,6 +118,8 @@ def test_op10(spark, sf, edge, edge_rows, none):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for cells, tile in ((8, 256), (0.05, 4)):  # the smaller sketch lets nearly all shingles through
         assert by_row(jaccard.near_duplicates(docs, cells=cells, tile=tile), *columns) == grouped(rows)
+    # Hashes of sets of three bits alone: nearly all are equal, and sets are told apart all the same.
+    assert by_row(jaccard.near_duplicates(docs, tile=4, bits=3), *columns) == grouped(rows)
     assert jaccard.near_duplicates(none).count() == 0
 
 

@@ -243,6 +243,21 @@ def test_long_runs_take_linear_time(unit):
     assert seconds[1] < max(8 * seconds[0], 1.5), seconds
 
 
+def test_chained_key_headers_take_linear_time():
+    """Headers that each claim 500,000 bytes, one inside the other or each inside an integer of the one before; no key in them."""
+    nested = bytes.fromhex("308307a120")
+    inside = b"\x02\x06" + bytes.fromhex("30840007a120")
+    for unit in (nested + b"\x00", nested + b"\x02\x01\x00", inside, b"\x30\x83\x07\xa1\x20" + inside):
+        for code in (lambda b: base64.b64encode(b).decode(), bytes.hex):
+            seconds = []
+            for n in (1_600_000, 3_200_000):
+                run = code(unit * (n // len(unit)))[:n]
+                start = time.process_time()
+                assert [s for s in secrets.scan(run) if not s[3]] == []
+                seconds.append(time.process_time() - start)
+            assert seconds[1] < max(4 * seconds[0], 2), (unit, seconds)
+
+
 def base_spans(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [("assign", *m.span()) for m in assign.finditer(text) if len(m[2]) >= 6]

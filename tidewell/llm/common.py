@@ -182,7 +182,13 @@ def unplanes(data: bytes) -> np.ndarray:
 def written(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """The same rows, read from a compressed table in the shared folder: cuts the lineage, and survives lost executors. A file's rows are read in batches, so large rows ask for few in a file."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean, "false")
+    conf.set(clean, "true")  # what was shuffled for the table is of no further use
+    try:
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    finally:
+        conf.set(clean, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

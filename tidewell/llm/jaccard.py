@@ -237,13 +237,29 @@ def links(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_compared(units, sets, percent))
 
 
-def _classes(sets: DataFrame, percent: int, tile: int) -> tuple[DataFrame, DataFrame]:
+def classed(may: DataFrame, bits: int = 63) -> DataFrame:
+    """With `class`, one number for each pair (s1, s2): a hash of it, even; pairs whose hashes are equal get odd numbers of their own instead."""
+    mask = ((1 << bits) - 1) << 1
+    may = may.withColumn("class", F.xxhash64("s1", "s2").bitwiseAND(F.lit(mask if mask < 1 << 63 else mask - (1 << 64))))
+    pair = F.struct("s1", "s2")
+    met = common.written(may.groupBy("class").agg(F.min(pair).alias("least"), F.max(pair).alias("most")).filter("least != most").select("class"))
+    if met.isEmpty():
+        common.forget(met)
+        return may
+    # Few but for a tiny `bits`: about the square of the classes by 2**64. Spark broadcasts them if their files are small enough.
+    apart = may.join(met, "class", "left_semi").select(F.col("s1").alias("t1"), F.col("s2").alias("t2")).distinct()
+    apart = common.written(apart.withColumn("own", F.monotonically_increasing_id() * 2 + 1))
+    found = may.join(apart, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")), "left")
+    return found.withColumn("class", F.coalesce("own", "class")).drop("own", "t1", "t2")
+
+
+def _classes(sets: DataFrame, percent: int, tile: int, bits: int = 63) -> tuple[DataFrame, DataFrame]:
     """(documents that may have a partner, with their class; node and root of the classes that have one)."""
-    may = sets.filter(F.col("shared").isNotNull()).withColumn("class", F.xxhash64("s1", "s2"))
+    may = classed(sets.filter(F.col("shared").isNotNull()), bits)
     return may, components(links(may.select("class", "n_shingles", "shared", "powers"), percent, tile))
 
 
-def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", cells: float = sketch.CELLS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", cells: float = sketch.CELLS, tile: int = TILE, bits: int = 63) -> DataFrame:
     """doc_id, n_shingles and component_id (least id reachable by links) of every row.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets. A document of fewer than n words
@@ -251,7 +267,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_
     stay and share their component. A null id counts only where its component has no other; then component_id is null.
     """
     sets = document_sets(docs, n, percent, id_col, text_col, cells)
-    may, roots = _classes(sets, percent, tile)
+    may, roots = _classes(sets, percent, tile, bits)
     named = may.groupBy("class").agg(F.min("doc_id").alias("least")).join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     groups = named.groupBy("root").agg(F.min("least").alias("component"))
     of_class = named.join(groups, "root").select("class", "component")

@@ -39,6 +39,8 @@ PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----((?:[A-Za-z0-9+/=\s]|\\[n
 #: A key's SEQUENCE in base64, or the magic of a private key file; the beginning of an object in base64.
 KEY_START = re.compile("M[A-P]|b3BlbnNzaC1rZXktdjE")
 OBJECT_START = re.compile("ey[A-J]")
+#: Values in a key's encoding at most, at all levels together; the formats of private keys have a few dozen.
+VALUES = 32
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()),
@@ -71,22 +73,31 @@ def tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
-def is_der_key(data: bytes, depth: int = 0, start: int = 0, end: int | None = None) -> bool:
-    """One SEQUENCE over all the bytes, of at least two values with nested lengths that add up, holding an INTEGER, OID or BIT STRING."""
+def is_der_key(data: bytes, start: int = 0, end: int | None = None) -> bool:
+    """One SEQUENCE over the bytes from start to end, of at least two values with nested lengths that add up, holding an INTEGER, OID or BIT STRING.
+
+    Read in place, and given up at the first value that doesn't fit, or after VALUES of them: no key's encoding has as many.
+    """
     end = len(data) if end is None else end
-    outer = tlv(data, start, end)
-    if outer is None or outer[0] != 0x30 or outer[2] != end or depth > 8:
-        return False
-    at, seen, known = outer[1], 0, False
-    while at < end:
-        inner = tlv(data, at, end)
-        if inner is None or inner[0] not in (0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0x31, 0xA0, 0xA1):
-            return False
-        if inner[0] == 0x30 and inner[2] > inner[1] and not is_der_key(data, depth + 1, at, inner[2]):
+    left = VALUES
+
+    def fits(start: int, end: int, depth: int) -> bool:
+        nonlocal left
+        outer = tlv(data, start, end)
+        if outer is None or outer[0] != 0x30 or outer[2] != end or depth > 8:
             return False
-        known |= inner[0] in (0x02, 0x03, 0x06)
-        at, seen = inner[2], seen + 1
-    return known and (seen >= 2 or depth > 0) and (depth > 0 or len(data) >= 24)
+        at, seen, known = outer[1], 0, False
+        while at < end:
+            inner, left = tlv(data, at, end), left - 1
+            if left < 0 or inner is None or inner[0] not in (0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0x31, 0xA0, 0xA1):
+                return False
+            if inner[0] == 0x30 and inner[2] > inner[1] and not fits(at, inner[2], depth + 1):
+                return False
+            known |= inner[0] in (0x02, 0x03, 0x06)
+            at, seen = inner[2], seen + 1
+        return known and (seen >= 2 or depth > 0)
+
+    return end - start >= 24 and fits(start, end, 0)
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -178,9 +189,12 @@ class Run:
 
 
 def keys_in(run: Run) -> Iterator[tuple[int, int, str]]:
-    """Keys in base64: where one may begin, its own header tells where it ends, so that it may be glued to other characters."""
+    """Keys in base64: where one may begin, its own header tells where it ends, so that it may be glued to other characters.
+
+    The run is decoded once for each place modulo 4 at which a header fits, however many headers there are.
+    """
     code = run.text.rstrip("=")
-    at = 0
+    at, whole = 0, {}
     while m := KEY_START.search(code, at):
         a, at = m.start(), m.start() + 1
         if m[0][0] == "b":
@@ -188,8 +202,14 @@ def keys_in(run: Run) -> Iterator[tuple[int, int, str]]:
                 yield a, len(run.text), "openssh"
                 return
         elif size := der_size(decoded(code[a : a + 24]) or b""):
-            b = a + (size * 4 + 2) // 3
-            if b <= len(code) and is_der_key((decoded(code[a:b]) or b"")[:size]):
+            b, shift = a + (size * 4 + 2) // 3, a % 4
+            if b > len(code):
+                continue
+            if shift not in whole:
+                own = code[shift:]
+                whole[shift] = decoded(own[: len(own) - (len(own) % 4 == 1)]) or b""
+            first = (a - shift) // 4 * 3
+            if is_der_key(whole[shift], first, first + size):
                 at = b
                 yield a, b + (len(run.text) - b if b == len(code) else 0), "der"
 
@@ -202,7 +222,7 @@ def hex_in(run: Run) -> Iterator[tuple[int, int, str]]:
         at = 0
         while (a := data.find(0x30, at)) >= 0:
             at, size = a + 1, der_size(data[a : a + 18])
-            if size and a + size <= len(data) and is_der_key(data[a : a + size]):
+            if size and a + size <= len(data) and is_der_key(data, a, a + size):
                 at = a + size
                 yield shift + 2 * a, shift + 2 * at, "der"
         if data.startswith(b"openssh-key-v1\0") and is_openssh_key(data):
