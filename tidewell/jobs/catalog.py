@@ -228,7 +228,7 @@ _OPENS = "e.ts >= r.start + INTERVAL 24 HOUR"
 r AS (SELECT user_id, event_id, n, ts AS start, 1 AS used, true AS allowed FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN {_OPENS} THEN e.ts ELSE r.start END, CASE WHEN {_OPENS} THEN 1 WHEN r.used < 3 THEN r.used + 1 ELSE r.used END, {_OPENS} OR r.used < 3 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
 SELECT user_id, event_id, start AS window_start, allowed FROM r""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential state per user."""
+    """Windows from each user's first event; streaming/limits.py keeps the same on a stream."""
     return requests.rate_limited(table(spark, sf_dir, "events"), 3, 24)
 
 
@@ -238,6 +238,18 @@ def cache_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.recency(table(spark, sf_dir, "events"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+p AS (SELECT *, lag(i) OVER (PARTITION BY user_id ORDER BY i) AS p, row_number() OVER (PARTITION BY user_id ORDER BY i) AS n FROM e),
+d AS (SELECT p.event_id, p.user_id, p.ts, p.n, count(DISTINCT x.user_id) AS distance FROM p LEFT JOIN e x ON x.i > p.p AND x.i < p.i GROUP BY ALL),
+r AS (SELECT event_id, user_id, n, CAST(NULL AS BIGINT) AS distance, ts AS put, 'new' AS outcome FROM d WHERE n = 1 UNION ALL
+SELECT d.event_id, d.user_id, d.n, d.distance, CASE WHEN d.distance >= 100 OR d.ts > r.put + INTERVAL 30 MINUTE THEN d.ts ELSE r.put END, CASE WHEN d.distance >= 100 THEN 'evicted' WHEN d.ts > r.put + INTERVAL 30 MINUTE THEN 'expired' ELSE 'hit' END FROM r JOIN d ON d.user_id = r.user_id AND d.n = r.n + 1)
+SELECT event_id, user_id, distance, outcome FROM r""")
+def cache_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache of 100 users' results, each for 30 minutes from its put, says to every event."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
+    return requests.cached(events).select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "distance", "outcome")
+
+
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time windows; the same plan runs on a stream."""
