@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import answers, html, ids, stem
 from ..functions import text as T
 from ..functions.filters import Filter, in_term, without
-from ..operators import crawl, mapreduce, requests, retrieval, search
-from ..sources import tsv
-from ..sources.tables import catalogue, table
-from ..streaming import log
+from ..operators import crawl, mapreduce, ordered, requests, retrieval, search
+from ..sources import listing, tsv
+from ..sources.tables import catalogue, new_folder, table
+from ..streaming import enrich, log
 from ..streaming.counts import tumbling
 
 QUERIES: dict = {}
@@ -250,6 +250,39 @@ def cache_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.cached(events).select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "distance", "outcome")
 
 
+def _measured(keys: list[str]) -> list[str]:
+    """Stands for a service: a text's length; it has no answer to texts of one letter pair."""
+    if any("qu" in k for k in keys):
+        raise ValueError("no answer")
+    return [str(len(k)) for k in keys]
+
+
+@query("SELECT s_name AS key, CASE WHEN contains(s_name, 'qu') THEN NULL ELSE CAST(length(s_name) AS VARCHAR) END AS value, CASE WHEN contains(s_name, 'qu') THEN 'no answer' END AS error FROM (SELECT DISTINCT s_name FROM supplier UNION SELECT DISTINCT o_orderpriority || ' qu' FROM orders)")
+def enriched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values fetched for distinct keys in resumable steps, with the keys that have none."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("key")).unionByName(table(spark, sf_dir, "orders").select(F.concat("o_orderpriority", F.lit(" qu")).alias("key")))
+    path = new_folder(spark)
+    enrich.step(keys, _measured, path, size=1, concurrency=8)
+    done, dead, _ = enrich.state(spark, path)
+    return done.select("key", "value", F.lit(None).cast("string").alias("error")).unionByName(dead.select("key", F.lit(None).cast("string").alias("value"), "error"))
+
+
+@query(f"SELECT CAST(year(o_orderdate) AS VARCHAR) AS term, {CODE} AS code, o_totalprice AS price FROM orders WHERE year(o_orderdate) IN (1995, 1996)")
+def listed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings by term, read through a data source of which only the terms asked for are read."""
+    path, code = new_folder(spark), F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string"))
+    rows = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("term"), code.alias("code"), F.col("o_totalprice").alias("price"))
+    rows.write.partitionBy("term").json(path)
+    listing.register(spark)
+    return spark.read.format("term_listing").schema("term string, code string, price double").option("path", path).load().filter(F.col("term").isin("1995", "1996"))
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY code) - 1 AS BIGINT) AS position, code, n_sections FROM (SELECT {CODE} AS code, count(l_orderkey) AS n_sections FROM orders JOIN embeddings ON vec_id = o_orderkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY code)")
+def id_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position of each record of the index in the order of codes, without gaps."""
+    return ordered.numbered(_records(spark, sf_dir), "code", name="position").select("position", "code", F.size("sections").cast("long").alias("n_sections"))
+
+
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time windows; the same plan runs on a stream."""

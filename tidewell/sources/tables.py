@@ -27,6 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder at which nothing is yet."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpointed in the shared folder."""
     shared_folder(df.sparkSession)
@@ -35,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def kept(df: DataFrame) -> DataFrame:
     """The same rows, read from a Parquet table in the shared folder: cuts the lineage and survives lost executors; `dropped` deletes it."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
