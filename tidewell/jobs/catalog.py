@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, html, ids, stem
 from ..functions import text as T
 from ..functions.filters import Filter, in_term, without
-from ..operators import crawl, mapreduce, ordered, requests, retrieval, search
+from ..operators import crawl, index, mapreduce, ordered, requests, retrieval, search
 from ..sources import listing, tsv
 from ..sources.tables import catalogue, new_folder, table
 from ..streaming import enrich, log
@@ -132,11 +132,37 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.merged(retrieval.postings(table(spark, sf_dir, "documents"), STOP))
 
 
+def _index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> str:
+    """Where the index of all documents lies; made by the first lookup of an application."""
+    return index.stored(spark, table(spark, sf_dir, "documents"), STOP, new_folder, stemmed)
+
+
 @query(f"WITH {_GRAMS} SELECT term, doc_id, freq FROM i WHERE contains(' ' || term || ' ', ' loser ') OR contains(' ' || term || ' ', ' license ')")
 def phrase_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """postings of n-grams that hold a phrase at word boundaries."""
-    padded = F.concat(F.lit(" "), "term", F.lit(" "))
-    return retrieval.postings(table(spark, sf_dir, "documents"), STOP).filter(padded.contains(" loser ") | padded.contains(" license "))
+    """postings of n-grams that hold a phrase at word boundaries, from the stored index."""
+    path = _index(spark, sf_dir)
+    found = [index.containing(spark, path, index.asked(spark, phrase, STOP)) for phrase in ("a Loser", "LICENSE")]
+    return found[0].unionByName(found[1]).distinct()  # a term may hold both
+
+
+@query(f"WITH {_GRAMS} SELECT term, doc_id, freq FROM i WHERE contains(term, 'oser') OR contains(term, 'ing th')")
+def phrase_lookup_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """postings of n-grams that hold a text anywhere, from the stored index by three-letter pieces of its words."""
+    path = _index(spark, sf_dir)
+    return index.literal(spark, path, "oser").unionByName(index.literal(spark, path, "ing th")).distinct()
+
+
+@query()
+def stemmed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As phrase_lookup, in an index of stems: the phrase is stemmed as the texts are."""
+    path = _index(spark, sf_dir, stemmed=True)
+    return index.containing(spark, path, index.asked(spark, "the licensing", STOP, stemmed=True))
+
+
+@query(f"WITH w AS (SELECT doc_id, {_STOPPED} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS term FROM w), i AS (SELECT term, doc_id, count(*) AS freq FROM u GROUP BY ALL), r AS (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY freq DESC, doc_id) - 1) // 1000 AS block FROM i) SELECT term, CAST(block AS BIGINT) AS block, count(*) AS df, CAST(sum(freq) AS BIGINT) AS freq, string_agg(doc_id || ':' || freq, ' ' ORDER BY r.freq DESC, doc_id) AS postings FROM r GROUP BY term, block")
+def ranked_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word's postings in order of frequency as a whole, in rows of a thousand."""
+    return index.ranked(retrieval.postings(table(spark, sf_dir, "documents"), STOP, 1))
 
 
 @query("SELECT page_id, url, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS n_links, coalesce(list_extract(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1), '') AS first_link, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM pages")

@@ -1,22 +1,18 @@
-"""Postings kept up to date by a stream of documents."""
+"""The stored index kept up to date by a stream of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import retrieval
+from ..operators import index
 
 
-def maintain(docs: DataFrame, stop: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Writes each batch's own postings to path/batch=<id>; a batch run again replaces its folder, so nothing counts twice. Runs until the input is used up."""
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        retrieval.postings(batch, stop).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def maintain(docs: DataFrame, stop: list[str], path: str, checkpoint: str, stemmed: bool = False) -> StreamingQuery:
+    """Adds each batch's n-grams as a segment, each batch once, and merges full levels. Runs until the input is used up."""
+    return docs.writeStream.foreachBatch(lambda batch, number: index.add(batch, stop, path, stemmed=stemmed, batch=number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The whole index: the batches' postings, summed."""
-    return retrieval.folded(spark.read.option("basePath", path).parquet(path).drop("batch"))
+    """The whole index: the segments' postings, summed."""
+    return index.current(spark, path)
