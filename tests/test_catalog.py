@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import answers, filters, html, stem
 from tidewell.functions import text as T
-from tidewell.jobs import catalog
+from tidewell.jobs import catalog, records  # noqa: F401
 from tidewell.operators import crawl, requests, retrieval
 from tidewell.functions import ids
 from tidewell.operators import mapreduce, search

@@ -40,3 +40,33 @@ def escaped(text: Column) -> Column:
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(raw), F.lit(entity))
     return text
+
+
+def uri_component(text: Column) -> Column:
+    """Percent-encoded but for letters, digits and - _ . ! ~ * ' ( )."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, sign in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
+
+
+def record_link(base: str, code: Column, term: Column) -> Column:
+    """The address at which a service shows a record: keyword and term as parameters; 999999 for no term."""
+    return F.concat(F.lit(base), F.lit("?keyword="), uri_component(code), F.lit("&srcdb="), F.coalesce(term, F.lit("999999")))
+
+
+def relinked(html: Column, base: str) -> Column:
+    """Links to a search for a code lead to the service, and all links open apart."""
+    own = F.regexp_replace(html, r'href="/search/\?p=([^"]+)"', f'href="{base}?keyword=$1"')
+    return F.replace(own, F.lit("<a "), F.lit('<a target="_blank" '))
+
+
+def answer_html(text: Column, codes: Column, base: str, term: Column) -> Column:
+    """An answer as HTML: escaped, **bold** marked, the cited codes (an array) as links, paragraphs by blank lines."""
+    out = F.regexp_replace(escaped(text), r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
+    link = lambda code: F.concat(F.lit('<a href="'), record_link(base, code, term), F.lit('" target="_blank">'), code, F.lit("</a>"))
+    sign = lambda code: F.concat(F.lit(r"\b\Q"), code, F.lit(r"\E\b"))
+    plain_ = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    out = F.aggregate(codes, out, lambda said, code: F.regexp_replace(said, sign(code), plain_(link(code))))
+    parts = F.filter(F.transform(F.split(out, "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "")

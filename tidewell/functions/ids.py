@@ -14,6 +14,12 @@ def modulo(hex_id: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda acc, i: (acc * 4294967296 + F.conv(F.substr(hex_id, i * 8 + 1, F.lit(8)), 16, 10).cast("long")) % n)
 
 
+def number(text: Column) -> Column:
+    """The number that an id writes in hex, with or without `0x`: its digits in lower case without zeros in front, whatever their count; null for other texts."""
+    digits = F.regexp_extract(text, "^(?:0x)?([0-9a-fA-F]+)$", 1)
+    return F.when(digits != "", F.lower(F.regexp_replace(digits, "^0+(?=.)", "")))
+
+
 def ring(hex_id: Column, nodes: list[str]) -> Column:
     """The least node id greater than the key's, else the least of all."""
     nodes = sorted(nodes)

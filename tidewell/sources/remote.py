@@ -29,3 +29,11 @@ def fetched(keys: DataFrame, key: str, fetch: Callable[[str], str], passes: int
         done = final if done is None else done.unionByName(final)
         left = tried.filter("error is not null and key is not null").select("key")
     return done
+
+
+def looked_up(rows: DataFrame, key: str, fetch: Callable[[str], str], field: str, default: str = "", passes: int = 2) -> DataFrame:
+    """The rows with `field`: what the service says of their key, each distinct key asked for once; `default` where it says nothing, fails, or the key is null."""
+    found = fetched(rows.select(key).filter(F.col(key).isNotNull()).distinct(), key, fetch, passes).filter("error is null")
+    said = found.select(F.col("key").alias("__key"), F.col("value").alias("__value"))
+    joined = rows.join(said, F.col(key).cast("string") == F.col("__key"), "left")
+    return joined.select(*rows.columns, F.coalesce("__value", F.lit(default)).alias(field))
