@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,6 +92,43 @@ def predicate(f: Filter, kinds: T.StructType, code: Column | None = None) -> Cal
     return lambda element: compare(element[f.field], kinds[f.field].dataType, f.op, f.value)
 
 
+def mask(f: Filter, sections: pa.StructArray, kinds: T.StructType, prefixes: np.ndarray) -> np.ndarray:
+    """What `predicate` says, for a batch of sections at once; prefixes: of each section its record's code prefix."""
+    n = len(sections)
+    if f.field == "code_prefix":
+        said = lambda v: str(v or "").upper()
+        if f.op in ("eq", "ne"):
+            found = (prefixes == said(f.value)) == (f.op == "eq")
+        else:
+            found = np.isin(prefixes, [said(v) for v in f.value]) if f.op.startswith("includes") and isinstance(f.value, list) and f.value else np.zeros(n, bool)
+        return found & (prefixes != "")
+    if f.field not in kinds.names:
+        return np.zeros(n, bool)
+    kind, column = kinds[f.field].dataType, sections.field(kinds.names.index(f.field))
+    there = np.asarray(pc.is_valid(column)) & np.asarray(pc.is_valid(sections))
+    true = lambda x: np.asarray(pc.fill_null(x, False))
+    if f.op in ("eq", "ne"):
+        same = true(pc.equal(column, pa.scalar(f.value, column.type if isinstance(f.value, str | bool) else None))) if _same_type(f.value, kind) else np.zeros(n, bool)
+        return there & (same if f.op == "eq" else ~same)
+    if f.op in ("lt", "lte", "gt", "gte"):
+        bound = number(f.value) if isinstance(kind, T.NumericType) else None
+        if bound is None:
+            return np.zeros(n, bool)
+        compared = {"lt": pc.less, "lte": pc.less_equal, "gt": pc.greater, "gte": pc.greater_equal}[f.op]
+        return there & true(compared(column, pa.scalar(bound)))
+    if not (isinstance(kind, T.ArrayType) and isinstance(f.value, list)):
+        return np.zeros(n, bool)
+    flat, parent = pc.list_flatten(column), np.asarray(pc.list_parent_indices(column))
+    has = []
+    for v in f.value:
+        hit = np.zeros(n, bool)
+        if _same_type(v, kind.elementType):
+            hit[parent[true(pc.equal(flat, pa.scalar(v, flat.type if isinstance(v, str | bool) else None)))]] = True
+        has.append(hit)
+    joined = np.logical_and.reduce(has) if f.op == "includes_all" else np.logical_or.reduce(has)
+    return there & (joined if has else np.full(n, f.op == "includes_all"))
+
+
 def prefix_of(code: Column) -> Column:
     return F.upper(F.split(F.coalesce(code, F.lit("")), r"\s+")[0])
 

@@ -225,7 +225,7 @@ _ALIASES = "(VALUES " + ", ".join(f"('{c}', '{a}')" for c, a in ALIASES) + ") a(
 
 @query(f"SELECT conv_id, turn, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM conversations, {_ALIASES} WHERE contains(' ' || trim(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || alias || ' ') GROUP BY conv_id, turn")
 def alias_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed list of aliases found as whole words."""
+    """A short list of aliases found as whole words; `phrase_codes` takes them from a table."""
     padded = F.concat(F.lit(" "), T.normalised(F.col("text")), F.lit(" "))
     found = F.array_compact(F.array(*(F.when(padded.contains(f" {a} "), F.lit(c)) for c, a in ALIASES)))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(found).alias("code")).groupBy("conv_id", "turn")
@@ -469,8 +469,8 @@ def mapped_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapreduce.run(texts, "role", "words", lambda role, words: ((w, 1) for w in words if len(w) > 2), lambda a, b: a + b, "long")
 
 
-#: Filters of the queries, by the number of a query: none; on sections; on the code alone; on both; on both, of which one can't be met.
-ASKED = ("[]", '[{"field": "l_quantity", "op": "gt", "value": "30"}, {"field": "l_discount", "op": "lt", "value": 0.02}]', '[{"field": "code_prefix", "op": "includes_any", "value": ["1-urgent", "2-HIGH", "X"]}]', '[{"field": "l_quantity", "op": "gte", "value": 45}, {"field": "code_prefix", "op": "eq", "value": "3-medium"}, {"field": "l_returnflag", "op": "eq", "value": "R"}]', '[{"field": "code_prefix", "op": "eq", "value": "5-LOW"}, {"field": "l_returnflag", "op": "eq", "value": 7}]')
+#: Filters of the queries, by the number of a query: none; on sections; on the code alone; on both; on both, of which one can't be met; on all of a list; on any of one.
+ASKED = ("[]", '[{"field": "l_quantity", "op": "gt", "value": "30"}, {"field": "l_discount", "op": "lt", "value": 0.02}]', '[{"field": "code_prefix", "op": "includes_any", "value": ["1-urgent", "2-HIGH", "X"]}]', '[{"field": "l_quantity", "op": "gte", "value": 45}, {"field": "code_prefix", "op": "eq", "value": "3-medium"}, {"field": "l_returnflag", "op": "eq", "value": "R"}]', '[{"field": "code_prefix", "op": "eq", "value": "5-LOW"}, {"field": "l_returnflag", "op": "eq", "value": 7}]', '[{"field": "flags", "op": "includes_all", "value": ["R", "F"]}, {"field": "nowhere", "op": "eq", "value": 1}]', '[{"field": "code_prefix", "op": "eq", "value": "2-high"}, {"field": "flags", "op": "includes_any", "value": ["A", "X"]}]')
 PRIORITY = ("code_prefix", "l_returnflag", "l_quantity")
 
 
@@ -482,28 +482,29 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("o_orderkey"), F.col("embedding").alias("vector"))
-    return catalogue(spark, sf_dir).join(vectors, "o_orderkey").select("o_orderkey", "code", "vector", "sections")
+    flags = F.transform("sections", lambda s: s.withField("flags", F.array(s["l_returnflag"], s["l_linestatus"])))
+    return catalogue(spark, sf_dir).join(vectors, "o_orderkey").select("o_orderkey", "code", "vector", flags.alias("sections"))
 
 
 _SEARCH = f"""rec AS (SELECT o_orderkey, {CODE} AS code, upper(split_part({CODE}, ' ', 1)) AS pre, embedding FROM orders JOIN embeddings ON vec_id = o_orderkey),
-c AS (SELECT o_orderkey, count(l_orderkey) AS n, count(*) FILTER (l_quantity > 30 AND l_discount < 0.02) AS n1, count(*) FILTER (l_quantity >= 45 AND l_returnflag = 'R') AS n3 FROM rec LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey),
-p AS (SELECT q.vec_id AS query_id, (q.vec_id // 20) % 5 AS t, e.o_orderkey, e.code, e.pre, {RAW} AS raw, n, n1, n3 FROM embeddings q, rec e JOIN c ON c.o_orderkey = e.o_orderkey WHERE q.vec_id % 20 = 0),
+c AS (SELECT o_orderkey, count(l_orderkey) AS n, count(*) FILTER (l_quantity > 30 AND l_discount < 0.02) AS n1, count(*) FILTER (l_quantity >= 45 AND l_returnflag = 'R') AS n3, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS n5, count(*) FILTER (l_returnflag = 'A') AS n6 FROM rec LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey),
+p AS (SELECT q.vec_id AS query_id, (q.vec_id // 20) % 7 AS t, e.o_orderkey, e.code, e.pre, {RAW} AS raw, n, n1, n3, n5, n6 FROM embeddings q, rec e JOIN c ON c.o_orderkey = e.o_orderkey WHERE q.vec_id % 20 = 0),
 a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, o_orderkey) AS r FROM p),
-f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, o_orderkey) AS r FROM p WHERE (t = 1 AND n1 > 0) OR (t = 2 AND n > 0 AND pre IN ('1-URGENT', '2-HIGH')) OR (t = 3 AND n > 0 AND pre = '3-MEDIUM') OR (t = 4 AND n > 0 AND pre = '5-LOW')),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, o_orderkey) AS r FROM p WHERE (t = 1 AND n1 > 0) OR (t = 2 AND n > 0 AND pre IN ('1-URGENT', '2-HIGH')) OR (t = 3 AND n > 0 AND pre = '3-MEDIUM') OR (t = 4 AND n > 0 AND pre = '5-LOW') OR (t = 5 AND n5 > 0) OR (t = 6 AND n > 0 AND pre = '2-HIGH')),
 l AS (SELECT query_id, 'any' AS list, r, o_orderkey, code, raw, n AS n_sections FROM a WHERE r <= 40 UNION ALL SELECT query_id, 'best', r, o_orderkey, code, raw, n FROM a WHERE r <= 40 AND t = 0
-UNION ALL SELECT query_id, 'best', r, o_orderkey, code, raw, CASE t WHEN 1 THEN n1 WHEN 2 THEN n ELSE n3 END FROM f WHERE r <= 40 AND (t IN (1, 2) OR (t = 3 AND n3 > 0))),
-w AS (SELECT * FROM l UNION ALL SELECT query_id, 'partial', r, o_orderkey, code, raw, n FROM f WHERE r <= 40 AND t IN (3, 4) AND query_id NOT IN (SELECT query_id FROM l WHERE list = 'best')),
+UNION ALL SELECT query_id, 'best', r, o_orderkey, code, raw, CASE t WHEN 1 THEN n1 WHEN 2 THEN n WHEN 5 THEN n5 WHEN 6 THEN n6 ELSE n3 END FROM f WHERE r <= 40 AND (t IN (1, 2, 5) OR (t = 3 AND n3 > 0) OR (t = 6 AND n6 > 0))),
+w AS (SELECT * FROM l UNION ALL SELECT query_id, 'partial', r, o_orderkey, code, raw, n FROM f WHERE r <= 40 AND t IN (3, 4, 6) AND query_id NOT IN (SELECT query_id FROM l WHERE list = 'best')),
 x AS (SELECT query_id, list, row_number() OVER (PARTITION BY query_id, list ORDER BY r) AS place, o_orderkey, code, round(raw, 6) AS score, n_sections FROM w)"""
 
 
 @query(f"WITH {_SEARCH} SELECT query_id, list, place, o_orderkey, score, n_sections FROM x")
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of queries with filters against all records: best, partial and any matches."""
+    """A table of queries with filters against all records: best, partial and any matches."""
     rows = search.search(_records(spark, sf_dir), _asked(spark, sf_dir), PRIORITY, "o_orderkey")
     return rows.select("query_id", "list", "place", "o_orderkey", "score", F.size("sections").cast("long").alias("n_sections"))
 
 
-@query(f"""WITH {_SEARCH} SELECT q.vec_id AS query_id, CASE WHEN count(o_orderkey) FILTER (list = 'best') > 0 OR count(o_orderkey) FILTER (list = 'partial') = 0 THEN '' WHEN (q.vec_id // 20) % 5 = 3 THEN 'l_quantity gte 45; l_returnflag eq R' ELSE 'l_returnflag eq 7' END AS unmatched,
+@query(f"""WITH {_SEARCH} SELECT q.vec_id AS query_id, CASE WHEN count(o_orderkey) FILTER (list = 'best') > 0 OR count(o_orderkey) FILTER (list = 'partial') = 0 THEN '' WHEN (q.vec_id // 20) % 7 = 3 THEN 'l_quantity gte 45; l_returnflag eq R' WHEN (q.vec_id // 20) % 7 = 6 THEN 'flags includes_any A, X' ELSE 'l_returnflag eq 7' END AS unmatched,
 coalesce(string_agg(code, ',' ORDER BY place) FILTER (list = 'best'), '') AS best, coalesce(string_agg(code, ',' ORDER BY place) FILTER (list = 'partial'), '') AS partial, coalesce(string_agg(code, ',' ORDER BY place) FILTER (list = 'any' AND place <= 10), '') AS other
 FROM embeddings q JOIN x ON x.query_id = q.vec_id GROUP BY q.vec_id""")
 def search_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -523,7 +524,7 @@ _FIRST = lambda x, n: f"(SELECT l_orderkey, string_agg(v, ',' ORDER BY f) AS v F
 SELECT o_orderkey, {CODE} AS code, coalesce(a.v, '') AS terms, coalesce(b.v, '') AS meets, (SELECT max_by(nullif(l_discount, 0), (l_shipdate, -o)) FILTER (nullif(l_discount, 0) IS NOT NULL) FROM s WHERE s.l_orderkey = o_orderkey) AS discount,
 (SELECT max_by(l_quantity, (l_shipdate, -o)) FROM s WHERE s.l_orderkey = o_orderkey) AS quantity FROM orders LEFT JOIN {_FIRST(_TERM, 5)} a ON a.l_orderkey = o_orderkey LEFT JOIN {_FIRST("l_returnflag", 2)} b ON b.l_orderkey = o_orderkey""")
 def record_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record's first distinct terms and patterns, and of each field the latest value there is."""
+    """A4, A5: a record's first distinct terms and patterns, and of each field the latest value there is."""
     part = lambda s: F.floor(F.month(s["l_shipdate"]) / 4)
     season = lambda s: F.when(part(s) == 0, "Spring").when(part(s) == 1, "Summer").when(part(s) == 2, "Fall").otherwise("Winter")
     firsts = lambda f, n: F.array_join(F.slice(F.array_distinct(F.transform("sections", f)), 1, n), ",")
