@@ -3,19 +3,24 @@
 Each shard (a run of texts of bounded size) gets an index over its words: the words' codes are sorted
 as suffixes, and a wavelet tree over the last column answers ranks. Benchmark phrases are searched
 backward, occurrences located by sampled suffix positions, compared word by word with the text, and
-merged into removal spans. Phrases come in broadcast blocks of bounded size, one pass over the shards per
-block, so nothing is shuffled. Where there are several blocks, each pass is written and its block dropped before
-the next is made, so driver and executors hold one block at a time.
+merged into removal spans. Phrases come in broadcast blocks of bounded size. One block (the usual case) is one
+pass over the texts, and nothing is shuffled or written. Where there are several, shards are written once with their
+indexes; each block is one pass over these that writes hits alone and is dropped before the next is made, so driver and
+executors hold one block at a time; at last each shard gets its hits by a join.
 """
 
 from __future__ import annotations
 
+import itertools
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,26 +80,40 @@ def blocks(bench: DataFrame, id_col: str, text_col: str, window: int, size: int)
         yield Block(phrases)
 
 
-def search(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
+class Shard:
+    """The words of a run of texts, coded, and where each lies among the codes; code 1 closes each text, so that no phrase crosses texts."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, index: Index | None = None):
+        self.data, self.starts, self.ends = data, starts, ends
+        self.known, codes = np.unique(windows.word_hashes(data, starts, ends), return_inverse=True)
+        self.moved = np.arange(len(codes)) + np.searchsorted(bounds[1:], np.arange(len(codes)), "right")
+        self.codes, self.closings, self.index = codes, len(bounds) - 1, index
+
+    def indexed(self) -> Index | None:
+        if self.index is None and len(self.codes):
+            closed = np.ones(len(self.codes) + self.closings, np.int64)
+            closed[self.moved] = self.codes + 2
+            self.index = Index(closed)
+        return self.index
+
+
+def search(shard: Shard, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(first word, phrase) of every occurrence in a shard of lower-cased bytes; words are counted over the shard."""
     nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(starts) or not len(block):
+    if not len(shard.codes) or not len(block):
         return nothing
-    known, codes = np.unique(windows.word_hashes(data, starts, ends), return_inverse=True)
+    known = shard.known
     place = np.minimum(np.searchsorted(known, block.hashes), len(known) - 1)
     used = np.arange(block.hashes.shape[1]) >= block.hashes.shape[1] - block.sizes[:, None]
     sought = np.flatnonzero(((known[place] == block.hashes) | ~used).all(1))
     if not len(sought):
         return nothing
-    # Code 1 closes each text, so that no phrase crosses texts.
-    closed = np.ones(len(codes) + len(bounds) - 1, np.int64)
-    moved = np.arange(len(codes)) + np.searchsorted(bounds[1:], np.arange(len(codes)), "right")
-    closed[moved] = codes + 2
-    index = Index(closed)
+    index = shard.indexed()
     low, high = index.search(place[sought] + 2, block.sizes[sought])
     counts = np.maximum(high - low, 0)
     at = index.locate(np.repeat(low, counts) + windows.ragged(counts))
-    first, phrase = np.searchsorted(moved, at), np.repeat(sought, counts)
+    first, phrase = np.searchsorted(shard.moved, at), np.repeat(sought, counts)
+    starts, ends, data = shard.starts, shard.ends, shard.data
     same = [block.phrase(p) == b" ".join(WORDS.findall(data[starts[f] : ends[f + block.sizes[p] - 1]].tobytes())) for f, p in zip(first.tolist(), phrase.tolist(), strict=True)]
     same = np.array(same, bool)
     return first[same], phrase[same]
@@ -134,45 +153,106 @@ def find_benchmark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_c
 
 
 def _passes(found: DataFrame, schema: str, own: Iterator[Block], window: int) -> DataFrame:
-    """The hits of all blocks added to rows of `found`: one pass a block (an empty one, if there is none, counts the words)."""
+    """The hits of all blocks added to rows of `found` (an empty block, if there is none, counts the words)."""
     context = found.sparkSession.sparkContext
     now = next(own, None) or Block({})
-    while True:
-        one, now = context.broadcast(now), next(own, None)
-        found = found.mapInArrow(_pass(one, window), schema)
-        if now is None:
-            return found
-        found = common.written(found)
+    more = next(own, None)
+    if more is None:
+        return found.mapInArrow(_pass(context.broadcast(now), window), schema)
+    shards, hits = common.written(found.mapInArrow(_sharded(window), "shard long, rows binary, indexes binary"), common.FILE_GROUPS), []
+    for block in itertools.chain([now, more], own):
+        one = context.broadcast(block)
+        hits.append(common.written(shards.mapInArrow(_hits(one, window), "shard long, row int, first int, last int, items array<string>")))
         one.destroy()
+    all_ = hits[0]
+    for more_hits in hits[1:]:
+        all_ = all_.unionByName(more_hits)
+    of_shard = common.written(all_.groupBy("shard").agg(F.collect_list(F.struct("row", "first", "last", "items")).alias("found")))
+    common.forget(*hits)
+    return shards.drop("indexes").join(of_shard, "shard", "left").mapInArrow(_with_hits(), schema)
+
+
+def _shards(part: pa.RecordBatch, window: int, indexes: list[Index | None] | None = None) -> Iterator[tuple[int, np.ndarray, Shard]]:
+    """(word number of the first word, bounds, shard) of a run of texts."""
+    data, offsets = common.text_bytes(part.column(part.schema.get_field_index("text")))
+    for n, (_, base, own, starts, ends, bounds) in enumerate(parts(windows.LOWER[data], offsets, window)):
+        yield base, bounds, Shard(own, starts, ends, bounds, indexes[n] if indexes else None)
+
+
+def _found(part: pa.RecordBatch, shards: Iterator[tuple[int, np.ndarray, Shard]], block: Block) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """(words of each text; (text, first word, one beyond the last, phrase) of each occurrence)."""
+    n_words, out = np.zeros(part.num_rows, np.int64), []
+    for base, bounds, shard in shards:
+        if len(bounds) == part.num_rows + 1:
+            n_words = np.maximum(n_words, np.diff(bounds) + base)
+        first, phrase = search(shard, block)
+        doc = np.searchsorted(bounds, first, "right") - 1
+        begin = first - bounds[doc] + base
+        out += [(d, a, a + int(block.sizes[p]), p) for d, a, p in zip(doc.tolist(), begin.tolist(), phrase.tolist(), strict=True)]
+    return n_words, out
+
+
+def _told(part: pa.RecordBatch, n_words: np.ndarray, hits: list[tuple[int, int, int, list[str]]]) -> pa.RecordBatch:
+    """The rows with their words counted and their hits (row, first, last, items); further columns go through."""
+    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    items: dict[int, set[str]] = defaultdict(set)
+    for d, a, b, names in hits:
+        runs[d].append((a, b))
+        items[d].update(names)
+    hit = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    spans = pa.array([[{"first": a, "last": b} for a, b in merged(runs[d])] if d in runs else [] for d in range(part.num_rows)], hit)
+    names = pa.array([sorted(items[d]) if d in items else [] for d in range(part.num_rows)], pa.list_(pa.string()))
+    rest = [c for c in part.schema.names if c not in ("doc_id", "text", "n_words", "hits", "items")]
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(n_words), spans, names, *map(part.column, rest)], names=["doc_id", "text", "n_words", "hits", "items", *rest])
 
 
 def _pass(one, window: int):
-    """One block's hits added to rows of FOUND_SQL; further columns go through."""
-    hit = pa.struct([("first", pa.int32()), ("last", pa.int32())])
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = one.value
         for part in common.slices(batches, limit=SHARD_BYTES):
-            data, offsets = common.text_bytes(part.column("text"))
-            data = windows.LOWER[data]
-            n_words = np.zeros(part.num_rows, np.int64)
-            runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            items: dict[int, set[str]] = defaultdict(set)
-            for _, base, own, starts, ends, bounds in parts(data, offsets, window):
-                if len(bounds) == part.num_rows + 1:
-                    n_words = np.maximum(n_words, np.diff(bounds) + base)
-                first, phrase = search(own, starts, ends, bounds, block)
-                doc = np.searchsorted(bounds, first, "right") - 1
-                begin = first - bounds[doc] + base
-                for d, a, p in zip(doc.tolist(), begin.tolist(), phrase.tolist(), strict=True):
-                    runs[d].append((a, a + int(block.sizes[p])))
-                    items[d].update(block.items[p])
-            hits, names = part.column("hits").to_pylist(), part.column("items").to_pylist()
-            for d in runs:
-                hits[d] = [{"first": a, "last": b} for a, b in merged(runs[d] + [(h["first"], h["last"]) for h in hits[d]])]
-                names[d] = sorted(items[d].union(names[d]))
-            rest = [c for c in part.schema.names if c not in ("doc_id", "text", "n_words", "hits", "items")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(n_words), pa.array(hits, pa.list_(hit)), pa.array(names, pa.list_(pa.string())), *map(part.column, rest)], names=["doc_id", "text", "n_words", "hits", "items", *rest])
+            n_words, found = _found(part, _shards(part, window), block)
+            yield _told(part, n_words, [(d, a, b, block.items[p]) for d, a, b, p in found])
+
+    return work
+
+
+def _sharded(window: int):
+    """Each shard's rows, with their words counted, and its indexes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, base, none = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 29, Block({})
+        for n, part in enumerate(common.slices(batches, limit=SHARD_BYTES)):
+            own = list(_shards(part, window))
+            indexes = squeeze.compress(pickle.dumps([shard.indexed() for _, _, shard in own], protocol=5))
+            rows, sink = _told(part, _found(part, iter(own), none)[0], []), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([indexes], pa.binary())], names=["shard", "rows", "indexes"])
+
+    return work
+
+
+def _hits(one, window: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = one.value
+        for batch in batches:
+            for number, rows, indexes in zip(batch.column("shard").to_pylist(), batch.column("rows"), batch.column("indexes"), strict=True):
+                part = common.ungrouped(rows)
+                own = pickle.loads(zstandard.ZstdDecompressor().decompress(indexes.as_py()))
+                found = _found(part, _shards(part, window, own), block)[1]
+                if found:
+                    d, a, b, p = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(d), pa.int64()), pa.array(d, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array([block.items[x] for x in p], pa.list_(pa.string()))], names=["shard", "row", "first", "last", "items"])
+
+    return work
+
+
+def _with_hits():
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, found in zip(batch.column("rows"), batch.column("found").to_pylist(), strict=True):
+                part = common.ungrouped(rows)
+                yield _told(part, np.asarray(part.column("n_words")), [(h["row"], h["first"], h["last"], h["items"]) for h in found or []])
 
     return work
 
@@ -196,7 +276,7 @@ def remove_spans(text: str, hits: list[tuple[int, int]]) -> str:
 def remove_benchmark(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs`, all columns, with removal spans cut from `text` and n_chars, if there, set anew.
 
-    The index sees each text once for each block of phrases; a row's other columns go through as they are.
+    Each text is indexed once; a row's other columns go through as they are.
     """
     common.small_batches(docs.sparkSession)
     fields, names = docs.schema, docs.columns
