@@ -40,8 +40,8 @@ def test_op7_on_held_out_documents(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = found.join(labels, "doc_id").filter("held_out").collect()
     true = sum(r.toxic and r.predicted for r in rows)
-    # Of these 144 toxic documents a dozen show nothing that clean ones don't (see README).
-    assert true / sum(r.predicted for r in rows) >= 0.9 and true / sum(r.toxic for r in rows) >= 0.84
+    # Of these 144 toxic documents ten were made junk of and show nothing that clean ones don't (see README).
+    assert true / sum(r.predicted for r in rows) >= 0.9 and true / sum(r.toxic for r in rows) >= 0.89
     texts = dict(documents(spark, sf))
     words = Counter(texts[r.doc_id][a:b].lower() for r in rows if r.toxic and r.offsets for a, b in (map(int, x.split(":")) for x in r.offsets.split(",")))
     assert {"stupid", "idiot", "loser", "worthless"} <= {w for w, n in words.items() if n > 10}

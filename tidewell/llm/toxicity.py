@@ -23,11 +23,11 @@ from . import common, windows
 #: The sample: labelled documents of each label at most, and characters of one.
 SAMPLE, SAMPLE_CHARS = 2500, 50_000
 #: Bits of the feature table, and bytes of a word's beginnings that are features too (of longer words only).
-WORD_BITS, STARTS = 18, (5, 6, 7, 9)
+WORD_BITS, STARTS = 18, (7, 9)
 #: Words of a training segment, segments at most, the share of them kept for segments without toxic words, rounds of the fit.
 SEGMENT, SEGMENTS, CLEAN_SHARE, ROUNDS = 32, 12_000, 0.4, 60
 #: A word is toxic in a toxic document from this ratio of document frequencies and so many documents on.
-RATIO, LEAST_DOCS = 20.0, 5
+RATIO, LEAST_DOCS = 20.0, 3
 #: Texts of the sample that are hashed, counted or tagged at once.
 PART = 100
 THRESHOLD, SLICE_BYTES = 0.7, 2 << 20
