@@ -92,6 +92,9 @@ def test_op2(spark, sf, edge, edge_rows, none):
     assert found.filter("n_chunks > 1").count() > 0.85 * found.count()
     assert by_row(media.media_column(edge), *columns) == Counter((i, *media_of(t)) for i, t in edge_rows)
     assert media.media_column(none).count() == 0
+    # What was stored is read in place: only what goes back to the batches is dealt.
+    plan = media.read_back(media.stored(edge))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 2
 
 
 def test_chunks_dedup(spark, edge):

@@ -6,7 +6,8 @@ import ctypes
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +170,22 @@ def by_key(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...]
     release()
 
 
+def in_runs(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...], weight: Callable[[tuple], int], most: int) -> Iterator[tuple[int, list[tuple]]]:
+    """As by_key, but a key's rows come in several lists of about `most` by weight."""
+    now, own, size = None, [], 0
+    for batch in batches:
+        for value, *row in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
+            if own and (value != now or size >= most):
+                yield now, own
+                own, size = [], 0
+            now = value
+            own.append(tuple(row))
+            size += weight(own[-1])
+    if own:
+        yield now, own
+    release()
+
+
 def planes(x: np.ndarray) -> bytes:
     """Numbers below 2**32, their bytes apart, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
@@ -179,16 +196,23 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(apart.T).view("<u4").ravel().astype(np.int64)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While a table is written: what is shuffled for it is deleted once it is there, as nothing will read it again."""
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(clean, before)
+
+
 def written(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """The same rows, read from a compressed table in the shared folder: cuts the lineage, and survives lost executors. A file's rows are read in batches, so large rows ask for few in a file."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(clean, "false")
-    conf.set(clean, "true")  # what was shuffled for the table is of no further use
-    try:
+    with shuffles_dropped(df.sparkSession):
         df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
-    finally:
-        conf.set(clean, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

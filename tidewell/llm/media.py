@@ -3,9 +3,12 @@
 A payload is stored as a WAV file of 8-bit mono samples. A rolling gear hash over the payload cuts it into chunks of
 some hundred bytes; the file's header, which tells its length and so is other for most near copies, is kept in the
 file's list. Texts are handled in batches: a batch sends its distinct chunks, packed and compressed, to buckets of
-their digests (128 bits of SHA-256). Where a bucket's chunks meet, each digest is kept once, and each batch gets back
-what its lists name, from the one that is kept. The lists put the chunks together; length and SHA-256 of each whole
-file are verified, and the features computed from the samples read back.
+their digests (128 bits of SHA-256). Where a bucket's chunks meet, each digest is kept once, and the store is written: a
+table of chunks (digests and bytes), of what each batch asks for, and of the batches' ordered lists, in files by bucket.
+
+Files are read back from that table: Spark joins what batches ask for with the chunks, bucket by bucket and without
+dealing either side again, and the lists put the chunks together; length and SHA-256 of each whole file are verified, and
+the features computed from the samples read back.
 
 Bytes move in two shuffles: by digest, and back by batch. Payloads, cuts and digests are computed once.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -113,10 +117,15 @@ DESCRIBED = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), (
 DESCRIBED_SQL = "said struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>"
 #: The list of a batch: its rows, the file of each, and of each file its header, digest, text bytes and chunks.
 _FILES = pa.schema([("doc_ids", pa.list_(pa.int64())), ("file", pa.list_(pa.int32())), ("n_bytes", pa.list_(pa.int64())), ("headers", pa.binary()), ("whole", pa.binary()), ("n_chunks", pa.list_(pa.int32())), ("chunks", pa.list_(pa.int32()))])
-#: What travels: places of chunks among a batch's distinct ones, their digests, lengths and bytes; or the list of a batch.
-_SENT = ("batch", "places", "digests", "lengths", "bytes", "files")
-_SENT_SQL = "bucket int, batch long, places binary, digests binary, lengths binary, bytes binary, files binary"
+#: What travels: places of chunks among a batch's distinct ones, their lengths and bytes (digests follow from these); or the list of a batch.
+_SENT = ("batch", "places", "lengths", "bytes", "files")
+_SENT_SQL = "bucket int, batch long, places binary, lengths binary, bytes binary, files binary"
 _BACK_SQL = "batch long, places binary, lengths binary, bytes binary, files binary"
+#: The store's rows, by kind: `chunks` (digests, lengths and bytes of a bucket's chunks), `asked` (which batch wants which: places in its list, slots in the bucket), `lists` (files of a batch).
+_STORE = ("kind", "bucket", "batch", "places", "slots", "digests", "lengths", "bytes")
+_STORE_SQL = "kind string, bucket int, batch long, places binary, slots binary, digests binary, lengths binary, bytes binary"
+#: Files of the store at most; a file has several buckets beyond that.
+MOST_FILES = 4096
 
 
 def chunked(rows: DataFrame, buckets: int) -> DataFrame:
@@ -125,7 +134,7 @@ def chunked(rows: DataFrame, buckets: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
         base = TaskContext.get().partitionId() << 29
-        packed = lambda *row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=["bucket", *_SENT])
+        packed = lambda *row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int64(), *[pa.binary()] * 4], strict=True)], names=["bucket", *_SENT])
         for n, part in enumerate(common.slices(batches, limit=BATCH_BYTES)):
             number: dict[bytes, int] = {}
             pieces: list[bytes] = []
@@ -152,7 +161,7 @@ def chunked(rows: DataFrame, buckets: int) -> DataFrame:
             with pa.ipc.new_stream(sink, _FILES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 row = [part.column("doc_id").to_pylist(), file, n_bytes, b"".join(headers), b"".join(wholes), n_chunks, chunks]
                 out.write_batch(pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _FILES, strict=True)], schema=_FILES))
-            yield packed((base + n) % buckets, base + n, b"", b"", b"", b"", sink.getvalue().to_pybytes())
+            yield packed((base + n) % buckets, base + n, b"", b"", b"", sink.getvalue().to_pybytes())
             digests = np.frombuffer(b"".join(number), np.uint8).reshape(-1, DIGEST)
             bucket = np.ascontiguousarray(digests[:, :8]).view("<u8").ravel() % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -160,7 +169,7 @@ def chunked(rows: DataFrame, buckets: int) -> DataFrame:
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 own = order[bounds[b] : bounds[b + 1]]
                 some = [pieces[k] for k in own.tolist()]
-                yield packed(b, base + n, sketch.steps(own), digests[own].tobytes(), common.planes(np.array(list(map(len, some)))), squeeze.compress(b"".join(some)), b"")
+                yield packed(b, base + n, sketch.steps(own), common.planes(np.array(list(map(len, some)))), squeeze.compress(b"".join(some)), b"")
 
     return rows.mapInArrow(work, _SENT_SQL)
 
@@ -176,45 +185,76 @@ def digests_of(data: bytes) -> list[bytes]:
     return [data[k : k + DIGEST] for k in range(0, len(data), DIGEST)]
 
 
+def _deduplicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's chunks, each once, and what each batch asks of them; lists go through."""
+    squeeze = zstandard.ZstdCompressor(level=LEVEL)
+    kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    row = lambda *values: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=list(_STORE))
+    for bucket, own in common.by_key(batches, "bucket", _SENT):
+        slot: dict[bytes, int] = {}
+        pieces: list[bytes] = []
+        for batch, places, lengths, data, files in own:
+            if files:
+                yield row("lists", bucket, batch, b"", b"", b"", b"", files)
+                continue
+            slots = []
+            for piece in cut_at(data, lengths):
+                digest = hashlib.sha256(piece).digest()[:DIGEST]
+                if (k := slot.get(digest)) is None:
+                    slot[digest] = k = len(pieces)
+                    pieces.append(piece)
+                slots.append(k)
+            yield row("asked", bucket, batch, places, common.planes(np.array(slots)), b"", b"", b"")
+        if pieces:
+            yield row("chunks", bucket, None, b"", b"", b"".join(slot), common.planes(np.array(list(map(len, pieces)))), squeeze.compress(b"".join(pieces)))
+
+
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the store of all texts' media to the shared folder, as a table in files by bucket, and gives its rows (columns as in _STORE)."""
+    spark, rows = docs.sparkSession, common.id_text(docs, id_col, text_col)
+    buckets = int(max(64, sketch.text_bytes(rows) // BUCKET_BYTES))
+    files = min(buckets, MOST_FILES)
+    name = f"chunks_{uuid.uuid4().hex}"
+    met = chunked(rows, buckets).repartition(files, "bucket").sortWithinPartitions("bucket").mapInArrow(_deduplicated, _STORE_SQL)
+    with common.shuffles_dropped(spark):
+        met.write.option("compression", "zstd").option("path", f"{common.shared_folder(spark)}/{name}").partitionBy("kind").bucketBy(files, "bucket").saveAsTable(name)
+    return spark.table(name)
+
+
 def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The store: each distinct chunk once (digest, bytes)."""
+    """The store's chunks: each distinct one once (digest, bytes)."""
+    return chunks_of(stored(docs, id_col, text_col))
+
 
+def chunks_of(store: DataFrame) -> DataFrame:
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for digests, lengths, data in zip(*(part.column(c).to_pylist() for c in ("digests", "lengths", "bytes")), strict=True):
-                if digests:
-                    yield pa.RecordBatch.from_arrays([pa.array(digests_of(digests), pa.binary()), pa.array(cut_at(data, lengths), pa.binary())], names=["digest", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests_of(digests), pa.binary()), pa.array(cut_at(data, lengths), pa.binary())], names=["digest", "bytes"])
 
-    rows = common.id_text(docs, id_col, text_col)
-    return chunked(rows, 64).mapInArrow(single, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes"))
+    return store.filter("kind = 'chunks'").select("digests", "lengths", "bytes").mapInArrow(single, "digest binary, bytes binary")
 
 
-def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text as media in the chunk store and reads it back: one row per row of `docs`.
+def _answered(chunks: pa.Table, asked: pa.Table) -> pa.Table:
+    """What each batch asks of a bucket, from the bucket's chunks."""
+    squeeze, out = zstandard.ZstdCompressor(level=LEVEL), []
+    pieces = [p for data, lengths in zip(chunks["bytes"].to_pylist(), chunks["lengths"].to_pylist(), strict=True) for p in cut_at(data, lengths)]
+    for batch, places, slots in zip(asked["batch"].to_pylist(), asked["places"].to_pylist(), asked["slots"].to_pylist(), strict=True):
+        own = [pieces[k] for k in common.unplanes(slots).tolist()]
+        out.append((batch, places, common.planes(np.array(list(map(len, own)))), squeeze.compress(b"".join(own)), b""))
+    columns = list(zip(*out, strict=True)) or [()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.binary()] * 4], strict=True)], names=["batch", "places", "lengths", "bytes", "files"])
 
-    A null or empty text is one unit of padding. Repeated rows stay, each with its result; equal texts have
-    equal values whatever their ids. A null id stays null.
-    """
-    rows = common.id_text(docs, id_col, text_col)
-    buckets = int(max(64, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
-    names = ["batch", "places", "lengths", "bytes", "files"]
 
-    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A bucket keeps each chunk once and answers each batch from what it keeps."""
-        squeeze = zstandard.ZstdCompressor(level=LEVEL)
-        for _, own in common.by_key(batches, "bucket", _SENT):
-            store: dict[bytes, bytes] = {}
-            for batch, places, digests, lengths, data, files in own:
-                if digests:
-                    digests = digests_of(digests)
-                    for d, piece in zip(digests, cut_at(data, lengths), strict=True):
-                        store.setdefault(d, piece)
-                    kept = [store[d] for d in digests]
-                    lengths, data = common.planes(np.array(list(map(len, kept)))), squeeze.compress(b"".join(kept))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((batch, places, lengths, data, files), [pa.int64(), *[pa.binary()] * 4], strict=True)], names=names)
+def read_back(store: DataFrame) -> DataFrame:
+    """doc_id, n_chunks and what is said of its file, of every row that was stored, from the stored chunks alone."""
+    of = lambda kind, *columns: store.filter(F.col("kind") == kind).select("bucket", *columns)
+    joined = of("chunks", "lengths", "bytes").groupBy("bucket").cogroup(of("asked", "batch", "places", "slots").groupBy("bucket")).applyInArrow(_answered, _BACK_SQL)
+    empty = F.lit(b"")
+    lists = of("lists", "batch", "bytes").select("batch", empty.alias("places"), empty.alias("lengths"), empty.alias("bytes"), F.col("bytes").alias("files"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in common.by_key(batches, "batch", tuple(names[1:])):
+        for _, own in common.by_key(batches, "batch", ("places", "lengths", "bytes", "files")):
             pieces: dict[int, bytes] = {}
             for places, lengths, data, files in own:
                 if files:
@@ -230,6 +270,14 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 files = listed["file"][k : k + 1000]
                 yield pa.RecordBatch.from_arrays([pa.array(listed["doc_ids"][k : k + 1000], pa.int64()), pa.array([listed["n_chunks"][f] for f in files], pa.int32()), pa.array([said[f] for f in files], DESCRIBED)], names=["doc_id", "n_chunks", "said"])
 
-    met = chunked(rows, buckets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(stored, _BACK_SQL)
-    files = met.repartition("batch").sortWithinPartitions("batch").mapInArrow(read, f"doc_id long, n_chunks int, {DESCRIBED_SQL}")
-    return files.select("doc_id", "said.*", "n_chunks")
+    back = joined.unionByName(lists).repartition("batch").sortWithinPartitions("batch")
+    return back.mapInArrow(read, f"doc_id long, n_chunks int, {DESCRIBED_SQL}")
+
+
+def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores every text as media in the chunk store and reads it back: one row per row of `docs`.
+
+    A null or empty text is one unit of padding. Repeated rows stay, each with its result; equal texts have
+    equal values whatever their ids. A null id stays null. The store stays in the shared folder, as the result reads it.
+    """
+    return read_back(stored(docs, id_col, text_col)).select("doc_id", "said.*", "n_chunks")
