@@ -136,9 +136,9 @@ def test_sketch_loses_no_repeat(spark):
     rows = spark.range(0, 40_000, 1, 6).selectExpr("id as doc_id", "id as key", "cast(id % 30000 as string) as text")
     hashes = lambda part: windows.mixed(np.array(part.column("text").to_pylist()).astype(np.uint64) + np.uint64(1))
     groups = common.grouped(rows, 20_000)
-    for cells, most in ((8, 0.05), (0.5, 0.95)):
+    for cells, most, full in ((8, 0.05, 1), (0.5, 0.95, 1), (8, 0.05, 10**9)):  # the last in two steps
         passed, powers = Counter(), {}
-        for r in groups.join(sketch.told(groups, hashes, 40_000, 1000, cells), "group", "left").collect():
+        for r in groups.join(sketch.told(groups, hashes, 40_000, 1000, cells, full=full), "group", "left").collect():
             own = hashes(common.ungrouped(pa.scalar(bytes(r.data), pa.binary())))
             known, power = sketch.repeated(own, r.told and [{"places": bytes(t.places), "powers": bytes(t.powers)} for t in r.told])
             passed.update(own[sketch.among(own, known)].tolist())
@@ -148,6 +148,17 @@ def test_sketch_loses_no_repeat(spark):
         assert (may[:10_000] == 2).all() and (may[10_000:] > 0).mean() < most
 
 
+def test_sketch_rows_stay_full_however_many_buckets(spark):
+    """Bytes an entry where a task holds 2,000 entries for 100 buckets: in one step 20 a row, in two about 200, as if it held ten times as many."""
+    rows = spark.range(0, 100_000, 1, 4).selectExpr("id as doc_id", "id as key", "cast(id as string) as text")
+    hashes = lambda part: windows.mixed(np.array(part.column("text").to_pylist()).astype(np.uint64) + np.uint64(1))
+    groups = common.grouped(rows, 5000)
+    size = lambda held, full: sketch.entries(groups, hashes, 100, held, full).selectExpr("sum(length(groups) + length(sizes) + length(places) + length(prints) + length(counts) + 16)").first()[0] / 100_000
+    one, two, ample = size(2000, 1), size(2000, 256), size(20_000, 1)
+    print("bytes an entry in one step, in two, and with ten times the room:", one, two, ample)
+    assert two < 1.25 * ample and one > 1.4 * two, (one, two, ample)
+
+
 def test_groups_keep_rows(spark, edge, edge_rows, none):
     rows = common.id_text(edge).withColumn("key", common.text_key())
     for limit in (100, 1 << 20):

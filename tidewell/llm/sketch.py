@@ -5,6 +5,10 @@ hashes. A bucket merges what all partitions sent into the rows of a count-min sk
 own hashes: which of them are counted at least twice, and about how often. A count is never less than the true one,
 so no repeat is lost, and equal hashes get equal answers. Buckets grow in number with the input and not in size; no
 sketch is broadcast or brought to the driver. A hash that all texts have is one entry for each group.
+
+A packed row is worth its overhead from some hundred entries on. Where there are more buckets than a task can fill rows
+for, entries go to ranges of buckets first, and there, gathered from many tasks, to their buckets: two shuffles of full
+rows in place of one of nearly empty ones, whatever the number of buckets.
 """
 
 from __future__ import annotations
@@ -20,7 +24,10 @@ from . import common, windows
 
 #: An entry is told by 32 bits of its hash, besides its bucket. Rows of a sketch, cells of a row for each entry, entries of a bucket (expected), and entries that a task holds before it sends.
 DEPTH, CELLS, BUCKET, HELD = 2, 8, 1_000_000, 1_500_000
+#: Entries of a row on average, below which buckets are dealt in two steps.
+FULL = 256
 _SENT = ("groups", "sizes", "places", "prints", "counts")
+_SQL = "bucket int, " + ", ".join(f"{c} binary" for c in (*_SENT, "keys"))
 
 
 def estimates(prints: np.ndarray, counts: np.ndarray, cells: float = CELLS) -> np.ndarray:
@@ -48,52 +55,75 @@ def unsteps(data: bytes, heads: np.ndarray = np.zeros(1, np.int64)) -> np.ndarra
     return sums - np.repeat(before, np.diff(np.append(heads, len(out))))
 
 
-def told(groups: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expected: int, bucket: int = BUCKET, cells: float = CELLS) -> DataFrame:
-    """group, told: for each group, where in its distinct hashes, ascending, those lie that are counted at least twice, and the power of two of their counts.
+def packed(group: np.ndarray, place: np.ndarray, prints: np.ndarray, counts: np.ndarray, key: np.ndarray, to: np.ndarray, names: int, keyed: bool) -> Iterator[pa.RecordBatch]:
+    """Entries as rows, one for each of the `names` places they go to (`to`); a group's entries lie together and in order. With their buckets, if they have further to go."""
+    order = np.argsort(to, kind="stable")
+    bounds = np.searchsorted(to[order], np.arange(names + 1))
+    rows = []
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
+        some = order[bounds[b] : bounds[b + 1]]
+        mine = group[some]
+        heads = np.flatnonzero(np.concatenate([[True], (mine[1:] != mine[:-1]) | (place[some][1:] <= place[some][:-1])]))
+        sizes = np.diff(np.append(heads, len(some)))
+        rows.append((b, mine[heads].tobytes(), common.planes(sizes), steps(place[some], heads), prints[some].astype("<u4").tobytes(), common.planes(counts[some]), common.planes(key[some]) if keyed else b""))
+    for at in range(0, len(rows), 500):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 500], strict=True), [pa.int32(), *[pa.binary()] * 6], strict=True)], names=["bucket", *_SENT, "keys"])
 
-    `hashes` gives a group's hashes, as often as they count; groups of which no hash repeats have no row.
-    """
-    buckets = int(max(64, expected // bucket))
-
-    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        groups_, own, counts = zip(*held, strict=True)
-        groups_, sizes = np.array(groups_, np.int64), np.array([len(x) for x in own])
-        mixed = windows.mixed(np.concatenate(own) ^ np.uint64(0x5851F42D4C957F2D))
-        counts, group, place = np.concatenate(counts), np.repeat(np.arange(len(sizes)), sizes), windows.ragged(sizes)
-        key = (mixed % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
-        order = np.argsort(key, kind="stable")
-        bounds = np.searchsorted(key[order], np.arange(buckets + 1))
-        rows = []
-        for b in np.flatnonzero(np.diff(bounds)).tolist():
-            some = order[bounds[b] : bounds[b + 1]]
-            mine = group[some]
-            heads = np.flatnonzero(np.diff(mine, prepend=-1))
-            sizes_ = np.diff(np.append(heads, len(some)))
-            prints = (mixed[some] >> np.uint64(32)).astype("<u4")
-            rows.append((b, groups_[mine[heads]].tobytes(), common.planes(sizes_), steps(place[some], heads), prints.tobytes(), common.planes(counts[some])))
-        for at in range(0, len(rows), 500):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 500], strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["bucket", *_SENT])
+
+def unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, place, print, count) of a row's entries."""
+    sizes = common.unplanes(row[1])
+    return np.repeat(np.frombuffer(row[0], "<i8"), sizes), unsteps(row[2], np.cumsum(sizes) - sizes), np.frombuffer(row[3], "<u4"), common.unplanes(row[4])
+
+
+def entries(groups: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], buckets: int, held: int = HELD, full: int = FULL) -> DataFrame:
+    """The groups' entries as rows of a bucket each, dealt by bucket, in one step or two."""
+    fan = 1 if held >= full * buckets else int(np.ceil(np.sqrt(buckets)))  # buckets of a range
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        parts, size = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            group, hash_, counts = (np.concatenate(x) for x in zip(*((np.full(len(own), g), own, n) for g, own, n in parts), strict=True))
+            place = windows.ragged(np.array([len(own) for _, own, _ in parts]))
+            mixed = windows.mixed(hash_ ^ np.uint64(0x5851F42D4C957F2D))
+            key = (mixed % np.uint64(buckets)).astype(np.int64)
+            to = (key // fan).astype(np.uint16 if buckets <= fan << 16 else np.uint32)
+            yield from packed(group, place, (mixed >> np.uint64(32)).astype("<u4"), counts, key, to, -(-buckets // fan), fan > 1)
+
         for group, part in common.parts_of(batches):
             own, counts = np.unique(hashes(part), return_counts=True)
             if len(own):
-                held.append((group, own, counts))
+                parts.append((group, own, counts))
                 size += len(own)
-            if size >= HELD:
-                yield from sent(held)
-                held, size = [], 0
+            if size >= held:
+                yield from sent()
+                parts, size = [], 0
         if size:
-            yield from sent(held)
+            yield from sent()
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries of a range of buckets, gathered from many tasks, on to their buckets."""
+        for range_, rows in common.in_runs(batches, "bucket", (*_SENT, "keys"), lambda row: len(row[3]) // 4, held):
+            group, place, prints, counts = (np.concatenate(x) for x in zip(*map(unpacked, rows), strict=True))
+            key = np.concatenate([common.unplanes(r[5]) for r in rows])
+            for part in packed(group, place, prints, counts, key, (key - range_ * fan).astype(np.uint16), fan, False):
+                yield part.set_column(0, "bucket", pa.array(np.asarray(part.column("bucket")) + range_ * fan, pa.int32()))
+
+    sent_ = groups.mapInArrow(partial, _SQL).repartition("bucket").sortWithinPartitions("bucket")
+    return sent_ if fan == 1 else sent_.mapInArrow(dealt, _SQL).repartition("bucket").sortWithinPartitions("bucket")
+
+
+def told(groups: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expected: int, bucket: int = BUCKET, cells: float = CELLS, held: int = HELD, full: int = FULL) -> DataFrame:
+    """group, told: for each group, where in its distinct hashes, ascending, those lie that are counted at least twice, and the power of two of their counts.
+
+    `hashes` gives a group's hashes, as often as they count; groups of which no hash repeats have no row.
+    """
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in common.by_key(batches, "bucket", _SENT):
-            sizes = [common.unplanes(r[1]) for r in rows]
-            group = np.concatenate([np.repeat(np.frombuffer(r[0], "<i8"), n) for r, n in zip(rows, sizes, strict=True)])
-            place = np.concatenate([unsteps(r[2], np.cumsum(n) - n) for r, n in zip(rows, sizes, strict=True)])
-            prints = np.concatenate([np.frombuffer(r[3], "<u4") for r in rows]).astype(np.uint64)
-            counts = estimates(windows.mixed(prints), np.concatenate([common.unplanes(r[4]) for r in rows]), cells)
+            group, place, prints, counts = (np.concatenate(x) for x in zip(*map(unpacked, rows), strict=True))
+            counts = estimates(windows.mixed(prints.astype(np.uint64)), counts, cells)
             on = np.flatnonzero(counts >= 2)
             on = on[np.lexsort((place[on], group[on]))]
             group, place, power = group[on], place[on], np.ceil(np.log2(np.maximum(counts[on], 2))).astype(np.uint8)
@@ -103,8 +133,7 @@ def told(groups: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expe
                 some = list(zip(heads[k : k + 1000].tolist(), ends[k : k + 1000].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(group[heads[k : k + 1000]]), pa.array([steps(place[a:b]) for a, b in some], pa.binary()), pa.array([power[a:b].tobytes() for a, b in some], pa.binary())], names=["group", "places", "powers"])
 
-    sql = "bucket int, " + ", ".join(f"{c} binary" for c in _SENT)
-    found = groups.mapInArrow(partial, sql).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answered, "group long, places binary, powers binary")
+    found = entries(groups, hashes, int(max(64, expected // bucket)), held, full).mapInArrow(answered, "group long, places binary, powers binary")
     return found.groupBy("group").agg(F.collect_list(F.struct("places", "powers")).alias("told"))
 
 
