@@ -33,9 +33,18 @@ def without(words: Column, stop: list[str]) -> Column:
     return F.filter(words, lambda t: ~t.isin(stop)) if stop else words
 
 
+def longer(runs: Column, words: Column, n: int) -> Column:
+    """Runs of n consecutive words, joined by a blank, from those of n - 1: each with the word behind it; none if there are fewer words."""
+    room = F.greatest(F.size(words) - n + 1, F.lit(0))
+    return F.zip_with(F.slice(runs, F.lit(1), room), F.slice(words, F.lit(n), room), lambda run, word: F.concat_ws(" ", run, word))
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n consecutive words, joined by a blank; none if there are fewer."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    out = words
+    for k in range(2, n + 1):
+        out = longer(out, words, k)
+    return out
 
 
 def code_prefix(code: Column) -> Column:

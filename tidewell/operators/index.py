@@ -37,12 +37,14 @@ def _put(rows: DataFrame, path: str, *by: str) -> None:
 
 
 def _write(postings: DataFrame, path: str) -> None:
-    """postings: word, term, doc_id, freq."""
+    """postings: word, term, doc_id, freq. Kept first, as cutting ranges reads what it cuts more than once."""
+    postings = kept(postings)
     _put(postings.select("word", "term", "doc_id", "freq"), f"{path}/postings", "word", "term", "doc_id")
     words = postings.select("word").distinct()
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - GRAM + 1), lambda i: F.substr(padded, i, F.lit(GRAM))))
     _put(words.select(F.explode(grams).alias("gram"), "word"), f"{path}/grams", "gram", "word")
+    dropped(postings)
 
 
 def add(docs: DataFrame, stop: list[str], path: str, most: int = 3, stemmed: bool = False, batch: int | None = None) -> bool:

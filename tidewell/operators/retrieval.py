@@ -118,8 +118,11 @@ def postings(docs: DataFrame, stop: list[str], most: int = 3, stemmed: bool = Fa
     """
     words = T.without(T.tokens(F.coalesce("text", F.lit(""))), stop)
     words = stem.stems(words) if stemmed else words
-    grams = F.concat("w", *(T.ngrams(F.col("w"), n) for n in range(2, most + 1)))
-    return docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(grams).alias("term")).repartition("term").groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
+    rows = docs.select("doc_id", words.alias("w"))
+    for n in range(2, most + 1):  # each length once, as a column of its own
+        rows = rows.withColumn(f"w{n}", T.longer(F.col("w" if n == 2 else f"w{n - 1}"), F.col("w"), n))
+    grams = F.concat("w", *(f"w{n}" for n in range(2, most + 1)))
+    return rows.select("doc_id", F.explode(grams).alias("term")).repartition("term").groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
 
 
 def folded(*indexes: DataFrame) -> DataFrame:
