@@ -129,7 +129,7 @@ i AS (SELECT term, doc_id, count(*) AS freq FROM g GROUP BY ALL)"""
 @query(f"WITH {_GRAMS} SELECT term, CAST(floor(doc_id / 1000) AS BIGINT) AS block, count(*) AS df, CAST(sum(freq) AS BIGINT) AS freq, string_agg(doc_id || ':' || freq, ' ' ORDER BY i.freq DESC, doc_id) AS postings FROM i GROUP BY term, floor(doc_id / 1000)")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All n-gram postings of all texts, a row for each term and thousand ids."""
-    return retrieval.merged(retrieval.postings(table(spark, sf_dir, "documents"), STOP))
+    return retrieval.merged(retrieval.postings(table(spark, sf_dir, "documents"), STOP, block=1000))
 
 
 def _index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> str:
@@ -399,7 +399,7 @@ _UNIGRAMS = f"u AS (SELECT doc_id, unnest({_STOPPED}) AS term FROM documents), i
 @query(f"WITH {_UNIGRAMS} SELECT term, CAST(floor(doc_id / 1000) AS BIGINT) AS block, term || ' | ' || string_agg(doc_id || ' ' || freq, ' ' ORDER BY freq DESC, doc_id) AS line FROM i GROUP BY term, floor(doc_id / 1000)")
 def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S14 (writing), A7: postings as lines of text, a line for each thousand ids."""
-    return retrieval.printed(retrieval.postings(table(spark, sf_dir, "documents"), STOP, 1))
+    return retrieval.printed(retrieval.postings(table(spark, sf_dir, "documents"), STOP, 1, block=1000))
 
 
 @query(f"WITH {_UNIGRAMS} SELECT term, doc_id, freq FROM i")

@@ -111,10 +111,11 @@ def staged(records: DataFrame, stages: list[Column], order: list[Column], key: s
     return records.withColumn("stage", stage).filter("stage is not null").orderBy("stage", *order, key).limit(k)
 
 
-def postings(docs: DataFrame, stop: list[str], most: int = 3, stemmed: bool = False) -> DataFrame:
+def postings(docs: DataFrame, stop: list[str], most: int = 3, stemmed: bool = False, block: int | None = None) -> DataFrame:
     """term, doc_id, freq of all n-grams of the texts' words, n up to `most`; words may be stemmed first.
 
-    N-grams move once, by term; they are counted where a term's meet, which the index by term needs anyway.
+    N-grams move once, by term; they are counted where a term's meet, which the index by term needs anyway. With `block`,
+    they move by term and block of so many consecutive ids (a column `block` then): a term that all texts have is spread.
     """
     words = T.without(T.tokens(F.coalesce("text", F.lit(""))), stop)
     words = stem.stems(words) if stemmed else words
@@ -122,7 +123,11 @@ def postings(docs: DataFrame, stop: list[str], most: int = 3, stemmed: bool = Fa
     for n in range(2, most + 1):  # each length once, as a column of its own
         rows = rows.withColumn(f"w{n}", T.longer(F.col("w" if n == 2 else f"w{n - 1}"), F.col("w"), n))
     grams = F.concat("w", *(f"w{n}" for n in range(2, most + 1)))
-    return rows.select("doc_id", F.explode(grams).alias("term")).repartition("term").groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
+    terms = rows.select("doc_id", F.explode(grams).alias("term"))
+    if block is None:
+        return terms.repartition("term").groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
+    by = ("term", "block")
+    return terms.withColumn("block", F.floor(F.col("doc_id") / block)).repartition(*by).groupBy(*by, "doc_id").agg(F.count("*").alias("freq"))
 
 
 def folded(*indexes: DataFrame) -> DataFrame:
@@ -130,11 +135,15 @@ def folded(*indexes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, indexes).groupBy("term", "doc_id").agg(F.sum("freq").alias("freq"))
 
 
+def _block(index: DataFrame, block: int) -> Column:
+    return F.col("block") if "block" in index.columns else F.floor(F.col("doc_id") / block).alias("block")
+
+
 def merged(index: DataFrame, block: int = 1000) -> DataFrame:
     """All postings of each term (most frequent first, then by id), in blocks of so many consecutive ids, with the block's documents and occurrences: no row grows with the corpus."""
     own = F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("f"), "doc_id")))
     said = F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["doc_id"], -x["f"])), " ")
-    return index.groupBy("term", F.floor(F.col("doc_id") / block).alias("block")).agg(F.count("*").alias("df"), F.sum("freq").alias("freq"), said.alias("postings"))
+    return index.groupBy("term", _block(index, block)).agg(F.count("*").alias("df"), F.sum("freq").alias("freq"), said.alias("postings"))
 
 
 def stored(index: DataFrame, path: str, folders: int = 64) -> None:
@@ -157,7 +166,7 @@ def printed(index: DataFrame, block: int = 1000) -> DataFrame:
     """Lines `term | id freq id freq ...`, most frequent first; a line holds the postings of `block` consecutive ids, so none grows with the corpus."""
     own = F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("f"), "doc_id")))
     line = F.concat(F.col("term"), F.lit(" | "), F.array_join(F.transform(own, lambda x: F.concat_ws(" ", x["doc_id"], -x["f"])), " "))
-    return index.groupBy("term", F.floor(F.col("doc_id") / block).alias("block")).agg(line.alias("line"))
+    return index.groupBy("term", _block(index, block)).agg(line.alias("line"))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
