@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import html
+from . import html, text
 
 
 def firsts(sections: Column, field: str, n: int, left_out: str | None = None) -> Column:
@@ -45,3 +45,18 @@ def query_vector(text: Column, filters: Column, vector: Column, dimensions: int)
     """A query's vector; zeros for one that says nothing but has filters (an array)."""
     blank = F.trim(F.coalesce(text, F.lit(""))) == ""
     return F.when(blank & (F.size(filters) > 0), F.array_repeat(F.lit(0.0), dimensions)).otherwise(vector.cast("array<double>"))
+
+
+# What a section's fields are without a value of their own.
+DEFAULTS = {"instr": "", "meets": "TBA", "meetingTimes": "[]", "start_date": "", "end_date": "", "permreq": "N", "schd": ""}
+
+
+def section(fields: dict[str, Column], optional: dict[str, Column] | None = None) -> Column:
+    """A section as the index has it: `crn` and `srcdb` with season, year and semester of the latter, the fields of DEFAULTS (null, empty or not among `fields`: the default), the days of its pattern, and optional fields as they are, null where there is nothing."""
+    code = F.coalesce(fields["srcdb"], F.lit(""))
+    name = F.when(code == "", F.lit("")).otherwise(text.term_name(code))
+    filled = {n: F.coalesce(F.nullif(fields.get(n, F.lit(None)).cast("string"), F.lit("")), F.lit(d)) for n, d in DEFAULTS.items()}
+    return F.struct(
+        fields["crn"].alias("crn"), code.alias("srcdb"), F.substring_index(name, " ", 1).alias("season"), F.substring(code, 1, 4).try_cast("int").alias("year"), name.alias("semester"),
+        *(c.alias(n) for n, c in filled.items()), text.week_days(filled["meets"]).alias("days"), *(c.alias(n) for n, c in (optional or {}).items()),
+    )

@@ -148,3 +148,17 @@ def known_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
     codes = F.array_intersect(F.array("n_name", F.upper("c_mktsegment"), "r_name"), F.array(*map(F.lit, known)))
     return named.select("c_custkey", F.array_join(F.array_sort(codes), ",").alias("codes"))
+
+
+@query("""WITH s AS (SELECT *, CASE month(o_orderdate) // 4 WHEN 0 THEN 'Spring' WHEN 1 THEN 'Summer' WHEN 2 THEN 'Fall' ELSE 'Winter' END AS season FROM orders)
+SELECT o_orderkey AS crn, season, CAST(year(o_orderdate) AS INTEGER) AS year, season || ' ' || year(o_orderdate) AS semester, CASE WHEN o_orderstatus = 'F' OR o_orderstatus IS NULL THEN '' ELSE o_orderstatus END AS instr, CASE o_orderkey % 4 WHEN 0 THEN 'MWF 9' WHEN 1 THEN 'TuTh 1:00' WHEN 2 THEN 'TBA' ELSE 'TTh 2' END AS meets,
+CASE o_orderkey % 4 WHEN 0 THEN 'M,W,F' WHEN 1 THEN 'Tu,Th' WHEN 2 THEN '' ELSE 'Th,T' END AS days, '[]' AS times, strftime(o_orderdate, '%Y-%m-%d') AS start_date, '' AS end_date, 'N' AS permreq, CASE WHEN o_totalprice > 150000 THEN o_totalprice END AS rating FROM s""")
+def section_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with the defaults and derived fields of the index, and optional fields only where there are some."""
+    part = F.floor(F.month("o_orderdate") / 4)
+    code = F.concat(F.year("o_orderdate").cast("string"), F.when(part == 0, "20").when(part == 1, "00").when(part == 2, "10").otherwise("15"))
+    meets = F.get(F.array(F.lit("MWF 9"), F.lit("TuTh 1:00"), F.lit(None), F.lit("TTh 2")), (F.col("o_orderkey") % 4).cast("int"))
+    fields = {"crn": F.col("o_orderkey"), "srcdb": code, "instr": F.nullif("o_orderstatus", F.lit("F")), "meets": meets, "start_date": F.date_format("o_orderdate", "yyyy-MM-dd"), "end_date": F.lit("")}
+    made = cards.section(fields, {"rating": F.when(F.col("o_totalprice") > 150000, F.col("o_totalprice"))})
+    s = table(spark, sf_dir, "orders").select(made.alias("s")).select("s.*")
+    return s.select("crn", "season", "year", "semester", "instr", "meets", F.array_join("days", ",").alias("days"), F.col("meetingTimes").alias("times"), "start_date", "end_date", "permreq", "rating")
