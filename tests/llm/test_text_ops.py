@@ -49,6 +49,17 @@ def test_op1(spark, sf, edge, none):
     assert sharding.shard(none, 8).count() == 0
 
 
+def test_op1_groups_of_one_dominant_cell(spark, monkeypatch):
+    """Groups grow in number with a cell's rows, not in size; ranks stay gapless."""
+    monkeypatch.setattr(sharding, "GROUP", 50)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text"), F.lit("src").alias("source"), F.lit("en").alias("lang"))
+    found = sharding.shard(docs.unionByName(docs.limit(1)), 8).collect()
+    assert sorted(r["rank"] for r in found) == list(range(3001))
+    for s in range(8):
+        own = sorted((r.slot, r.cell) for r in found if r.shard == s)
+        assert [x[0] for x in own] == list(range(len(own))) and [x[1] for x in own] == sorted(x[1] for x in own)
+
+
 def test_shard_files_keep_all_rows_and_prune(spark, edge, none, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert sharding.write_shards(docs, str(tmp_path / "out"), 8, 25) == "shard"

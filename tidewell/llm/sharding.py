@@ -2,8 +2,8 @@
 
 The order is curve cell, then a spread of the id, then id and size: total up to rows that are equal in
 all of these. Ranks come from counts of (cell, spread) groups, so no task sorts more than one group:
-counts are summed by Spark, their running sums taken over at most 4,096 cells on one task and over
-at most SPREAD groups within each cell, and rows are numbered within their group.
+counts are summed by Spark, and their running sums taken over at most 4,096 cells on one task and over the groups
+of each cell. A cell has as many groups as its rows ask for, GROUP a group on average; rows are numbered within their group.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql.types import IntegerType
 
 from . import common
 
-#: Bits of each of the four dimensions, and groups that a cell is dealt into.
-BITS, DIMENSIONS, SPREAD = 3, 4, 256
+#: Bits of each of the four dimensions, and rows of a group on average.
+BITS, DIMENSIONS, GROUP = 3, 4, 100_000
 
 
 def hilbert_index(x: np.ndarray, bits: int) -> np.ndarray:
@@ -84,11 +84,12 @@ def _placed(docs: DataFrame, shards: int, id_col: str, text_col: str, source_col
     own = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in columns))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), own.alias("row"))
     cell = curve(*dimensions(F.col("source"), F.col("lang"), F.col("size"), F.col("doc_id"), low, high))
-    spread = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SPREAD)).cast("int")
-    placed = common.written(rows.select("doc_id", "size", "text_crc32", cell.alias("cell"), spread.alias("spread"), "row"))
+    placed = common.written(rows.select("doc_id", "size", "text_crc32", cell.alias("cell"), "row"))
     total = placed.count()
+    cells = placed.groupBy("cell").agg(F.count("*").alias("rows"))  # at most 2 ** (BITS * DIMENSIONS) of them
+    spreads = F.broadcast(cells.select("cell", F.ceil(F.col("rows") / GROUP).alias("spreads")))
+    placed = placed.join(spreads, "cell").withColumn("spread", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("spreads"))).drop("spreads")
     groups = placed.groupBy("cell", "spread").count()
-    cells = groups.groupBy("cell").agg(F.sum("count").alias("rows"))
     cells = cells.select("cell", F.coalesce(F.sum("rows").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("cell_base"))
     within = F.coalesce(F.sum("count").over(Window.partitionBy("cell").orderBy("spread").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = groups.withColumn("base", within).join(cells, "cell").select("cell", "spread", (F.col("base") + F.col("cell_base")).alias("base"))
