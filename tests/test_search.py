@@ -29,7 +29,7 @@ def filter_(rng):
 def test_masks_are_what_predicates_say(spark):
     rng = random.Random(3)
     rows = records(spark, rng, 60)
-    asked = [filter_(rng) for _ in range(150)]
+    asked = [filter_(rng) for _ in range(120)]
     kinds = retrieval.kinds_of(rows)
     want = rows.select(*(F.transform("sections", FL.predicate(f, kinds, F.col("code"))).alias(f"f{k}") for k, f in enumerate(asked))).collect()
     batch = rows.select("code", "sections").toArrow().combine_chunks().to_batches()[0]
@@ -41,7 +41,9 @@ def test_masks_are_what_predicates_say(spark):
 def test_a_thousand_lists_of_filters(spark):
     rng = random.Random(5)
     rows = records(spark, rng, 80)
-    lists = [[filter_(rng) for _ in range(rng.randint(0, 3))] for _ in range(1000)]
+    some_filters = [filter_(rng) for _ in range(60)]
+    lists = [rng.sample(some_filters, rng.choice([0, 1, 2, 3, 3, 4])) for _ in range(1000)]
+    assert len({tuple(sorted(some_filters.index(f) for f in fs)) for fs in lists}) > 600
     said = lambda fs: json.dumps([{"field": f.field, "op": f.op, "value": f.value} for f in fs] + [{"field": "unknown", "op": "eq", "value": 1}, "no filter"])
     queries = spark.createDataFrame([(q, [rng.random(), rng.random()], said(fs)) for q, fs in enumerate(lists)], "query_id long, vector array<double>, filters string")
     found = search.search(rows, queries, ("code_prefix", "n"), "key", 5, block=700)
