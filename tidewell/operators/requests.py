@@ -113,10 +113,14 @@ def cached(accesses: DataFrame, capacity: int = 100, minutes: int = 30, walked:
 
 
 def recency(events: DataFrame) -> DataFrame:
-    """Microseconds since the same user's event of the same type before, and whether that is at most 30 minutes; a cache's outcomes are those of `cached`."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    before = events.withColumn("before", F.lag("ts").over(w))
-    gap = before.select("event_id", F.expr("timestampdiff(MICROSECOND, before, ts)").alias("gap_us"))
+    """Microseconds since the same user's event of the same type before, and whether that is at most 30 minutes; a cache's outcomes are those of `cached`.
+
+    Events are put in a total order over all tasks, so a user and type with most of them is spread.
+    """
+    own = events.select("user_id", "event_type", "ts", "event_id")
+    found = ordered.previous(ordered.ordered(own, "user_id", "event_type", "ts", "event_id"), "last", "user_id", "event_type", "ts")
+    same = F.col("last").isNotNull() & F.col("last.user_id").eqNullSafe(F.col("user_id")) & F.col("last.event_type").eqNullSafe(F.col("event_type"))
+    gap = found.select("event_id", F.when(same, F.expr("timestampdiff(MICROSECOND, last.ts, ts)")).alias("gap_us"))
     return gap.withColumn("hit", F.coalesce(F.col("gap_us") <= 1_800_000_000, F.lit(False)))
 
 
