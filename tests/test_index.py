@@ -82,3 +82,20 @@ def test_lists_in_order_of_frequency(spark):
             want.add((term, b // 10, len(part), -sum(f for f, _ in part), " ".join(f"{d}:{-f}" for f, d in part)))
     for hot in (10**6, 30):
         assert set(map(tuple, index.ranked(frame, 10, hot).collect())) == want
+
+
+def test_stored_index_is_smaller_than_its_n_grams(spark, tmp_path):
+    """N-grams are counted from the texts, so what is stored has a row for each word of a text at most."""
+    rng = random.Random(4)
+    docs = [(k if k % 9 else None, " ".join(f"{a}{b}" for a, b in zip(rng.choices("abcdefgh", k=40), rng.choices("ijklmnop", k=40), strict=True))) for k in range(50)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    index.add(frame, STOP, str(tmp_path))
+    (segment,) = manifest.current(spark, str(tmp_path))[1]["segments"]
+    assert spark.read.parquet(f"{tmp_path}/{segment['name']}/postings").count() <= 50 * 40
+    whole = rows(retrieval.postings(frame, STOP))
+    assert any(doc is None for _, doc, _ in whole)
+    listed = index.LISTED
+    for index.LISTED in (listed, 0):  # texts of listed documents, and all texts
+        assert rows(index.containing(spark, str(tmp_path), ["ai"])) == Counter({r: n for r, n in whole.items() if " ai " in f" {r[0]} "})
+        assert rows(index.literal(spark, str(tmp_path), "i b")) == Counter({r: n for r, n in whole.items() if "i b" in r[0]})
+    index.LISTED = listed

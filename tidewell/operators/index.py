@@ -1,8 +1,9 @@
 """A stored index of n-grams: segments that are added, merged level by level, and looked up by folders.
 
-A segment holds, by the hash of a word in 64 folders and sorted: `postings` (word, term, doc_id, freq), a row for each word of
-each term, so that all terms with a word lie in one folder; and `grams` (gram, word), the three-letter pieces of every
-word between blanks. A manifest names the segments that count. When `FAN` segments are on one level, they are
+A segment holds `texts` (doc_id, words), the words of each text once; by the hash of a word in 64 folders and sorted, `postings`
+(word, doc_id), a row for each word of a text; and `grams` (gram, word), the three-letter pieces of every word between
+blanks. N-grams themselves are not stored, as they are many times the texts: a lookup takes the texts that its words lead to, and
+counts their n-grams. A manifest names the segments that count. When `FAN` segments are on one level, they are
 merged into one of the next, so that there are at most FAN - 1 on each, as many levels as the logarithm of what was added.
 """
 
@@ -24,6 +25,10 @@ from . import ordered, retrieval
 FOLDERS, FAN, GRAM = 64, 4, 3
 #: Words of a lookup whose folders are chosen on the driver; for more, the words are joined.
 CHOSEN = 1000
+#: Documents of a lookup that are sent to all tasks; for more, all texts are read.
+LISTED = 500_000
+#: Columns of a segment's tables.
+KINDS = {"texts": "doc_id long, words array<string>", "postings": "word string, doc_id long, folder int", "grams": "gram string, word string, folder int"}
 
 
 def _folder(word: Column) -> Column:
@@ -31,20 +36,18 @@ def _folder(word: Column) -> Column:
 
 
 def _put(rows: DataFrame, path: str, *by: str) -> None:
-    """Sorted within folders; a folder of many rows is written by several tasks, as ranges are cut by all columns."""
+    """Each task writes its own rows, sorted within folders: nothing is shuffled, and what a sort spills goes with its task."""
     own = rows.withColumn("folder", _folder(F.col(by[0])))
-    own.repartitionByRange("folder", *by).sortWithinPartitions("folder", *by).write.mode("overwrite").partitionBy("folder").parquet(path)
+    own.sortWithinPartitions("folder", *by).write.mode("overwrite").option("compression", "zstd").partitionBy("folder").parquet(path)
 
 
 def _write(postings: DataFrame, path: str) -> None:
-    """postings: word, term, doc_id, freq. Kept first, as cutting ranges reads what it cuts more than once."""
-    postings = kept(postings)
-    _put(postings.select("word", "term", "doc_id", "freq"), f"{path}/postings", "word", "term", "doc_id")
-    words = postings.select("word").distinct()
+    """postings: word and doc_id; read from a table."""
+    _put(postings.select("word", "doc_id"), f"{path}/postings", "word", "doc_id")
+    words = postings.sparkSession.read.schema(KINDS["postings"]).parquet(f"{path}/postings").select("word").distinct()
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - GRAM + 1), lambda i: F.substr(padded, i, F.lit(GRAM))))
     _put(words.select(F.explode(grams).alias("gram"), "word"), f"{path}/grams", "gram", "word")
-    dropped(postings)
 
 
 def add(docs: DataFrame, stop: list[str], path: str, most: int = 3, stemmed: bool = False, batch: int | None = None) -> bool:
@@ -57,9 +60,10 @@ def add(docs: DataFrame, stop: list[str], path: str, most: int = 3, stemmed: boo
     if batch is not None and batch <= now.get("batch", -1):
         return False
     name = uuid.uuid4().hex
-    index = retrieval.postings(docs, stop, most, stemmed)
-    _write(index.select(F.explode(F.array_distinct(F.split("term", " "))).alias("word"), "term", "doc_id", "freq"), f"{path}/{name}")
-    segments = [*now.get("segments", []), {"name": name, "level": 0}]
+    words = retrieval.words(docs, stop, stemmed).withColumn("doc_id", F.col("doc_id").cast("long"))
+    words.write.option("compression", "zstd").parquet(f"{path}/{name}/texts")
+    _write(_read(spark, path, name, "texts").select(F.explode(F.array_distinct("words")).alias("word"), "doc_id"), f"{path}/{name}")
+    segments = [*now.get("segments", []), {"name": name, "level": 0, "most": most}]
     now = {"segments": segments, "batch": batch if batch is not None else now.get("batch", -1), "gone": []}
     manifest.commit(spark, path, version + 1, now)
     merge(spark, path)
@@ -70,35 +74,51 @@ def merge(spark: SparkSession, path: str, fan: int = FAN) -> None:
     """Merges full levels, from the lowest. What a merge replaces stays for readers until the next one is done."""
     while True:
         version, now = manifest.current(spark, path)
-        levels = sorted({s["level"] for s in now.get("segments", [])})
-        full = next((n for n in levels if sum(s["level"] == n for s in now["segments"]) >= fan), None)
+        # Segments of n-grams up to one length are merged with each other.
+        kind = lambda s: (s["level"], s["most"])
+        levels = sorted({kind(s) for s in now.get("segments", [])})
+        full = next((n for n in levels if sum(kind(s) == n for s in now["segments"]) >= fan), None)
         if full is None:
             return
-        own = [s["name"] for s in now["segments"] if s["level"] == full]
-        rows = reduce(DataFrame.unionByName, (_read(spark, path, n, "postings") for n in own))
-        name = uuid.uuid4().hex
-        _write(rows.groupBy("word", "term", "doc_id").agg(F.sum("freq").alias("freq")), f"{path}/{name}")
-        segments = [s for s in now["segments"] if s["level"] != full] + [{"name": name, "level": full + 1}]
+        own = [s["name"] for s in now["segments"] if kind(s) == full]
+        name, (level, most) = uuid.uuid4().hex, full
+        both = lambda table: reduce(DataFrame.unionByName, (_read(spark, path, n, table) for n in own))
+        both("texts").write.option("compression", "zstd").parquet(f"{path}/{name}/texts")
+        _write(both("postings"), f"{path}/{name}")
+        segments = [s for s in now["segments"] if kind(s) != full] + [{"name": name, "level": level + 1, "most": most}]
         manifest.commit(spark, path, version + 1, {"segments": segments, "batch": now["batch"], "gone": own})
         for old in now["gone"]:
             manifest.delete(spark, f"{path}/{old}")
 
 
 def _read(spark: SparkSession, path: str, name: str, kind: str) -> DataFrame:
-    schema = "word string, term string, doc_id long, freq long, folder int" if kind == "postings" else "gram string, word string, folder int"
-    return spark.read.schema(schema).parquet(f"{path}/{name}/{kind}")
+    return spark.read.schema(KINDS[kind]).parquet(f"{path}/{name}/{kind}")
 
 
-def _all(spark: SparkSession, path: str, kind: str, narrowed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    schema = "word string, term string, doc_id long, freq long, folder int" if kind == "postings" else "gram string, word string, folder int"
+def _all(spark: SparkSession, path: str, kind: str, narrowed: Callable[[DataFrame], DataFrame] = lambda s: s) -> DataFrame:
     segments = manifest.current(spark, path)[1].get("segments", [])
-    return reduce(DataFrame.unionByName, (narrowed(_read(spark, path, s["name"], kind)) for s in segments)) if segments else narrowed(spark.createDataFrame([], schema))
+    return reduce(DataFrame.unionByName, (narrowed(_read(spark, path, s["name"], kind)) for s in segments)) if segments else narrowed(spark.createDataFrame([], KINDS[kind]))
+
+
+def _counted(spark: SparkSession, path: str, said: Callable[[Column], Column], texts: Callable[[DataFrame], DataFrame] = lambda s: s) -> DataFrame:
+    """term, doc_id, freq of the n-grams for which `said` is true, of the texts that `texts` leaves."""
+    segments = manifest.current(spark, path)[1].get("segments", [])
+    parts = [retrieval.grams(texts(_read(spark, path, s["name"], "texts")), s["most"]) for s in segments]
+    rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "doc_id long, term string")
+    return rows.filter(said(F.col("term"))).groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The whole index: term, doc_id, freq. Of a term's rows those at its first word."""
-    rows = _all(spark, path, "postings", lambda s: s.filter(F.col("word") == F.substring_index("term", " ", 1)))
-    return rows.groupBy("term", "doc_id").agg(F.sum("freq").alias("freq"))
+    """The whole index: term, doc_id, freq."""
+    return _counted(spark, path, lambda term: F.lit(True))
+
+
+def _led_to(postings: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """The texts of these postings' documents; a null id is one too."""
+    ids = postings.select(F.col("doc_id").alias("led_to")).distinct()
+    if ids.limit(LISTED + 1).count() > LISTED:
+        return lambda texts: texts
+    return lambda texts: texts.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("led_to")), "left_semi")
 
 
 def _in_folders(column: str, values: list[str]) -> Callable[[DataFrame], DataFrame]:
@@ -120,17 +140,17 @@ def asked(spark: SparkSession, phrase: str, stop: list[str], stemmed: bool = Fal
 def terms(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """The postings of these terms: of each, one word's folder."""
     first = list(dict.fromkeys(n.split(" ")[0] for n in names))
-    rows = _all(spark, path, "postings", lambda s: _in_folders("word", first)(s).filter((F.col("word") == F.substring_index("term", " ", 1)) & F.col("term").isin(names)))
-    return rows.groupBy("term", "doc_id").agg(F.sum("freq").alias("freq"))
+    led = _led_to(_all(spark, path, "postings", _in_folders("word", first)))
+    return _counted(spark, path, lambda term: term.isin(names), led)
 
 
 def containing(spark: SparkSession, path: str, phrase: list[str]) -> DataFrame:
     """The postings of all terms that hold the phrase's words in a row: from the folder of its longest word. None for an empty phrase."""
     if not phrase:
-        return _all(spark, path, "postings", lambda s: s.limit(0)).select("term", "doc_id", "freq")
+        return _counted(spark, path, lambda term: F.lit(False))
     word, said = max(phrase, key=len), f" {' '.join(phrase)} "
-    rows = _all(spark, path, "postings", lambda s: _in_folders("word", [word])(s).filter(F.concat(F.lit(" "), "term", F.lit(" ")).contains(said)))
-    return rows.groupBy("term", "doc_id").agg(F.sum("freq").alias("freq"))
+    led = _led_to(_all(spark, path, "postings", _in_folders("word", [word])))
+    return _counted(spark, path, lambda term: F.concat(F.lit(" "), term, F.lit(" ")).contains(said), led)
 
 
 def words_with(spark: SparkSession, path: str, piece: str) -> DataFrame:
@@ -151,15 +171,14 @@ def literal(spark: SparkSession, path: str, text: str) -> DataFrame:
     pieces = text.split(" ")
     best = max(range(len(pieces)), key=lambda k: len(pieces[k]))
     if not pieces[best]:
-        return _all(spark, path, "postings", lambda s: s.limit(0)).select("term", "doc_id", "freq")
+        return _counted(spark, path, lambda term: F.lit(False))
     piece = (" " if best > 0 else "") + pieces[best] + (" " if best < len(pieces) - 1 else "")
     words = kept(words_with(spark, path, piece))
     few = [r[0] for r in words.limit(CHOSEN + 1).collect()]
     narrowed = _in_folders("word", few) if len(few) <= CHOSEN else lambda s: s.join(words, "word", "left_semi")
-    rows = _all(spark, path, "postings", lambda s: narrowed(s).filter(F.col("term").contains(text)))
-    # A term has a row for each of its words that match: each counts once.
-    once = rows.groupBy("term", "doc_id", "word").agg(F.sum("freq").alias("freq"))
-    found = once.groupBy("term", "doc_id").agg(F.max("freq").alias("freq"))
+    led = _led_to(_all(spark, path, "postings", narrowed))
+    holds = lambda texts: led(texts).filter(F.array_join("words", " ").contains(text))
+    found = _counted(spark, path, lambda term: term.contains(text), holds)
     if len(few) <= CHOSEN:
         dropped(words)
     return found

@@ -111,23 +111,34 @@ def staged(records: DataFrame, stages: list[Column], order: list[Column], key: s
     return records.withColumn("stage", stage).filter("stage is not null").orderBy("stage", *order, key).limit(k)
 
 
+def words(docs: DataFrame, stop: list[str], stemmed: bool = False) -> DataFrame:
+    """doc_id (and block, if there is one) and words of each text, but for stop words; words may be stemmed."""
+    own = T.without(T.tokens(F.coalesce("text", F.lit(""))), stop)
+    return docs.select("doc_id", *(["block"] if "block" in docs.columns else []), (stem.stems(own) if stemmed else own).alias("words"))
+
+
+def grams(rows: DataFrame, most: int) -> DataFrame:
+    """The rows with term, a row for each n-gram of `words`, n up to `most`, in place of the words."""
+    other = [c for c in rows.columns if c != "words"]
+    rows = rows.withColumn("w1", F.col("words"))
+    for n in range(2, most + 1):  # each length once, as a column of its own
+        rows = rows.withColumn(f"w{n}", T.longer(F.col(f"w{n - 1}"), F.col("words"), n))
+    return rows.select(*other, F.explode(F.concat(*(f"w{n}" for n in range(1, most + 1)))).alias("term"))
+
+
 def postings(docs: DataFrame, stop: list[str], most: int = 3, stemmed: bool = False, block: int | None = None) -> DataFrame:
     """term, doc_id, freq of all n-grams of the texts' words, n up to `most`; words may be stemmed first.
 
     N-grams move once, by term; they are counted where a term's meet, which the index by term needs anyway. With `block`,
     they move by term and block of so many consecutive ids (a column `block` then): a term that all texts have is spread.
     """
-    words = T.without(T.tokens(F.coalesce("text", F.lit(""))), stop)
-    words = stem.stems(words) if stemmed else words
-    rows = docs.select("doc_id", words.alias("w"))
-    for n in range(2, most + 1):  # each length once, as a column of its own
-        rows = rows.withColumn(f"w{n}", T.longer(F.col("w" if n == 2 else f"w{n - 1}"), F.col("w"), n))
-    grams = F.concat("w", *(f"w{n}" for n in range(2, most + 1)))
-    terms = rows.select("doc_id", F.explode(grams).alias("term"))
     if block is None:
+        terms = grams(words(docs.select("doc_id", "text"), stop, stemmed), most)
         return terms.repartition("term").groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
     by = ("term", "block")
-    return terms.withColumn("block", F.floor(F.col("doc_id") / block)).repartition(*by).groupBy(*by, "doc_id").agg(F.count("*").alias("freq"))
+    rows = docs.select("doc_id", "text", F.floor(F.col("doc_id") / block).alias("block"))
+    terms = grams(words(rows, stop, stemmed), most)
+    return terms.repartition(*by).groupBy(*by, "doc_id").agg(F.count("*").alias("freq"))
 
 
 def folded(*indexes: DataFrame) -> DataFrame:
