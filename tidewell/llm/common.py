@@ -16,10 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import small_batches
+
 #: Bytes of text that one kernel call handles at most (a longer text is handled alone).
 SLICE_BYTES = 8 << 20
-#: Rows and bytes of a batch between Spark and Python at most.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Rows of a group of texts at most, as a power of two: a row's number is its group's, then its place there.
 PLACE_BITS = 12
 #: Groups in a file at most.
@@ -38,16 +38,6 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows of text can be long: at most BATCH_ROWS of them, and about BATCH_BYTES, cross to Python at once, unless the session asks for fewer."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "67108864b") == "67108864b":  # nobody has set it
-        spark.conf.set(name, f"{BATCH_BYTES}b")
-
-
 def release() -> None:
     """Gives memory that a worker no longer uses back: workers live on between stages."""
     pa.default_memory_pool().release_unused()

@@ -24,10 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import filters as FL
-from ..sources.tables import cut, kept
+from ..sources.tables import cut, kept, sliced, small_batches
 from .retrieval import DIGITS, QUERIES, kinds_of
 
 
+#: Scores that a task makes at once: rows of a slice times jobs of a block.
+CELLS = 1 << 18
+#: Rows of a slice whose sections are pruned at once.
+ROWS = 500
+
+
 def parsed(text: str | None, fields: set[str]) -> list[FL.Filter]:
     """The valid filters of a JSON list of {field, op, value}; what isn't a list has none."""
     try:
@@ -47,6 +53,7 @@ def search(records: DataFrame, queries: DataFrame, priority: tuple[str, ...], ke
     Records are written once, whatever they are made of. Queries come a block at a time, and each block's results are written
     before the next, so that driver and tasks hold one block; a block is one pass over the records. Ties go by key.
     """
+    small_batches(records.sparkSession)
     columns = [*dict.fromkeys([key, "code", "vector", "sections"])]
     records = kept(records.filter("vector is not null").select(*columns))
     fields, out, own = fields_of(records), [], []
@@ -144,8 +151,23 @@ def _ranked(one, kinds: T.StructType, key: str):
         if not len(jobs):
             return
         floor, most = np.full(len(jobs), -np.inf), jobs[:, 3]
-        job, score, kept_ = np.zeros(0, np.int64), np.zeros(0), None
-        for batch in batches:
+        job, score, kept_, limit = np.zeros(0, np.int64), np.zeros(0), None, CELLS
+
+        def best() -> None:
+            """Leaves each job's best, and tells what a score must reach from now on."""
+            nonlocal job, score, kept_, limit
+            by_key = np.empty(len(kept_), np.int64)
+            by_key[np.asarray(pc.sort_indices(kept_, null_placement="at_start"))] = np.arange(len(kept_))
+            order = np.lexsort((by_key, -score, job))
+            job, score = job[order], score[order]
+            place = np.arange(len(job)) - np.searchsorted(job, job)
+            stays = place < most[job]
+            last = place[stays] == most[job[stays]] - 1
+            kept_, job, score = kept_.take(pa.array(order[stays])), job[stays], score[stays]
+            floor[job[last]] = score[last]
+            limit = max(CELLS, 2 * len(job))
+
+        for batch in sliced(batches, max(1, CELLS // len(jobs))):
             vectors = np.asarray(batch.column("vector").flatten()).astype(np.float64).reshape(batch.num_rows, -1)
             passes = np.zeros((batch.num_rows, len(lists) + 1), bool)
             passes[:, -1] = True  # list -1: no filter
@@ -160,15 +182,10 @@ def _ranked(one, kinds: T.StructType, key: str):
             keys = batch.column(key).take(pa.array(row))
             kept_ = keys if kept_ is None else pa.concat_arrays([kept_, keys])
             job, score = np.concatenate([job, asked]), np.concatenate([score, scores[row, asked]])
-            by_key = np.empty(len(kept_), np.int64)
-            by_key[np.asarray(pc.sort_indices(kept_, null_placement="at_start"))] = np.arange(len(kept_))
-            order = np.lexsort((by_key, -score, job))
-            job, score = job[order], score[order]
-            place = np.arange(len(job)) - np.searchsorted(job, job)
-            best = place < most[job]
-            last = place[best] == most[job[best]] - 1
-            kept_, job, score = kept_.take(pa.array(order[best])), job[best], score[best]
-            floor[job[last]] = score[last]
+            if len(job) > limit:
+                best()
+        if kept_ is not None:
+            best()
         if kept_ is not None:
             for at in range(0, len(job), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(job[at : at + 10_000], pa.int32()), kept_.slice(at, 10_000), pa.array(score[at : at + 10_000])], names=["job", key, "score"])
@@ -181,7 +198,7 @@ def _pruned(one, kinds: T.StructType, columns: list[str]):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, conditions, lists = one.value
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             sections, out = Sections(batch, conditions, kinds), []
             for name in ("all_list", "lead_list"):
                 own = np.asarray(batch.column(batch.schema.get_field_index(name)))[sections.parent]

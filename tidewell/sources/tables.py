@@ -3,7 +3,9 @@
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of a batch between Spark and Python at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Where kept tables lie.
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of text can be long: at most BATCH_ROWS of them, and about BATCH_BYTES, cross to Python at once, unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":  # nobody has set it
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, so many at once at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; only a local session without one gets a temporary folder."""
     context = spark.sparkContext
