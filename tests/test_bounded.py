@@ -1,11 +1,21 @@
 """What a task holds doesn't grow with the tables."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
-from tidewell.operators import search
+from tidewell.operators import matching, search
+
+
+def test_phrases_meet_texts_without_python(spark):
+    rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "b a"), (3, None)], "id long, text string")
+    phrases = spark.createDataFrame([("X", "a b"), ("Y", "b c d"), ("Y", "a"), ("Z", "a b d")], "code string, phrase string")
+    for size in (1 << 20, 0):
+        found = matching.matched(rows, "text", phrases, size)
+        assert "InArrow" not in found._jdf.queryExecution().executedPlan().toString()
+        assert Counter((r.id, r.code) for r in found.collect()) == {(1, "X"): 2, (1, "Y"): 2, (2, "Y"): 1}
 
 
 def test_search_scores_a_bounded_number_at_once(monkeypatch):

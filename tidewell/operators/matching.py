@@ -1,19 +1,17 @@
-"""Many phrases in many texts, in one pass: an automaton over a table of phrases, in blocks of bounded size."""
+"""Many phrases in many texts: the words of a text that may begin a phrase are joined with a table of phrases."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import kept
 
-#: Bytes of phrases in one automaton, about; each task holds one.
+#: Bytes of phrases that are sent to all tasks at most; more are joined by a shuffle.
 BLOCK_BYTES = 8 << 20
+#: Words by which texts and phrases meet; longer phrases are then compared as a whole.
+HEAD = 2
 
 
 def listed(words: DataFrame, column: str, most: int = 100_000) -> list[str]:
@@ -28,47 +26,22 @@ def matched(rows: DataFrame, text: str | Column, phrases: DataFrame, block_bytes
     """The rows' columns and code: a row for each distinct code of which a phrase is in the text, as whole words.
 
     phrases: code and phrase. Text and phrases are compared as functions.text.normalised has them; blank phrases and null codes
-    match nothing. Phrases come to the driver a block at a time; a block is an automaton (built in each task) and one pass
-    over the rows, whose time doesn't depend on the number of phrases. One block holds some hundred thousand phrases.
+    match nothing. Rows are written once, numbered; of a row only its distinct heads (as many words as heads of phrases have)
+    and its number meet the phrases, and no task holds them all, unless they are at most `block_bytes`.
     """
-    import ahocorasick
-
     own = phrases.select("code", F.coalesce(T.normalised(F.col("phrase")), F.lit("")).alias("phrase")).filter("phrase != '' and code is not null").distinct()
-    context, columns = rows.sparkSession.sparkContext, rows.columns
-    said = rows.withColumn("__said", F.concat(F.lit(" "), F.coalesce(T.normalised(F.col(text) if isinstance(text, str) else text), F.lit("")), F.lit(" ")))
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-
-    def found(block: dict[str, list[str]]) -> DataFrame:
-        shared = context.broadcast(block)
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = ahocorasick.Automaton()
-            for phrase, codes in shared.value.items():
-                automaton.add_word(f" {phrase} ", codes)
-            automaton.make_automaton()
-            for part in batches:
-                at, out = [], []
-                for k, words in enumerate(part.column("__said").to_pylist()):
-                    codes = sorted({c for _, some in automaton.iter(words) for c in some})
-                    at += [k] * len(codes)
-                    out += codes
-                if out:
-                    yield pa.RecordBatch.from_arrays([*part.select(columns).take(pa.array(at)).columns, pa.array(out, pa.string())], names=[*columns, "code"])
-
-        return said.mapInArrow(work, f"{kinds}, code string")
-
-    parts, block, size = [], {}, 0
-    for code, phrase in own.sort("phrase").toLocalIterator():
-        size += len(phrase) + len(code) if phrase in block else 2 * len(phrase) + len(code)
-        block.setdefault(phrase, []).append(code)
-        if size >= block_bytes:
-            parts.append(found(block))
-            block, size = {}, 0
-    if block or not parts:
-        if not block:
-            return rows.limit(0).withColumn("code", F.lit(None).cast("string"))
-        parts.append(found(block))
-    if len(parts) == 1:
-        return parts[0]
-    # A code may be found by phrases of several blocks; rows are told apart by all their columns.
-    return reduce(DataFrame.unionByName, map(kept, parts)).distinct()
+    words = F.split("phrase", " ")
+    own = kept(own.select("code", F.array_join(F.slice(words, 1, HEAD), " ").alias("__head"), F.when(F.size(words) > HEAD, F.col("phrase")).alias("__phrase"), F.least(F.size(words), F.lit(HEAD)).alias("n")))
+    lengths, size, longer = own.agg(F.collect_set("n"), F.sum(F.octet_length("code") + F.octet_length("__head") + F.coalesce(F.octet_length("__phrase"), F.lit(0))), F.count("__phrase")).first()
+    if not lengths:
+        return rows.limit(0).withColumn("code", F.lit(None).cast("string"))
+    own = own.drop("n")
+    said = T.normalised(F.col(text) if isinstance(text, str) else text)
+    told = kept(rows.withColumn("__said", F.coalesce(said, F.lit(""))).withColumn("__row", F.monotonically_increasing_id()))
+    heads = F.concat(*(T.ngrams(F.split("__said", " "), n) for n in sorted(lengths)))
+    met = told.select("__row", F.explode(F.array_distinct(heads)).alias("__head")).join(F.broadcast(own) if size <= block_bytes else own, "__head")
+    out = told.join(met.select("__row", "code", "__phrase").distinct(), "__row")
+    if longer:
+        held = F.concat(F.lit(" "), "__said", F.lit(" ")).contains(F.concat(F.lit(" "), "__phrase", F.lit(" ")))
+        out = out.filter(F.col("__phrase").isNull() | held).dropDuplicates(["__row", "code"])
+    return out.select(*rows.columns, "code")
