@@ -6,7 +6,23 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from tidewell.operators import matching, search
+from tidewell.operators import index, matching, retrieval, search
+
+
+def test_postings_by_block_move_texts_and_no_n_grams(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = [(k * 7, " ".join(rng.choices(["aa", "bb", "cc", "dd"], k=30))) for k in range(40)] + [(None, "aa bb"), (0, "aa bb")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(retrieval, "TASK_BYTES", 500)
+    found = retrieval.postings(frame, ["dd"], 2, block=100)
+    merged = retrieval.merged(found)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1 and plan.count("Exchange ") == 1, plan
+    assert found.rdd.getNumPartitions() > 4  # as many as the texts ask for
+    plain = retrieval.postings(frame, ["dd"], 2)
+    assert Counter(map(tuple, found.select("term", "doc_id", "freq").collect())) == Counter(map(tuple, plain.collect()))
+    lists = lambda i: Counter(map(tuple, index.ranked(i, 10, 20).collect()))
+    assert lists(found) == lists(plain)
 
 
 def test_phrases_meet_texts_without_python(spark):

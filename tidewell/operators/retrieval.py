@@ -17,6 +17,8 @@ from ..sources.tables import cut
 
 #: Query vectors of one pass, and rows that they are multiplied with at once.
 QUERIES, ROWS = 1024, 1000
+#: Bytes of text whose n-grams of one length a task counts, about.
+TASK_BYTES = 8 << 20
 #: Digits by which scores differ: engines add in different orders.
 DIGITS = 12
 
@@ -129,16 +131,16 @@ def grams(rows: DataFrame, most: int) -> DataFrame:
 def postings(docs: DataFrame, stop: list[str], most: int = 3, stemmed: bool = False, block: int | None = None) -> DataFrame:
     """term, doc_id, freq of all n-grams of the texts' words, n up to `most`; words may be stemmed first.
 
-    N-grams move once, by term; they are counted where a term's meet, which the index by term needs anyway. With `block`,
-    they move by term and block of so many consecutive ids (a column `block` then): a term that all texts have is spread.
+    N-grams move once, by term; they are counted where a term's meet, which the index by term needs anyway. With `block`, texts
+    move in their place, by block of so many consecutive ids (a column `block` then), and no n-gram moves: all that is grouped
+    by block is grouped where its texts are. Tasks grow in number with the texts, not in size.
     """
     if block is None:
         terms = grams(words(docs.select("doc_id", "text"), stop, stemmed), most)
         return terms.repartition("term").groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
-    by = ("term", "block")
-    rows = docs.select("doc_id", "text", F.floor(F.col("doc_id") / block).alias("block"))
-    terms = grams(words(rows, stop, stemmed), most)
-    return terms.repartition(*by).groupBy(*by, "doc_id").agg(F.count("*").alias("freq"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = docs.select("doc_id", "text", F.floor(F.col("doc_id") / block).alias("block")).repartition(size * most // TASK_BYTES + 1, "block")
+    return grams(words(rows, stop, stemmed), most).groupBy("term", "block", "doc_id").agg(F.count("*").alias("freq"))
 
 
 def folded(*indexes: DataFrame) -> DataFrame:
