@@ -162,7 +162,7 @@ def stemmed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH w AS (SELECT doc_id, {_STOPPED} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS term FROM w), i AS (SELECT term, doc_id, count(*) AS freq FROM u GROUP BY ALL), r AS (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY freq DESC, doc_id) - 1) // 1000 AS block FROM i) SELECT term, CAST(block AS BIGINT) AS block, count(*) AS df, CAST(sum(freq) AS BIGINT) AS freq, string_agg(doc_id || ':' || freq, ' ' ORDER BY r.freq DESC, doc_id) AS postings FROM r GROUP BY term, block")
 def ranked_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word's postings in order of frequency as a whole, in rows of a thousand."""
-    return index.ranked(retrieval.postings(table(spark, sf_dir, "documents"), STOP, 1))
+    return index.ranked(retrieval.postings(table(spark, sf_dir, "documents"), STOP, 1, block=1000))
 
 
 @query("SELECT page_id, url, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS n_links, coalesce(list_extract(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1), '') AS first_link, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM pages")

@@ -190,17 +190,23 @@ def ranked(index: DataFrame, block: int = 1000, hot: int = 1_000_000) -> DataFra
     The list of a term is in one order as a whole, yet no row holds more than a block. Terms of more than `hot` postings are
     put in order over all tasks (ordered.py), the others where they meet.
     """
-    many = kept(index.groupBy("term").count().filter(F.col("count") > hot).select("term"))
-    own = F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("f"), "doc_id")))
-    few = index.join(many, "term", "left_anti").groupBy("term").agg(own.alias("own"))
+    at = F.col("block") if "block" in index.columns else F.floor(F.col("doc_id") / block).alias("block")
+    met = index.groupBy("term", at).agg(F.collect_list(F.struct((-F.col("freq")).alias("f"), "doc_id")).alias("own"))
+    # Written once, as it is read for the counts, for the lists and for the hot terms. Numbers apart take half the room of pairs.
+    met = kept(met.select("term", F.transform("own", lambda x: x["f"]).alias("f"), F.transform("own", lambda x: x["doc_id"]).alias("d")))
+    many = kept(met.groupBy("term").agg(F.sum(F.size("d")).alias("count")).filter(F.col("count") > hot).select("term"))
+    pairs = lambda f, d: F.zip_with(f, d, lambda x, y: F.struct(x.alias("f"), y.alias("doc_id")))
+    own = F.flatten(F.transform(F.collect_list(F.struct("f", "d")), lambda x: pairs(x["f"], x["d"])))
+    few = met.join(F.broadcast(many), "term", "left_anti").groupBy("term").agg(F.array_sort(own).alias("own"))
     cut = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.size("own") - 1) / block)), lambda b: F.struct(b.alias("block"), F.slice("own", (b * block + 1).cast("int"), block).alias("own")))
     rows = few.select("term", F.inline(cut))
     if not many.isEmpty():
-        placed = ordered.counted(ordered.ordered(index.join(many, "term", "left_semi"), "term", F.desc("freq"), "doc_id"), "place")
+        hot_rows = met.join(F.broadcast(many), "term", "left_semi").select("term", F.inline(pairs(F.col("f"), F.col("d")))).select("term", "doc_id", (-F.col("f")).alias("freq"))
+        placed = ordered.counted(ordered.ordered(hot_rows, "term", F.desc("freq"), "doc_id"), "place")
         placed = ordered.previous(placed, "before", "term")
         placed = ordered.latest(placed, "first", F.col("before").isNull() | (F.col("before.term") != F.col("term")), "place")
         placed = placed.withColumn("block", F.floor((F.col("place") - F.col("first.place")) / block))
-        rows = rows.unionByName(placed.groupBy("term", "block").agg(own.alias("own")))
+        rows = rows.unionByName(placed.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("f"), "doc_id"))).alias("own")))
     said = F.array_join(F.transform("own", lambda x: F.concat_ws(":", x["doc_id"], -x["f"])), " ")
     return rows.select("term", "block", F.size("own").cast("long").alias("df"), F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s - x["f"]).alias("freq"), said.alias("postings"))
 
