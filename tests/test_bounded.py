@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from tidewell.functions import markup
 from tidewell.operators import index, matching, retrieval, search
 
 
@@ -49,3 +50,11 @@ def test_search_scores_a_bounded_number_at_once(monkeypatch):
     scores = rounded(vectors @ One.value[0].T, 12)
     want = {(q, int(k)) for q in range(300) for k in np.lexsort((np.arange(1000), -scores[:, q]))[:5]}
     assert set(zip(out["job"].to_pylist(), out["key"].to_pylist(), strict=True)) == want and out.num_rows == 1500
+
+
+def test_pages_are_answered_few_at_once(spark, monkeypatch):
+    monkeypatch.setattr(markup, "PAGES", 2)
+    pages = spark.createDataFrame([(k, "https://h.example/a", f'<a href="p{k}">x</a>' * k) for k in range(7)] + [(7, None, "<a href=x>"), (8, "u", None)], "page_id long, url string, html string")
+    found = markup.links(pages)
+    assert Counter(r.page_id for r in found.collect()) == {k: k for k in range(1, 7)}
+    assert "text string" not in found._jdf.queryExecution().analyzed().toString() and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
