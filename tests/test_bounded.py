@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from tidewell.functions import markup
-from tidewell.operators import index, matching, retrieval, search
+from tidewell.operators import counting, index, matching, retrieval, search
 
 
 def test_postings_by_block_move_texts_and_no_n_grams(spark, monkeypatch):
@@ -26,6 +26,17 @@ def test_postings_by_block_move_texts_and_no_n_grams(spark, monkeypatch):
     assert lists(found) == lists(plain)
 
 
+def test_uncommon_words_of_repeated_and_null_keys(spark):
+    rng = random.Random(7)
+    for keys in (range(30), [rng.choice([None, *range(12)]) for _ in range(30)]):
+        docs = [(k, rng.choices("abcdefgh", [9, 7, 5, 3, 1, 1, 1, 1], k=rng.randint(0, 6))) for k in keys]
+        freq = Counter(w for _, words in docs for w in words)
+        df = {w: len({k for k, words in docs if w in words and k is not None}) for w in freq}
+        frame = spark.createDataFrame(docs, "k long, w array<string>")
+        found = counting.uncommon(frame, "k", "w", 3, 10)
+        assert dict(map(tuple, found.collect())) == {w: n for w, n in freq.items() if 10 * df[w] <= 3 * len(docs)}
+
+
 def test_phrases_meet_texts_without_python(spark):
     rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "b a"), (3, None)], "id long, text string")
     phrases = spark.createDataFrame([("X", "a b"), ("Y", "b c d"), ("Y", "a"), ("Z", "a b d")], "code string, phrase string")
