@@ -22,7 +22,7 @@ from . import common
 
 CHUNK, OVERLAP = 16_384, 1_024
 #: Pieces whose ids a task keeps; beyond it starts anew.
-CACHE = 400_000
+CACHE = 100_000
 #: Chunks of a text that go to Spark at once.
 CHUNKS = 64
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -101,7 +101,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     rows = common.id_text(docs, id_col, text_col)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, limit=common.SLICE_BYTES // 4):
+        for part in common.slices(batches, limit=common.SLICE_BYTES // 8):
             own = codec(path)
             yield _described(ENCODED, part.column("doc_id"), [own.encode(t) for t in part.column("text").to_pylist()], path)
 
